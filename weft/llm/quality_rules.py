@@ -18,7 +18,7 @@ from weft.llm.common import let, word_array
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Largest share of a document's word characters that failing lines may hold.
-MAX_LOST_PERCENT = 30
+MAX_LOST_PERCENT = 50
 HAS_WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 #: A line ends well with one of these, closing quotes and brackets aside.

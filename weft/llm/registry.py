@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from weft.llm import quality_rules
+from weft.llm import mixing, quality_rules, secret_scan
 
 
 def queries():
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op5_mix_sources": mixing.op5_mix_sources,
+        "op6_secret_scan": secret_scan.op6_secret_scan,
     }
 
 
 def oracle_sql():
     return {
         "op1_quality_rules": quality_rules.SQL,
+        "op5_mix_sources": mixing.SQL,
     }

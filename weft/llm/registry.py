@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weft.llm import mixing, quality_rules, secret_scan
+from weft.llm import jaccard_join, mixing, quality_rules, secret_scan
 
 
 def queries():
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_secret_scan": secret_scan.op6_secret_scan,
     }
@@ -16,5 +17,6 @@ def queries():
 def oracle_sql():
     return {
         "op1_quality_rules": quality_rules.SQL,
+        "op4_jaccard_join": jaccard_join.SQL,
         "op5_mix_sources": mixing.SQL,
     }

@@ -160,20 +160,21 @@ def scan(docs: DataFrame, false_discovery: float = FALSE_DISCOVERY) -> DataFrame
 
     Kind `random` marks what the battery adds outside the base spans.
     """
-    # 88 rows at most, as a map: a bound that no input moves.
-    bins = discovery_bins(docs, false_discovery).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "encoding", "bucket"), "least_bin"))).alias("__bins"))
+    # One number for each of at most 88 strata: a bound that no input moves.
+    found = discovery_bins(docs, false_discovery).collect()
+    entries = [x for r in found for x in (F.lit(f"{r['encoding']}:{r['bucket']}"), F.lit(r["least_bin"]))]
+    bins = F.create_map(*entries) if entries else F.create_map(F.lit(""), F.lit(1 << 30))
     text = F.coalesce(F.col("text"), F.lit(""))
     assign, access, hexa = _base(text)
-    joined = docs.join(F.broadcast(bins), F.lit(True), "left")
-    staged = joined.withColumn("__base", F.sort_array(F.concat(assign, access, hexa))).withColumn("__tested", _tested(text))
+    staged = docs.withColumn("__base", F.sort_array(F.concat(assign, access, hexa))).withColumn("__tested", _tested(text))
     chosen = F.filter(
         "__tested",
         lambda s: s["b"]["plausible"]
-        & F.coalesce(s["b"]["bin"] >= F.try_element_at(F.col("__bins"), F.concat_ws(":", s["b"]["encoding"], s["b"]["bucket"])), F.lit(False))
+        & F.coalesce(s["b"]["bin"] >= F.try_element_at(bins, F.concat_ws(":", s["b"]["encoding"], s["b"]["bucket"])), F.lit(False))
         & ~F.exists("__base", lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])),
     )
     extra = F.transform(chosen, lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), s["end"].alias("end"), F.lit("random").alias("kind")))
-    return staged.withColumn("spans", F.sort_array(F.concat(F.col("__base"), extra))).drop("__bins", "__base", "__tested")
+    return staged.withColumn("spans", F.sort_array(F.concat(F.col("__base"), extra))).drop("__base", "__tested")
 
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:

@@ -26,7 +26,7 @@ TERMINAL = r"[.!?:;,…]['\"»”’)\]]*[\x20\x09-\x0D]*$"
 #: Menus and bread crumbs: several separators in a line.
 NAVIGATION = r"(?:[|»›>•·].*){2}"
 BOILERPLATE = (
-    r"(?i)(cookie policy|accept cookies|enable javascript|javascript is disabled|all rights reserved|terms of (use|service)"
+    r"(?i)(?:^|[ \t(])(?:cookie policy|accept cookies|enable javascript|javascript is disabled|all rights reserved|terms of (use|service)"
     r"|privacy policy|sign (in|up) (to|now|here)|log ?in to|subscribe to our|click here|read more|share (on|this)|follow us"
     r"|skip to (main )?content|back to top|add to cart|page not found|lorem ipsum|copyright (©|\(c\)))"
 )
@@ -72,17 +72,16 @@ def _repeat_words(words: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """A line with words fails by its ending, as a menu, as boilerplate or as decoration."""
-    bare = F.length(F.regexp_replace(line, r"[\x20\x09-\x0D]", ""))
-    letters = F.regexp_count(line, F.lit(r"\p{L}"))
-    words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
-    return (
-        ~line.rlike(TERMINAL)
-        | line.rlike(NAVIGATION)
-        | line.rlike(BOILERPLATE)
-        | ((letters > 0) & (F.regexp_count(line, F.lit(r"\p{Lu}")) * 100 > letters * SHOUT_PERCENT) & (bare > 20))
-        | (F.regexp_count(line, F.lit(SYMBOLS)) * 100 > words * SYMBOLS_PER_100_WORDS)
-    )
+    """A line with words fails by its ending, as a menu, as boilerplate or as decoration.
+
+    Counts are taken only in lines that hold a run of capitals or a symbol at all.
+    """
+    shouts = F.when(
+        line.rlike(r"\p{Lu}{2}"),
+        (F.regexp_count(line, F.lit(r"\p{Lu}")) * 100 > F.regexp_count(line, F.lit(r"\p{L}")) * SHOUT_PERCENT) & (F.length(F.regexp_replace(line, r"[\x20\x09-\x0D]", "")) > 20),
+    ).otherwise(False)
+    decorated = F.when(line.rlike(SYMBOLS), F.regexp_count(line, F.lit(SYMBOLS)) * 100 > F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")) * SYMBOLS_PER_100_WORDS).otherwise(False)
+    return ~line.rlike(TERMINAL) | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE) | shouts | decorated
 
 
 def apply_rules(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
@@ -135,7 +134,7 @@ k AS (SELECT w.r, doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word
              len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words, len(l) AS n_lines,
              list_filter(l, lambda x: regexp_matches(x, '{_TERMINAL_SQL}') AND NOT regexp_matches(x, '{NAVIGATION}')
                AND NOT regexp_matches(x, '{_BOILER_SQL}')
-               AND NOT (len(regexp_extract_all(x, '\p{{L}}')) > 0 AND len(regexp_extract_all(x, '\p{{Lu}}')) * 100 > len(regexp_extract_all(x, '\p{{L}}')) * {SHOUT_PERCENT}
+               AND NOT (regexp_matches(x, '\p{{Lu}}{{2}}') AND len(regexp_extract_all(x, '\p{{Lu}}')) * 100 > len(regexp_extract_all(x, '\p{{L}}')) * {SHOUT_PERCENT}
                         AND len(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) > 20)
                AND NOT len(regexp_extract_all(x, '[#*$%&|<>]')) * 100 > len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) * {SYMBOLS_PER_100_WORDS}) AS good
       FROM w LEFT JOIN v ON w.r = v.r),

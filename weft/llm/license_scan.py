@@ -116,8 +116,7 @@ def detect(lowered: str) -> list[tuple[int, int, str, float]]:
     return kept
 
 
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_GATE = re.compile("|".join(map(re.escape, PREFILTER)))
+_GATE = re.compile("|".join(map(re.escape, PREFILTER)).encode())
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -146,12 +145,15 @@ def scan(docs: DataFrame) -> DataFrame:
             column = batch.column("text")
             sizes = [range(n or 0) for n in pa.compute.binary_length(column).to_pylist()]
             for a, b in chunks(sizes):
-                texts = [(t or "").translate(_LOWER) if t and not t.islower() else t or "" for t in column.slice(a, b - a).to_pylist()]
-                counts = Words([t.encode("utf-8", "surrogatepass") for t in texts], ALNUM, hashed=False).counts()
+                # bytes.lower() changes A-Z alone.
+                texts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in column.slice(a, b - a).to_pylist()]
+                counts = Words(texts, ALNUM, hashed=False).counts()
                 rows = []
-                for t, n in zip(texts, counts.tolist(), strict=True):
-                    places = base_places(t)
-                    found = detect(t) if _GATE.search(t) else []
+                for raw, n in zip(texts, counts.tolist(), strict=True):
+                    places, found = [], []
+                    if _GATE.search(raw):
+                        t = raw.decode("utf-8", "surrogatepass")
+                        places, found = base_places(t), detect(t)
                     base = sorted({x for _, x in places})
                     score = 1.0 - float(np.prod([1.0 - w for *_, w in found])) if found else 0.0
                     rows.append((n, len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(base), ",".join(sorted({*base, *(x[2] for x in found)})), max(score, 0.6 if places else 0.0), ",".join(f"{x}:{s}:{e}" for s, e, x, _ in found)))

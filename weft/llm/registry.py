@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import bpe, jaccard_join, license_scan, mixing, quality_rules, secret_scan
+from weft.llm import bpe, jaccard_join, license_scan, mixing, quality_rules, secret_scan, toxicity
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_secret_scan": secret_scan.op6_secret_scan,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op9_license_scan": license_scan.op9_license_scan,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import bpe, flac, jaccard_join, license_scan, mixing, quality_rules, secret_scan, toxicity
+from weft.llm import bpe, flac, jaccard_join, license_scan, mixing, quality_rules, secret_scan, toxicity, warc
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_secret_scan": secret_scan.op6_secret_scan,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_warc_archive": warc.op8_warc_archive,
         "op9_license_scan": license_scan.op9_license_scan,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
@@ -23,4 +24,5 @@ def oracle_sql():
         "op1_quality_rules": quality_rules.SQL,
         "op4_jaccard_join": jaccard_join.SQL,
         "op5_mix_sources": mixing.SQL,
+        "op8_warc_archive": warc.SQL,
     }

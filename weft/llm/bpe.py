@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.kernels import _BASE, _BYTE, _power, chunks, mix
+from weft.llm.kernels import _BASE, _BYTE, _power, byte_lengths, chunks, mix
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens whose ids a worker remembers; the older half goes when it is full.
@@ -212,7 +212,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
         encoder = Encoder(*shared.value)
         for batch in batches:
             column = batch.column("text")
-            sizes = [range(n or 0) for n in pa.compute.binary_length(column).to_pylist()]
+            sizes = byte_lengths(column)
             for a, b in chunks(sizes):
                 texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
                 out: dict[str, list] = {c: [] for c in columns}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.kernels import chunks
+from weft.llm.kernels import byte_lengths, chunks
 
 BLOCK = 1024
 PAD = 64
@@ -558,7 +558,7 @@ def to_media(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
-            sizes = [range(n or 0) for n in pa.compute.binary_length(column).to_pylist()]
+            sizes = byte_lengths(column)
             for a, b in chunks(sizes, CHUNK):
                 made = [payload_of(t) for t in column.slice(a, b - a).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([n for n, _ in made], pa.int64()), pa.array(encode([p for _, p in made]), pa.binary())], ["doc_id", "n_bytes", "media"])

@@ -228,6 +228,22 @@ def list_entries(docs: DataFrame, words: int, percent: int, light: int, seed: in
     return docs.select("text").mapInArrow(run, "key long, node long, size int, pos int")
 
 
+def _may_link(size_a: str, pos_a: str, size_b: str, pos_b: str, percent: int):
+    """What two sets can still share from a common shingle on is enough for a link.
+
+    It holds at the first shingle that linked sets share, so some list passes them.
+    """
+    rest = lambda size, pos: F.col(size) - F.greatest(F.col(pos), F.lit(0))
+    return F.least(rest(size_a, pos_a), rest(size_b, pos_b)) * (100 + percent) >= (F.col(size_a) + F.col(size_b)) * percent
+
+
+def _texts_of(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
+    """node, text of the nodes in `pairs`, from one document each (rows that share its id come along)."""
+    wanted = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "first_id"), "join-wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    return source.join(few, F.col("doc_id") == F.col("first_id")).select("node", "text")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of `pairs` (a, b) whose sets link, on whole texts."""
 
@@ -284,15 +300,14 @@ def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     light = choose_boundary(sizes, percent)
     sketch = spark.sparkContext.broadcast(count_sketch(source, words, seed))
     entries = materialise(list_entries(source.filter("doc_id IS NOT NULL"), words, percent, light, seed, sketch), "join-entries")
-    lists = entries.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).filter("head <> tail").select("key", "head")
-    shared = materialise(entries.join(lists, "key"), "join-lists")
+    # A list's head is where the shingle comes first: of copies, the one with the least of its own.
+    lists = entries.groupBy("key").agg(F.min(F.struct("pos", "node", "size")).alias("head"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key", "head")
+    shared = materialise(entries.join(lists, "key").distinct(), "join-lists")
     discard(entries)
-    star = materialise(shared.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "join-star")
-    wanted = shared.select("node").distinct().join(nodes, "node").select("node", "first_id")
-    wanted = materialise(wanted, "join-wanted")
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = source.join(few, F.col("doc_id") == F.col("first_id")).join(prints.select(F.col("doc_id").alias("__d"), F.col("node").alias("__n")).distinct(), (F.col("doc_id") == F.col("__d")) & (F.col("node") == F.col("__n")), "left_semi").select("node", "text")
-    linked = materialise(_verify(star, texts, words, percent), "join-links")
+    near = _may_link("head.size", "head.pos", "size", "pos", percent)
+    star = shared.filter((F.col("node") != F.col("head.node")) & near)
+    star = materialise(star.select(F.least("head.node", "node").alias("a"), F.greatest("head.node", "node").alias("b")).distinct(), "join-star")
+    linked = materialise(_verify(star, _texts_of(star, nodes, source), words, percent), "join-links")
     label = components(linked)
 
     # What shares a list across components, and may link by its sizes and positions.
@@ -300,11 +315,11 @@ def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     split = marked.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("key")
     open_lists = materialise(marked.join(split, "key", "left_semi").distinct(), "join-open")
     x, y = open_lists.alias("x"), open_lists.alias("y")
-    total = F.col("x.size") + F.col("y.size")
-    bound = F.least(F.col("x.size") - F.greatest(F.col("x.pos"), F.lit(0)), F.col("y.size") - F.greatest(F.col("y.pos"), F.lit(0)))
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & (bound * (100 + percent) >= total * percent))
+    near = _may_link("x.size", "x.pos", "y.size", "y.pos", percent)
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & near)
     pairs = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    links = linked.union(materialise(_verify(materialise(pairs, "join-pairs"), texts, words, percent), "join-links2")).distinct()
+    pairs = materialise(pairs, "join-pairs")
+    links = linked.union(materialise(_verify(pairs, _texts_of(pairs, nodes, source), words, percent), "join-links2")).distinct()
 
     # Ids carried by several sets tie these together.
     ties = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("m"), F.collect_set("node").alias("all")).filter("a <> m").select("a", F.explode("all").alias("b")).filter("a <> b")
@@ -324,7 +339,8 @@ def op4_jaccard_join(spark, sf_dir):
 
 #: Brute force over all pairs that share a shingle; n_links counts linked sets that differ.
 SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
         ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM w),
 n AS (SELECT doc_id, len(s) AS n_shingles, md5(array_to_string(list_sort(s), '|')) AS h FROM g),

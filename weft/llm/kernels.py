@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _SEED = np.random.default_rng(20240601)
 #: A random odd-free value for each byte, and an odd base with its inverse modulo 2**64.
@@ -36,6 +38,11 @@ def _power(base: int, n: int) -> np.ndarray:
     return _cache[base][:n]
 
 
+def byte_lengths(column: pa.Array) -> list[range]:
+    """Stand-ins with the lengths of a column's strings, for chunks() before they are unpacked."""
+    return [range(n or 0) for n in pc.binary_length(column).to_pylist()]
+
+
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES):
     """(first, last) ranges of texts of about `limit` bytes; a longer text stands alone."""
     start, total = 0, 0

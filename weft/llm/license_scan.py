@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.kernels import ALNUM, Words, chunks
+from weft.llm.kernels import ALNUM, Words, byte_lengths, chunks
 
 #: The base phrases and their labels, in listed order.
 BASE = ((("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl"))
@@ -143,7 +143,7 @@ def scan(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
-            sizes = [range(n or 0) for n in pa.compute.binary_length(column).to_pylist()]
+            sizes = byte_lengths(column)
             for a, b in chunks(sizes):
                 # bytes.lower() changes A-Z alone.
                 texts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in column.slice(a, b - a).to_pylist()]

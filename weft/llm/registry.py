@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weft.llm import bpe, flac, jaccard_join, license_scan, mixing, quality_rules, secret_scan, toxicity, warc
+from weft.llm import bpe, flac, jaccard_join, license_scan, maxent_lm, mixing, quality_rules, secret_scan, toxicity, warc
 
 
 def queries():
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_maxent_lm": maxent_lm.op2_maxent_lm,
         "op3_flac_media": flac.op3_flac_media,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op5_mix_sources": mixing.op5_mix_sources,

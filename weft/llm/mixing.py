@@ -45,13 +45,14 @@ def _uniform(doc_id: Column, text: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
-def _sized(docs: DataFrame, weight: Column | None) -> DataFrame:
+def _sized(docs: DataFrame, weight: Column | None, carry: bool = False) -> DataFrame:
+    """doc_id, source, size and key of each row; with `carry` the whole row as `__row`."""
     size = F.size(word_array(F.col("text"))).cast("long")
     chars = F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
-    base = docs.select("doc_id", "source", size.alias("size"), chars.alias("chars"), _uniform(F.col("doc_id"), F.col("text")).alias("u"), *([weight.cast("double").alias("w")] if weight is not None else []))
+    base = docs.select("doc_id", "source", size.alias("size"), chars.alias("chars"), _uniform(F.col("doc_id"), F.col("text")).alias("u"), *([weight.cast("double").alias("w")] if weight is not None else []), *([F.struct(*docs.columns).alias("__row")] if carry else []))
     w = quality_weight(F.col("size"), F.col("chars")) if weight is None else F.least(F.lit(1.0), F.greatest(F.lit(0.05), F.coalesce(F.col("w"), F.lit(0.05))))
     key = F.floor(-F.ln("u") / w * float(1 << KEY_BITS)).cast("long")
-    return base.select("doc_id", "source", "size", key.alias("key"))
+    return base.select("doc_id", "source", "size", key.alias("key"), *(["__row"] if carry else []))
 
 
 def targets(sized: DataFrame, share_percent: int = SHARE_PERCENT, weights: tuple = WEIGHTS) -> DataFrame:
@@ -78,12 +79,8 @@ def _join(left: DataFrame, small: DataFrame, few: bool) -> DataFrame:
     return left.join(F.broadcast(small) if few else small, F.col("source").eqNullSafe(F.col("__source")), "left" if few else "inner").drop("__source")
 
 
-def mix(docs: DataFrame, weight: Column | None = None, share_percent: int = SHARE_PERCENT, weights: tuple = WEIGHTS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken for each row of docs.
-
-    `weight` may name a column with a document's own quality weight (0.05 to 1).
-    """
-    sized = materialise(_sized(docs, weight), "mix-sized")
+def boundaries(sized: DataFrame, share_percent: int, weights: tuple) -> tuple[DataFrame, bool]:
+    """One row for each source with its target, epochs and the keys between which selection ends; whether they are few."""
     plan = materialise(targets(sized, share_percent, weights).coalesce(1), "mix-targets")
     few = plan.count() <= BROADCAST_SOURCES
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -111,13 +108,35 @@ def mix(docs: DataFrame, weight: Column | None = None, share_percent: int = SHAR
             F.when(hit & (end - start <= 1), F.lit(0)).otherwise(F.when(hit, F.ceil((end - start) / F.lit(RADIX))).otherwise(F.lit(0))).cast("long").alias("step"),
             F.when(hit, F.col("b.rows")).otherwise(F.lit(0)).cast("long").alias("open"),
         )
-    joined = _join(sized, seen, few)
+    return seen, few
+
+
+def _assign(rows: DataFrame, seen: DataFrame, few: bool) -> DataFrame:
+    """The rows with `copies` of each; only those between the boundary keys are sorted."""
+    joined = _join(rows, seen, few)
     undecided = (F.col("rest") > 0) & (F.col("key") >= F.col("lo")) & (F.col("key") < F.col("hi"))
     order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     near = joined.filter(undecided).withColumn("run", F.col("before") + F.sum("size").over(order) - F.col("size"))
     near = near.withColumn("copies", F.col("epochs") + (F.col("run") + F.col("size") / 2.0 <= F.col("rest")).cast("long")).drop("run")
     far = joined.filter(~undecided).withColumn("copies", F.col("epochs") + ((F.col("rest") > 0) & (F.col("key") < F.col("lo"))).cast("long"))
-    return far.unionByName(near).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return far.unionByName(near)
+
+
+def mix(docs: DataFrame, weight: Column | None = None, share_percent: int = SHARE_PERCENT, weights: tuple = WEIGHTS) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken for each row of docs.
+
+    `weight` may name a column with a document's own quality weight (0.05 to 1).
+    """
+    sized = materialise(_sized(docs, weight), "mix-sized")
+    rows = _assign(sized, *boundaries(sized, share_percent, weights))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weight: Column | None = None, share_percent: int = SHARE_PERCENT, weights: tuple = WEIGHTS) -> DataFrame:
+    """The mixture itself: the columns of docs, each row as often as it is taken. Whole rows stay where they are."""
+    sized = materialise(_sized(docs, weight), "mix-sized")
+    rows = _assign(_sized(docs, weight, carry=True), *boundaries(sized, share_percent, weights))
+    return rows.filter("copies > 0").select("__row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("__row.*")
 
 
 def op5_mix_sources(spark, sf_dir):

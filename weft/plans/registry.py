@@ -1,23 +1,27 @@
-"""Query registry of the reference's own operators."""
+"""Query registry of the engine's general operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
+from weft.plans.common import Query
+
+MODULES = ("clean",)
+
+
+def _modules():
+    return [importlib.import_module(f"weft.plans.{m}") for m in MODULES]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.md5("text").alias("unique_key"))
+    return queries()["clean_text"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: q for m in _modules() for k, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for m in _modules() for k, q in m.SQL.items()}

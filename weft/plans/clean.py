@@ -52,7 +52,9 @@ def reasons(x):
 
 _REASONS_SQL = "list_filter([CASE WHEN NOT regexp_matches(text, '\\S') THEN 'empty' END, CASE WHEN contains(text, chr(65533)) OR contains(text, chr(0)) THEN 'encoding_noise' END, CASE WHEN len(regexp_extract_all(text, '[\\x{3400}-\\x{9FFF}]')) / greatest(len(regexp_extract_all(text, '[A-Za-z\\x{3400}-\\x{9FFF}]')), 1) > 0.10 THEN 'not_english_dominant' END, " + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in FLAGS.items()) + ", CASE WHEN contains(text, '```') OR contains(lower(text), '<html') OR contains(text, 'http://') OR contains(text, 'https://') THEN 'code_or_link' END], lambda x: x IS NOT NULL)"
 _LINE_COUNT = "len(text) - len(replace(text, chr(10), '')) + 1"
-_T = F.col("text")
+def _t():
+    return F.col("text")
+
 
 
 def _tristate(n, u, soft: int, hard: int, keep: float):
@@ -60,11 +62,11 @@ def _tristate(n, u, soft: int, hard: int, keep: float):
 
 
 QUERIES = {
-    "clean_text": on(D, lambda d: d.select("doc_id", text.clean_text(_T).alias("txt"))),
-    "normalize_sig": on(D, lambda d: d.select("doc_id", text.signature(_T).alias("sig"))),
-    "collapse_newlines": on(D, lambda d: d.select("doc_id", text.clean_chat_text(_T).alias("txt"))),
-    "normalize_breaks": on(D, lambda d: d.select("doc_id", text.normalize_breaks(_T).alias("txt"))),
-    "canonical_prompt": on("benchmark", lambda d: d.select("item_id", text.canonical_prompt(_T).alias("prompt"))),
+    "clean_text": on(D, lambda d: d.select("doc_id", text.clean_text(_t()).alias("txt"))),
+    "normalize_sig": on(D, lambda d: d.select("doc_id", text.signature(_t()).alias("sig"))),
+    "collapse_newlines": on(D, lambda d: d.select("doc_id", text.clean_chat_text(_t()).alias("txt"))),
+    "normalize_breaks": on(D, lambda d: d.select("doc_id", text.normalize_breaks(_t()).alias("txt"))),
+    "canonical_prompt": on("benchmark", lambda d: d.select("item_id", text.canonical_prompt(_t()).alias("prompt"))),
     "byte_length": on(D, lambda d: d.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.length("text").cast("long").alias("n_points"))),
     "strip_markup": on("pages", lambda d: d.select("page_id", text.strip_markup(F.col("html")).alias("txt"))),
     "sanitize_generated": on("pages", lambda d: d.select("page_id", text.sanitize_generated(F.col("html"), F.lit("chat")).alias("txt"))),
@@ -76,21 +78,21 @@ QUERIES = {
     "path_parts": on("pages", lambda d: d.select("page_id", text.basename(F.col("url")).alias("base"), text.extension(F.col("url")).alias("ext"))),
     "decode_data_url": on(D, lambda d: d.select("doc_id", F.octet_length(text.decode_data_url(F.concat(F.lit("data:text/plain;base64,"), F.base64(F.col("text").cast("binary"))))).cast("long").alias("n_bytes"))),
     "char_range": on(D, lambda d: d.filter(F.length("text").between(1, 8000)).select("doc_id", F.length("text").cast("long").alias("n"))),
-    "two_phase_min_length": on(D, lambda d: d.filter(F.length("text") >= 3000).filter(F.length(text.clean_text(_T)) >= 3000).select("doc_id")),
+    "two_phase_min_length": on(D, lambda d: d.filter(F.length("text") >= 3000).filter(F.length(text.clean_text(_t())) >= 3000).select("doc_id")),
     "line_quality": on(D, lambda d: d.filter((F.octet_length("text") <= 120000) & (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).between(2, 400)).select("doc_id")),
     "lang_whitelist": on(D, lambda d: d.filter(F.lower(F.trim("lang")).isin("en", "de")).select("doc_id", "lang")),
     "lang_others": on(D, lambda d: d.filter((F.trim("lang") != "") & ~F.lower(F.trim("lang")).isin("en", "de")).select("doc_id", "lang")),
     "english_prefix_score": on(D, lambda d: d.filter(lang.english_score_ok(F.col("lang"), (F.col("doc_id") % 100) / 100.0)).select("doc_id")),
     "exact_score": on(D, lambda d: d.filter(F.abs((F.col("doc_id") % 10) / 9.0 - 1) <= 1e-9).select("doc_id")),
     "lenient_int": on(D, lambda d: d.select("doc_id", lang.lenient_int(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("1,"), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"))).when(F.col("doc_id") % 4 == 1, "x1").when(F.col("doc_id") % 4 == 2, F.concat((F.col("doc_id") % 50).cast("string"), F.lit(".7"))).otherwise(" 12 ")).alias("n"))),
-    "foreign_script": on(D, lambda d: d.select("doc_id", lang.has_foreign_script(_T).alias("is_foreign"))),
-    "allowlist_script": on(D, lambda d: d.select("doc_id", lang.outside_allowed(_T).alias("is_foreign"))),
-    "category_script": on(D, lambda d: d.select("doc_id", lang.has_foreign_letter(_T).alias("is_foreign"))),
+    "foreign_script": on(D, lambda d: d.select("doc_id", lang.has_foreign_script(_t()).alias("is_foreign"))),
+    "allowlist_script": on(D, lambda d: d.select("doc_id", lang.outside_allowed(_t()).alias("is_foreign"))),
+    "category_script": on(D, lambda d: d.select("doc_id", lang.has_foreign_letter(_t()).alias("is_foreign"))),
     "cjk_ratio": on(D, lambda d: d.select("doc_id", lang.cjk_ratio(F.concat(F.col("lang"), F.lit("汉字"))).alias("ratio"))),
-    "keyword_flags": on(D, lambda d: d.select("doc_id", *[_T.rlike(p).alias(n) for n, p in FLAGS.items()], _T.rlike(SPECULATIVE).alias("speculative"))),
+    "keyword_flags": on(D, lambda d: d.select("doc_id", *[_t().rlike(p).alias(n) for n, p in FLAGS.items()], _t().rlike(SPECULATIVE).alias("speculative"))),
     "length_tristate": on(D, lambda d: d.select("doc_id", _tristate(F.length("text"), uniform("tri", F.col("doc_id")), 2000, 4000, 0.02).alias("decision"))),
     "length_strata": on(D, lambda d: d.filter((F.length("text") < 600) | ((F.length("text") < 2048) & (uniform("strata", F.col("doc_id")) < 0.05))).select("doc_id")),
-    "reason_array": on(D, lambda d: d.select("doc_id", F.array_join(reasons(_T), ",").alias("reasons"), (F.size(reasons(_T)) == 0).alias("accepted"))),
+    "reason_array": on(D, lambda d: d.select("doc_id", F.array_join(reasons(_t()), ",").alias("reasons"), (F.size(reasons(_t())) == 0).alias("accepted"))),
     "random_separator_join": on(D, lambda d: d.select("doc_id", F.concat(F.col("source"), F.when(uniform("sep", F.col("doc_id")) < 0.5, "\n").otherwise(" "), F.col("lang")).alias("txt"))),
     "quality_tag": on(D, lambda d: d.select("doc_id", F.when(F.length("text") > 4000, 3.0).when(F.length("text") > 1000, 2.0).otherwise(1.0).alias("unik"), (F.length("text") > 4000).alias("strict"))),
 }

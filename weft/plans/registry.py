@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weft.plans.common import Query
 
-MODULES = ("clean", "select")
+MODULES = ("clean", "select", "chat")
 
 
 def _modules():

@@ -27,6 +27,11 @@ SANITIZE = (
 )
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with the value computed once, for expressions that use it often."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(text: Column) -> Column:
     """Without white space at the ends (all Unicode spaces, unlike trim)."""
     return F.regexp_replace(text, EDGES, "")

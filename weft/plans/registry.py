@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weft.plans.common import Query
 
-MODULES = ("clean", "select", "chat", "scoring")
+MODULES = ("clean", "select", "chat", "scoring", "report", "relational")
 
 
 def _modules():

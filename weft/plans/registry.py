@@ -5,8 +5,12 @@ from __future__ import annotations
 import importlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weft.plans.common import Query
+from weft.functions import lang, text
+from weft.operators import budget, dedup
+from weft.plans.clean import CLEAN_SQL, LIGHT_SQL
+from weft.plans.common import Query, read
 
 MODULES = ("clean", "select", "chat", "scoring", "report", "relational")
 
@@ -16,12 +20,29 @@ def _modules():
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["clean_text"](spark, sf_dir)
+    """A corpus build: clean, filter, first of each signature, no benchmark prompts, byte budget."""
+    docs, bench = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    clean = docs.select("doc_id", "lang", text.clean_text(F.col("text")).alias("text"))
+    fit = clean.filter(F.length("text").between(1, 8000)).withColumn("is_foreign", lang.has_foreign_script(F.col("text")))
+    first = dedup.keep_first(fit, text.signature(F.col("text")), ["doc_id"])
+    safe = dedup.leaked(first, text.canonical_prompt(F.col("text")), bench, text.canonical_prompt(bench["text"]), "left_anti")
+    kept = budget.stop_after(safe, ["doc_id"], F.octet_length("text").cast("long"), 2_000_000)
+    return kept.select("doc_id", "lang", "is_foreign", F.md5("text").alias("unique_key"), F.octet_length("text").cast("long").alias("n_bytes"), F.col("cum_bytes").cast("long").alias("cum_bytes"))
+
+
+FLAGSHIP_SQL = f"""
+WITH c AS (SELECT doc_id, lang, {CLEAN_SQL} AS text FROM documents),
+f AS (SELECT * FROM c WHERE len(text) BETWEEN 1 AND 8000),
+k AS (SELECT min(doc_id) AS doc_id FROM (SELECT doc_id, {LIGHT_SQL} AS s FROM f) GROUP BY s),
+p AS (SELECT f.* FROM f JOIN k USING (doc_id) WHERE lower(regexp_replace(text, '[\s\p{{Z}}]+', ' ', 'g')) NOT IN (SELECT lower(regexp_replace(trim(text), '[\s\p{{Z}}]+', ' ', 'g')) FROM benchmark)),
+r AS (SELECT *, octet_length(encode(text)) AS n_bytes, sum(octet_length(encode(text))) OVER (ORDER BY doc_id) AS cum FROM p)
+SELECT doc_id, lang, regexp_matches(text, '{lang.FOREIGN}') AS is_foreign, md5(text) AS unique_key, n_bytes, CAST(cum AS BIGINT) AS cum_bytes FROM r WHERE cum - n_bytes < 2000000
+"""
 
 
 def queries() -> dict[str, Query]:
-    return {k: q for m in _modules() for k, q in m.QUERIES.items()}
+    return {"flagship": flagship} | {k: q for m in _modules() for k, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: q for m in _modules() for k, q in m.SQL.items()}
+    return {"flagship": FLAGSHIP_SQL} | {k: q for m in _modules() for k, q in m.SQL.items()}

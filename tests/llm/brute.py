@@ -20,3 +20,49 @@ def base_spans(text):
     for rank, (kind, pattern, group, least) in enumerate(KINDS):
         found += [(m.start(), rank, m.end(), kind) for m in pattern.finditer(text or "") if len(m[group]) >= least]
     return sorted(found)
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def shingles(text, n=4):
+    w = WORD.findall(lower(text))
+    if not w:
+        return frozenset()
+    return frozenset([tuple(w)]) if len(w) < n else frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+
+
+def groups(rows, percent=85):
+    """doc_id -> least id reachable, over all pairs."""
+    sets = {}
+    for i, t in rows:
+        if i is not None:
+            sets.setdefault(i, []).append(shingles(t))
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    return {i: find(i) for i in ids}
+
+
+def quality(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    text = text or ""
+    w = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    wins = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    seen = {}
+    for x in wins:
+        seen[x] = seen.get(x, 0) + 1
+    hit = {i + k for i, x in enumerate(wins) if seen[x] > 1 for k in range(3)}
+    return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit)

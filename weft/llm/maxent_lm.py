@@ -407,6 +407,10 @@ def score(docs: DataFrame, trained: Trained) -> DataFrame:
     )
 
 
-def op2_maxent_lm(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+def op2_frame(docs: DataFrame) -> DataFrame:
+    """Train on the rows that are not held out and score all."""
     return score(docs, train(docs))
+
+
+def op2_maxent_lm(spark, sf_dir):
+    return op2_frame(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -56,6 +56,12 @@ def difficulty_weight(rate: Column, sharp: float = 6.0) -> Column:
     return 1 / (1 + F.exp(sharp * (rate - 0.5)))
 
 
+def temperature_weight(correct: Column, temperature: Column, group: str) -> Column:
+    """Right answers at high temperature weigh less where the group has a right one at low temperature."""
+    cold = F.bool_or(correct & (temperature <= 0.60)).over(Window.partitionBy(group))
+    return F.when(cold & correct & (temperature >= 0.80), 0.3).when(cold & correct & (temperature >= 0.65), 0.6).otherwise(1.0)
+
+
 def kl_estimate(log_ratio: Column, most: float = 10.0) -> Column:
     """exp(x) - 1 - x with x kept within bounds."""
     x = F.greatest(F.lit(-most), F.least(F.lit(most), log_ratio))

@@ -35,7 +35,7 @@ def pad_right(ids: Column, length: Column, pad: int = 0) -> Column:
 
 def token_weights(toks: Column) -> Column:
     """Training weight of each token: digits 1.2, single core operators 1.05, letters and others 1."""
-    return F.transform(toks, lambda t: F.when(t.rlike(r"^[0-9]$"), 1.2).when(t.rlike(r"^[+\-*/=^<>]$"), 1.05).otherwise(1.0))
+    return F.transform(toks, lambda t: F.when(t.rlike(r"\p{Nd}") & ~t.rlike(r"\p{L}"), 1.2).when(t.rlike(r"^[+\-*/=^%＋－×÷＝％]$"), 1.05).otherwise(1.0))
 
 
 def fill_in_middle(ids: Column, start: Column, length: Column, mark: int) -> Column:

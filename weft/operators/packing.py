@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.hashing import hash32
-from weft.operators.prefix import running_total
+from weft.operators.prefix import running_max, running_total
 
 
 def fixed_blocks(df: DataFrame, key: str, ids: str, length: int) -> DataFrame:
@@ -41,3 +41,21 @@ def long_windows(df: DataFrame, key: str, count: str, length: int, jitter: int,
 
     starts = F.when(F.col(count) < length + jitter, F.array(single.cast("long"))).otherwise(F.array_distinct(F.array(*[anchor(k) for k in range(3)])))
     return df.filter(F.col(count) >= length).select(key, F.explode(starts).alias("start"))
+
+
+def block_provenance(df: DataFrame, key: str, count: str, length: int) -> DataFrame:
+    """block, source, offset of each whole block, by the rule that a source starts only where a block does.
+
+    The source is the last sequence that began on a block boundary, and the offset counts from there, so it may exceed that
+    sequence. A running maximum carries those beginnings forward.
+    """
+    n = F.col(count).cast("long")
+    placed = running_total(df.select(key, count), [key], n, "__end").withColumn("__start", F.col("__end") - n)
+    whole = placed.agg(F.floor(F.coalesce(F.max("__end"), F.lit(0)) / length).alias("b"))
+    starts = placed.filter(F.col("__start") % length == 0).groupBy("__start").agg(F.max(key).alias("source"))
+    marks = starts.select(F.col("__start").alias("at"), F.lit(0).alias("kind"), F.col("__start").alias("from"))
+    blocks = whole.filter("b > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).alias("block"))
+    wanted = blocks.select((F.col("block") * length).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("from"))
+    carried = running_max(marks.unionByName(wanted), ["at", "kind"], F.col("from"), "begin").filter("kind = 1")
+    found = carried.join(starts, F.col("begin") == F.col("__start"))
+    return found.select((F.col("at") / length).cast("long").alias("block"), "source", (F.col("at") - F.col("begin")).alias("offset"))

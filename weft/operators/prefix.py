@@ -10,7 +10,17 @@ BUCKETS = 256
 
 
 def running_total(df: DataFrame, order: list[str], value: Column, out: str, buckets: int = BUCKETS) -> DataFrame:
-    """df with `out`: the sum of `value` over all rows up to this one, by `order` (the first is a number).
+    """df with `out`: the sum of `value` over all rows up to this one, by `order` (the first is a number)."""
+    return _running(df, order, value, out, buckets, F.sum, lambda inside, before: inside + F.coalesce(before, F.lit(0)))
+
+
+def running_max(df: DataFrame, order: list[str], value: Column, out: str, buckets: int = BUCKETS) -> DataFrame:
+    """df with `out`: the greatest `value` of all rows up to this one; nulls don't count."""
+    return _running(df, order, value, out, buckets, F.max, lambda inside, before: F.greatest(inside, before))
+
+
+def _running(df: DataFrame, order: list[str], value: Column, out: str, buckets: int, aggregate, join) -> DataFrame:
+    """A running aggregate in two phases.
 
     Rows are cut into ranges of the first order column by approximate quantiles;
     ranges are summed, the sums of those before are added within each. At most
@@ -21,9 +31,9 @@ def running_total(df: DataFrame, order: list[str], value: Column, out: str, buck
     bucket = F.when(key.isNull(), F.lit(-1)).otherwise(F.aggregate(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), F.lit(0), lambda a, c: a + (key > c).cast("int")))
     marked = df.withColumn("__bucket", bucket).withColumn("__value", value)
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = marked.groupBy("__bucket").agg(F.sum("__value").alias("__sum")).withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
+    sums = marked.groupBy("__bucket").agg(aggregate("__value").alias("__sum")).withColumn("__before", aggregate("__sum").over(before)).drop("__sum")
     inside = Window.partitionBy("__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = marked.join(F.broadcast(sums), "__bucket").withColumn(out, F.sum("__value").over(inside) + F.col("__before"))
+    summed = marked.join(F.broadcast(sums), "__bucket").withColumn(out, join(aggregate("__value").over(inside), F.col("__before")))
     return summed.drop("__bucket", "__value", "__before")
 
 

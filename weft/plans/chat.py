@@ -172,7 +172,7 @@ SQL = {
     "long_windows": f"WITH n AS (SELECT doc_id, {_n('text')} AS n FROM documents), m AS (SELECT doc_id, n, n - 512 AS top FROM n WHERE n >= 512), s AS (SELECT doc_id, k, top, n, CASE WHEN n < 576 THEN {_h('win', 'doc_id')} % (least(64, top) + 1) ELSE greatest(0, least(top, (top * k) // 2 + CAST(concat('0x', substr(md5(concat('win', k, ':', doc_id)), 1, 8)) AS BIGINT) % (2 * (least(64, top) // 2) + 1) - least(64, top) // 2)) END AS start FROM m, (SELECT unnest([0, 1, 2]) AS k) WHERE n >= 576 OR k = 0) SELECT DISTINCT doc_id, CAST(start AS BIGINT) AS start FROM s",
     "assistant_mask": f"WITH {_MSGS} SELECT conv_id, CAST(sum(k) AS BIGINT) AS n, CAST(coalesce(sum({_n('text')} + 7) FILTER (role = 'assistant'), 0) AS BIGINT) AS n_target FROM c GROUP BY conv_id",
     "label_shift": f"WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(substr(text, 1, 120), '{_TOK}'), lambda x: len(x)) AS w FROM documents) SELECT doc_id, array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i < len(w) AND i % 3 <> 0 THEN w[i + 1] ELSE -100 END), ',') AS labels FROM t",
-    "token_class_weights": f"SELECT doc_id, round(coalesce(list_sum(list_transform(regexp_extract_all(text, '{_TOK}'), lambda t: CASE WHEN regexp_matches(t, '^[0-9]$') THEN 1.2::DOUBLE WHEN regexp_matches(t, '^[+\\-*/=^<>]$') THEN 1.05::DOUBLE ELSE 1.0::DOUBLE END)), 0), 6) AS weight FROM documents",
+    "token_class_weights": f"SELECT doc_id, round(coalesce(list_sum(list_transform(regexp_extract_all(text, '{_TOK}'), lambda t: CASE WHEN regexp_matches(t, '^\\p{{Nd}}$') THEN 1.2::DOUBLE WHEN regexp_matches(t, '^[+\\-*/=^%＋－×÷＝％]$') THEN 1.05::DOUBLE ELSE 1.0::DOUBLE END)), 0), 6) AS weight FROM documents",
     "subsequence_search": f"WITH t AS (SELECT doc_id, regexp_extract_all(substr(text, 1, 400), '{_TOK}') AS w FROM documents) SELECT doc_id, CASE WHEN len(w) < 5 THEN -1 ELSE list_position(list_transform(range(1, len(w) - len(w[5:7]) + 2), lambda i: w[i:i + len(w[5:7]) - 1] = w[5:7]), true) - 1 END AS at FROM t",
     "pad_right": f"WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(substr(text, 1, 80), '{_TOK}'), lambda x: len(x)) AS w FROM documents) SELECT doc_id, greatest(len(w), 64) AS n, array_to_string(list_concat(w, list_transform(range(0, greatest(64 - len(w), 0)), lambda i: 0)), ',') AS ids FROM t",
     "fill_in_middle": f"WITH t AS (SELECT doc_id, CAST({_h('fim', 'doc_id')} % 10 AS INTEGER) AS s FROM documents) SELECT doc_id, array_to_string(list_concat(list_concat(range(1, s + 1), [-1]), list_concat(range(s + 6, 21), list_concat([-1], range(s + 1, s + 6)))), ',') AS ids FROM t",

@@ -12,7 +12,7 @@ from weft.operators import budget, dedup
 from weft.plans.clean import CLEAN_SQL, LIGHT_SQL
 from weft.plans.common import Query, read
 
-MODULES = ("clean", "select", "chat", "scoring", "report", "relational")
+MODULES = ("clean", "select", "chat", "scoring", "report", "relational", "records")
 
 
 def _modules():

@@ -66,10 +66,8 @@ def _gate(d):
 
 
 def _temper(d):
-    """Warm candidates count half where a cold sibling is right."""
-    w = Window.partitionBy("prompt")
-    cold = F.bool_or(F.col("correct") & (F.col("cand") == 0)).over(w)
-    return scored(d).select("prompt", "cand", F.when(cold & (F.col("cand") > 0), 0.5).otherwise(1.0).alias("weight"))
+    t = F.col("cand") * 0.25 + 0.2
+    return scored(d).select("prompt", "cand", rewards.temperature_weight(F.col("correct"), t, "prompt").alias("weight"))
 
 
 def _replay(d):
@@ -138,7 +136,7 @@ SQL = {
     "arc_reward": f"WITH {_LETTERS}, s AS (SELECT *, (doc_id * 3) % 400 AS total, (doc_id * 7) % 450 AS n, k < 3 AND got = want AS ok FROM l) SELECT doc_id, round(CASE WHEN total >= 340 THEN -1.0 WHEN ok AND k = 0 THEN 1.0 + CASE WHEN doc_id % 2 = 0 THEN greatest(-0.5, least(1.0, 1.2 * ({_bonus('n')}))) ELSE 0 END WHEN ok THEN 0.2 ELSE -1.0 END::DOUBLE, 9) AS reward FROM s",
     "group_advantage": f"WITH {_CANDIDATES}, {_REWARD} SELECT prompt, cand, round(CASE WHEN s IS NULL OR s < 1e-6 THEN reward - m ELSE (reward - m) / (s + 1e-6) END, 6) AS adv, round(greatest(-5, least(5, (reward - m) / greatest(p, 1e-6))), 6) AS clipped FROM (SELECT *, avg(reward) OVER w AS m, stddev_samp(reward) OVER w AS s, stddev_pop(reward) OVER w AS p FROM r WINDOW w AS (PARTITION BY prompt))",
     "signal_gate": f"WITH {_CANDIDATES}, {_REWARD} SELECT prompt, cand, round(max(reward) OVER w - min(reward) OVER w, 9) AS span, bool_or(correct) OVER w AS any_right FROM r WINDOW w AS (PARTITION BY prompt)",
-    "temp_downweight": f"WITH {_CANDIDATES}, {_REWARD} SELECT prompt, cand, CASE WHEN cand > 0 AND bool_or(correct AND cand = 0) OVER (PARTITION BY prompt) THEN 0.5 ELSE 1.0 END AS weight FROM r",
+    "temp_downweight": f"WITH {_CANDIDATES}, {_REWARD} SELECT prompt, cand, CASE WHEN NOT cold OR NOT correct THEN 1.0 WHEN cand = 3 THEN 0.3 WHEN cand = 2 THEN 0.6 ELSE 1.0 END AS weight FROM (SELECT *, bool_or(correct AND cand <= 1) OVER (PARTITION BY prompt) AS cold FROM r)",
     "replay_best": f"WITH {_CANDIDATES}, {_REWARD} SELECT prompt, min(cand) AS cand FROM r WHERE correct AND reward >= 1.1 GROUP BY prompt",
     "norm_math": "SELECT doc_id, '1x' || lang AS norm FROM documents",
     "expected_in_solution": "SELECT doc_id, contains(lower(regexp_replace(substr(text, 1, 200), '[^0-9A-Za-z]+', '', 'g')), 'the') OR contains(lower(regexp_replace(substr(text, 1, 200), '[^0-9A-Za-z]+', '', 'g')), 'der') AS hit FROM documents",

@@ -14,7 +14,7 @@ hash stays. An empty table passes through as an empty one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import bpe, jaccard_join, mixing, secret_scan, toxicity
@@ -35,8 +35,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
     if groups.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        kept = kept.withColumn("__weft_rank", F.when(F.col("doc_id").isNotNull(), F.row_number().over(order)).otherwise(1)).filter("__weft_rank = 1").drop("__weft_rank")
+        # Combined before the shuffle, so that an id of very many rows is one row from each task.
+        order = F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))
+        one = kept.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(F.struct(*docs.columns), order).alias("__row")).select("__row.*")
+        kept = one.unionByName(kept.filter("doc_id IS NULL"))
     return kept
 
 

@@ -322,7 +322,8 @@ def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     links = linked.union(materialise(_verify(pairs, _texts_of(pairs, nodes, source), words, percent), "join-links2")).distinct()
 
     # Ids carried by several sets tie these together.
-    ties = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("m"), F.collect_set("node").alias("all")).filter("a <> m").select("a", F.explode("all").alias("b")).filter("a <> b")
+    several = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("m")).filter("a <> m").select("doc_id", "a")
+    ties = named.join(several, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
     final = components(links.union(ties))
     degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
     group = nodes.join(final, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("part"))

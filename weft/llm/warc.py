@@ -30,8 +30,8 @@ from weft.llm.common import materialise, scratch
 
 MIN_BYTES = 0
 DATE = "1970-01-01T00:00:00Z"
-#: Records of one archive file at most; a file is read by one task, as a stream.
-RECORDS_PER_FILE = 2_000
+#: Payload of an archive file at the table's mean size, and records at most; a file is read by one task, as a stream.
+FILE_BYTES, RECORDS_PER_FILE = 32 << 20, 20_000
 #: Bytes of payload in one batch on their way out of the reader.
 BATCH_BYTES = 8 << 20
 
@@ -74,7 +74,9 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> No
         F.lit("\r\n"),
     )
     record = F.concat(header, F.when(revisit, "").otherwise(html), F.lit("\r\n\r"))
-    joined.select(record.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    mean = pages.agg(F.avg(F.octet_length(F.coalesce("html", F.lit("")))).alias("b")).first()["b"] or 0
+    per_file = max(1, min(RECORDS_PER_FILE, int(FILE_BYTES / (mean + 500))))
+    joined.select(record.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 class _Stream:

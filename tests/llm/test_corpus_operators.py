@@ -242,7 +242,7 @@ def test_toxicity_without_labels(hard, spark):
 
 def test_toxicity_clauses():
     s = toxicity.Scorer(dict.fromkeys(toxicity.INSULTS, toxicity.SEED_WEIGHT), toxicity.PRIOR)
-    tags = lambda t: dict(zip(("bias", *toxicity.TAGS, "clauses"), s.features(t) > 0, strict=True))
+    tags = lambda t: dict(zip(("bias", *toxicity.TAGS, "clauses", "density"), s.features(t) > 0, strict=True))
     assert tags("what an idiot")["plain"] and tags("you are an idiot")["directed"]
     assert tags("that is not stupid")["negated"] and not tags("that is not stupid")["plain"]
     assert tags("she said he is a moron")["reported"]

@@ -157,3 +157,22 @@ def test_batches_keep_the_budget(spark):
     d = spark.createDataFrame([(0, i, n) for i, n in enumerate((4, 4, 5, 9, 2))], "s long, i long, n long")
     rows = mixing.token_budget_batches(d, "s", ["i"], "n", 12).orderBy("i").collect()
     assert [r["batch"] for r in rows] == [0, 0, 1, 2, 3]
+
+
+def test_loop_prefilters_change_nothing(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    rows = []
+    for n in range(300):
+        unit = "".join(rng.choice("abc d") for _ in range(rng.choice([14, 15, 16, 17, 20, 21, 31, 33, 80, 140, 141, 159, 160, 161])))
+        gap = rng.choice(["", "", " ", "\n "])
+        rows.append((n, "".join(rng.choice("xyz ") for _ in range(rng.randrange(40))) + gap.join([unit] * rng.choice([2, 3, 4])) + "end" * rng.randrange(2)))
+    d = spark.createDataFrame(rows, "i long, t string")
+    got = {r["i"]: (r["a"], r["b"]) for r in d.select("i", degeneration.exact_loop(F.col("t")).alias("a"), degeneration.repeated(F.col("t")).alias("b")).collect()}
+    for i, t in rows:
+        loop = bool(re.search(r"(?P<u>.{16,160}?)(?P=u){2,}", t, re.S))
+        lines = [x.strip() for x in t.split("\n") if len(x.strip()) >= 12]
+        spaced = bool(re.search(r"(.{20,140}?)(?:\s*\1){2,}", re.sub(r"\s+", " ", t), re.S)) or len(lines) != len(set(lines))
+        assert got[i] == (loop, spaced), t

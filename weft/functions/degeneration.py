@@ -20,8 +20,31 @@ LOW_INFO = r"[0-9０-９\s.,，。:;!?！？%％()\[\]{}+\-*/_=…·\"“”'<>]
 STOP_WORDS = frozenset("a an the is are was were be been being it this that in on at to of and or with has have having looks appears image picture shows 了 的 是 在 有 和 与 这 那 图 图片 显示".split())
 
 
+def _recurs(text: Column, size: int, reach: int, times: int) -> Column:
+    """Some aligned window of `size` characters stands `times` more within the next `reach`.
+
+    Linear in the text; what a loop needs, checked before a pattern with back
+    references is tried at each position.
+    """
+    blocks = -(-reach // size) + 1
+
+    def check(w: Column) -> Column:
+        def again(j: Column) -> Column:
+            ahead = F.array_join(F.slice(w, j + 2, F.lit(blocks)), "")
+            return F.length(ahead) - F.length(F.replace(ahead, F.get(w, j), F.lit(""))) >= size * times
+
+        return F.when(F.size(w) < 2, F.lit(False)).otherwise(F.exists(F.sequence(F.lit(0), F.size(w) - 2), again))
+
+    return bind(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % size), F.lit(0)), check)
+
+
 def exact_loop(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(EXACT_LOOP)
+    """A unit of 16 to 160 characters three times in a row.
+
+    Two units in a row hold an aligned window of 16, which stands again at most 160 on.
+    """
+    text = F.coalesce(text, F.lit(""))
+    return F.when(_recurs(text, 16, 160, 1), text.rlike(EXACT_LOOP)).otherwise(False)
 
 
 def duplicate_lines(text: Column, least: int = 12) -> Column:
@@ -32,7 +55,10 @@ def duplicate_lines(text: Column, least: int = 12) -> Column:
 
 def repeated(text: Column) -> Column:
     """A unit of 20 to 140 characters three times over, blanks between allowed, or duplicate lines."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ").rlike(SPACED_LOOP) | duplicate_lines(text)
+    compact = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")
+    # The first unit holds an aligned window of 8, which stands twice more within two units and blanks.
+    loop = bind(compact, lambda x: F.when(_recurs(x, 8, 2 * 141, 2), x.rlike(SPACED_LOOP)).otherwise(False))
+    return loop | duplicate_lines(text)
 
 
 def sentence_repeat(text: Column) -> Column:
@@ -65,7 +91,11 @@ def low_information_tail(text: Column) -> Column:
 def prose_loop(text: str) -> int | None:
     """Characters to keep before a prose loop in the last 1800; None without one. Units of symbols are exempt."""
     start = max(0, len(text) - 1800)
-    for m in re.finditer(r"(.{16,180}?)\1{2,}", text[start:], re.S):
+    tail = text[start:]
+    # Two units in a row hold an aligned window of 16, which stands again at most 180 on.
+    if not any(tail.find(tail[i : i + 16], i + 16, i + 196) >= 0 for i in range(0, len(tail) - 16, 16)):
+        return None
+    for m in re.finditer(r"(.{16,180}?)\1{2,}", tail, re.S):
         letters = re.findall(r"[a-zA-Z一-鿿]", m[1])
         if len(letters) >= 8 and len(set(letters)) >= 3:
             return start + m.start() + len(m[1])

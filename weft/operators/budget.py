@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from weft.operators.prefix import running_total
 
 
-def stop_after(df: DataFrame, order: list[str], size: Column, target: int, already: int = 0, out: str = "cum_bytes") -> DataFrame:
+def stop_after(df: DataFrame, order: list[str], size: Column, target: int, already: int = 0, out: str = "cum_bytes", cut_from: DataFrame | None = None) -> DataFrame:
     """Rows until the total reaches the target; the last may exceed it. `already` counts what is on disk."""
-    total = running_total(df.withColumn("__size", size), order, F.col("__size"), out)
+    total = running_total(df.withColumn("__size", size), order, F.col("__size"), out, cut_from=cut_from)
     return total.filter(F.col(out) - F.col("__size") + already < target).drop("__size")
 
 

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 
 def keep_first(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """The first row of each key by `order`. The least order value is found by a
-    combined aggregate, so a hot key sends one row from each task; only rows that
-    tie on it meet in a window."""
-    marked = df.withColumn("__key", key)
-    first = marked.groupBy("__key").agg(F.min(F.struct(*order)).alias("__first"))
-    kept = marked.join(first, "__key").filter(F.struct(*order) == F.col("__first"))
-    return kept.drop("__key", "__first").dropDuplicates(order)
+    """The first row of each key by `order` (a unique one).
+
+    One aggregate that Spark combines before its shuffle: a hot key sends one row from each task.
+    """
+    rows = df.groupBy(key.alias("__key")).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("__row"))
+    return rows.select("__row.*")
 
 
 def without_history(df: DataFrame, key: Column, history: DataFrame, history_key: str) -> DataFrame:

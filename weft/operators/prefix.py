@@ -9,24 +9,26 @@ from pyspark.sql import functions as F
 BUCKETS = 256
 
 
-def running_total(df: DataFrame, order: list[str], value: Column, out: str, buckets: int = BUCKETS) -> DataFrame:
+def running_total(df: DataFrame, order: list[str], value: Column, out: str, buckets: int = BUCKETS, cut_from: DataFrame | None = None) -> DataFrame:
     """df with `out`: the sum of `value` over all rows up to this one, by `order` (the first is a number)."""
-    return _running(df, order, value, out, buckets, F.sum, lambda inside, before: inside + F.coalesce(before, F.lit(0)))
+    return _running(df, order, value, out, buckets, cut_from, F.sum, lambda inside, before: inside + F.coalesce(before, F.lit(0)))
 
 
 def running_max(df: DataFrame, order: list[str], value: Column, out: str, buckets: int = BUCKETS) -> DataFrame:
     """df with `out`: the greatest `value` of all rows up to this one; nulls don't count."""
-    return _running(df, order, value, out, buckets, F.max, lambda inside, before: F.greatest(inside, before))
+    return _running(df, order, value, out, buckets, None, F.max, lambda inside, before: F.greatest(inside, before))
 
 
-def _running(df: DataFrame, order: list[str], value: Column, out: str, buckets: int, aggregate, join) -> DataFrame:
+def _running(df: DataFrame, order: list[str], value: Column, out: str, buckets: int, cut_from: DataFrame | None, aggregate, join) -> DataFrame:
     """A running aggregate in two phases.
 
     Rows are cut into ranges of the first order column by approximate quantiles;
     ranges are summed, the sums of those before are added within each. At most
     `buckets` sums are broadcast, whatever the input. Null order values come first.
+    The ranges may be cut on another table with the first order column (`cut_from`),
+    such as the source of a costly df; any cuts give the same result.
     """
-    cuts = sorted(set(df.select(F.col(order[0]).cast("double").alias("k")).approxQuantile("k", [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
+    cuts = sorted(set((cut_from or df).select(F.col(order[0]).cast("double").alias("k")).approxQuantile("k", [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
     key = F.col(order[0]).cast("double")
     bucket = F.when(key.isNull(), F.lit(-1)).otherwise(F.aggregate(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), F.lit(0), lambda a, c: a + (key > c).cast("int")))
     marked = df.withColumn("__bucket", bucket).withColumn("__value", value)

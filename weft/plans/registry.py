@@ -26,7 +26,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = clean.filter(F.length("text").between(1, 8000)).withColumn("is_foreign", lang.has_foreign_script(F.col("text")))
     first = dedup.keep_first(fit, text.signature(F.col("text")), ["doc_id"])
     safe = dedup.leaked(first, text.canonical_prompt(F.col("text")), bench, text.canonical_prompt(bench["text"]), "left_anti")
-    kept = budget.stop_after(safe, ["doc_id"], F.octet_length("text").cast("long"), 2_000_000)
+    kept = budget.stop_after(safe, ["doc_id"], F.octet_length("text").cast("long"), 2_000_000, cut_from=docs)
     return kept.select("doc_id", "lang", "is_foreign", F.md5("text").alias("unique_key"), F.octet_length("text").cast("long").alias("n_bytes"), F.col("cum_bytes").cast("long").alias("cum_bytes"))
 
 

@@ -12,6 +12,19 @@ from weft.operators import budget, dedup
 from weft.plans.clean import CLEAN_SQL, LIGHT_SQL
 from weft.plans.common import Query, read
 
+#: Where DuckDB's own result types differ from the query's: sums of whole numbers, literals, ranks.
+CASTS = {
+    "BIGINT": {
+        "leak_report": ("ids",), "leak_clean": ("ids",), "budget_stop_after": ("cum_bytes",), "budget_break_before": ("cum_bytes",), "phase_fill": ("cum_bytes",), "fanout_ctx": ("n_tokens",),
+        "subsequence_search": ("at",), "candidates": ("cand",), "extract_number": ("cand",), "gsm_reward": ("cand",), "group_advantage": ("cand",), "signal_gate": ("cand",), "temp_downweight": ("cand",),
+        "replay_best": ("cand",), "replay_buffer": ("cand",), "first_valid_attempt": ("accepted",), "source_bytes": ("n_bytes",), "token_totals": ("total",), "cycle_repeat": ("round",), "token_budget_batches": ("batch",),
+    },
+    "INTEGER": {
+        "topk_per_lang": ("rank",), "chat_quality": ("turns", "assistant_chars", "image_markers"), "window_frames": ("rn", "rk", "dr"), "date_parts": ("y", "m"), "top_per_group": ("r",), "vector_topk": ("rank",), "view_lookup": ("x",),
+    },
+    "DOUBLE": {"quality_tag": ("unik",), "temp_downweight": ("weight",)},
+}
+
 MODULES = ("clean", "select", "chat", "scoring", "report", "relational", "records")
 
 
@@ -44,5 +57,10 @@ def queries() -> dict[str, Query]:
     return {"flagship": flagship} | {k: q for m in _modules() for k, q in m.QUERIES.items()}
 
 
+def _cast(name: str, sql: str) -> str:
+    parts = [f"CAST({c} AS {kind}) AS {c}" for kind, of in CASTS.items() for c in of.get(name, ())]
+    return f"SELECT * REPLACE ({', '.join(parts)}) FROM ({sql})" if parts else sql
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"flagship": FLAGSHIP_SQL} | {k: q for m in _modules() for k, q in m.SQL.items()}
+    return {"flagship": FLAGSHIP_SQL} | {k: _cast(k, q) for m in _modules() for k, q in m.SQL.items()}

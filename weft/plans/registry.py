@@ -43,7 +43,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "lang", "is_foreign", F.md5("text").alias("unique_key"), F.octet_length("text").cast("long").alias("n_bytes"), F.col("cum_bytes").cast("long").alias("cum_bytes"))
 
 
-FLAGSHIP_SQL = f"""
+FLAGSHIP_SQL = rf"""
 WITH c AS (SELECT doc_id, lang, {CLEAN_SQL} AS text FROM documents),
 f AS (SELECT * FROM c WHERE len(text) BETWEEN 1 AND 8000),
 k AS (SELECT min(doc_id) AS doc_id FROM (SELECT doc_id, {LIGHT_SQL} AS s FROM f) GROUP BY s),

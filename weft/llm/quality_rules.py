@@ -23,6 +23,8 @@ HAS_WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 #: A line ends well with one of these, closing quotes and brackets aside.
 TERMINAL = r"[.!?:;,…]['\"»”’)\]]*[\x20\x09-\x0D]*$"
+#: A paragraph cut off in its last sentence holds this: two sentence ends at least.
+SENTENCES = r"(?:[.!?]['\"»”’)\]]*[\x20\x09-\x0D].*){2}"
 #: Menus and bread crumbs: several separators in a line.
 NAVIGATION = r"(?:[|»›>•·].*){2}"
 BOILERPLATE = (
@@ -72,7 +74,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """A line with words fails by its ending, as a menu, as boilerplate or as decoration.
+    """A line with words fails by its ending (unless it holds sentences), as a menu, as boilerplate or as decoration.
 
     Counts are taken only in lines that hold a run of capitals or a symbol at all.
     """
@@ -81,7 +83,7 @@ def line_fails(line: Column) -> Column:
         (F.regexp_count(line, F.lit(r"\p{Lu}")) * 100 > F.regexp_count(line, F.lit(r"\p{L}")) * SHOUT_PERCENT) & (F.length(F.regexp_replace(line, r"[\x20\x09-\x0D]", "")) > 20),
     ).otherwise(False)
     decorated = F.when(line.rlike(SYMBOLS), F.regexp_count(line, F.lit(SYMBOLS)) * 100 > F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")) * SYMBOLS_PER_100_WORDS).otherwise(False)
-    return ~line.rlike(TERMINAL) | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE) | shouts | decorated
+    return ~(line.rlike(TERMINAL) | line.rlike(SENTENCES)) | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE) | shouts | decorated
 
 
 def apply_rules(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
@@ -122,7 +124,7 @@ def op1_quality_rules(spark, sf_dir):
 
 
 _BOILER_SQL = BOILERPLATE.replace("'", "''")
-_TERMINAL_SQL = TERMINAL.replace("'", "''")
+_TERMINAL_SQL, _SENTENCES_SQL = TERMINAL.replace("'", "''"), SENTENCES.replace("'", "''")
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
@@ -132,7 +134,7 @@ c AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, win) AS n FR
 v AS (SELECT r, count(DISTINCT p + o) AS n FROM c, (SELECT unnest([0, 1, 2]) AS o) GROUP BY r),
 k AS (SELECT w.r, doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
              len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words, len(l) AS n_lines,
-             list_filter(l, lambda x: regexp_matches(x, '{_TERMINAL_SQL}') AND NOT regexp_matches(x, '{NAVIGATION}')
+             list_filter(l, lambda x: (regexp_matches(x, '{_TERMINAL_SQL}') OR regexp_matches(x, '{_SENTENCES_SQL}')) AND NOT regexp_matches(x, '{NAVIGATION}')
                AND NOT regexp_matches(x, '{_BOILER_SQL}')
                AND NOT (regexp_matches(x, '\p{{Lu}}{{2}}') AND len(regexp_extract_all(x, '\p{{Lu}}')) * 100 > len(regexp_extract_all(x, '\p{{L}}')) * {SHOUT_PERCENT}
                         AND len(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) > 20)

@@ -29,7 +29,7 @@ from weft.llm.kernels import _BASE, _BYTE, _power, byte_lengths, chunks, mix
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens whose ids a worker remembers; the older half goes when it is full.
-CACHE = 400_000
+CACHE = 250_000
 #: Mean number of keys in a bucket of the perfect hash.
 BUCKET = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)

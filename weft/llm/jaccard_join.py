@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import discard, materialise
-from weft.llm.kernels import Words, chunks, mix
+from weft.llm.kernels import CHUNK_BYTES, Words, byte_lengths, chunks, mix
 
 WORDS = 4
 PERCENT = 85
@@ -122,6 +122,14 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
+def _set_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of the batches of a few MB of text with the sets of their rows, so that little is unpacked at a time."""
+    for batch in batches:
+        for a, b in chunks(byte_lengths(batch.column("text")), CHUNK_BYTES):
+            part = batch.slice(a, b - a)
+            yield part, shingle_sets(_texts(part.column("text")), words)
+
+
 def _node(s: np.ndarray, seed: int) -> tuple[int, int]:
     """128 bits of a set: the node's number and a check."""
     with np.errstate(over="ignore"):
@@ -133,8 +141,7 @@ def fingerprints(docs: DataFrame, words: int, seed: int) -> DataFrame:
     """doc_id, n_shingles, node and check (null for the empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(_texts(batch.column("text")), words)
+        for batch, sets in _set_batches(batches, words):
             nodes = [_node(s, seed) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in nodes], pa.int64()), pa.array([x for _, x in nodes], pa.int64())],
@@ -147,8 +154,8 @@ def fingerprints(docs: DataFrame, words: int, seed: int) -> DataFrame:
 def _distinct_sets(batches: Iterator[pa.RecordBatch], words: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each set once per task, so that copies weigh little."""
     seen: set[int] = set()
-    for batch in batches:
-        for s in shingle_sets(_texts(batch.column("text")), words):
+    for _, sets in _set_batches(batches, words):
+        for s in sets:
             if len(s) and (node := _node(s, seed)[0]) not in seen:
                 seen.add(node)
                 yield node, s

@@ -22,7 +22,7 @@ import math
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -188,9 +188,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     words = learn_words(labelled)
     shared = docs.sparkSession.sparkContext.broadcast(Scorer(words, PRIOR))
 
-    @F.pandas_udf("array<double>")
-    def features(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.features(t).tolist() for t in texts])
+    @F.arrow_udf("array<double>")
+    def features(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.features(t.as_py()).tolist() for t in texts], pa.list_(pa.float64()))
 
     rows = labelled.select(features("text").alias("x"), "toxic").groupBy("x", "toxic").count().collect() if n else []
     x = np.array([r["x"] for r in rows]).reshape(-1, len(PRIOR))
@@ -202,9 +202,10 @@ def with_score(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFram
     """All columns of docs and the score."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(texts), dtype=float)
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        # One text at a time leaves the Arrow buffer, however long the texts are.
+        return pa.array(shared.value.scores(t.as_py() for t in texts), pa.float64())
 
     return docs.withColumn(name, score("text"))
 

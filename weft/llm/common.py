@@ -43,16 +43,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write once as Parquet in the shared folder and read back, which cuts the lineage."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._weft_path = path
+    return written
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files behind a frame from materialise() that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._weft_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def word_array(text: Column) -> Column:

@@ -58,7 +58,7 @@ def queries() -> dict[str, Query]:
 
 
 def _cast(name: str, sql: str) -> str:
-    parts = [f"CAST({c} AS {kind}) AS {c}" for kind, of in CASTS.items() for c in of.get(name, ())]
+    parts = [f'CAST("{c}" AS {kind}) AS "{c}"' for kind, of in CASTS.items() for c in of.get(name, ())]
     return f"SELECT * REPLACE ({', '.join(parts)}) FROM ({sql})" if parts else sql
 
 

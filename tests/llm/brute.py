@@ -55,6 +55,14 @@ def groups(rows, percent=85):
     return {i: find(i) for i in ids}
 
 
+def links(rows, percent=85, n=4):
+    """doc_id -> number of other sets that link with its own, over all pairs."""
+    sets = {i: shingles(t, n) for i, t in rows}
+    different = set(sets.values()) - {frozenset()}
+    count = {x: sum(x != y and 100 * len(x & y) >= percent * len(x | y) for y in different) for x in different}
+    return {i: count.get(x, 0) for i, x in sets.items()}
+
+
 def quality(text):
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     text = text or ""

@@ -48,6 +48,29 @@ def test_join_finds_all_links_of_edited_copies(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [256, 7])
+def test_join_counts_all_links(spark, monkeypatch, block):
+    """Also between the members of a component that head no list, and across blocks of a component."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard_join, "BLOCK_COLUMNS", 50)
+    base = [f"w{i}" for i in range(100)]
+    docs = [(1, " ".join(base)), (2, " ".join([*base, "one"])), (3, " ".join([*base, "two", "more"])), (4, " ".join(base))]
+    rng = random.Random(3)
+    for n in (12, 30, 200):
+        text = passage(rng, n).split()
+        for _ in range(30):
+            w = list(text)
+            for _ in range(rng.randrange(0, 2 + n // 30)):
+                w[rng.randrange(len(w))] = rng.choice(WORDS)
+            docs.append((len(docs) + 1, " ".join(w)))
+    docs += [(500, passage(rng, 50)), (501, None), (502, passage(rng, 80)), (503, passage(rng, 80))]
+    docs.append((504, docs[-1][1] + " end"))
+    want = brute.links(docs)
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.join_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    assert [want[i] for i in (1, 2, 3, 4)] == [2, 2, 2, 2] and max(want.values()) > 15
+    assert got == want
+
+
 @pytest.mark.parametrize("light", [0, 9, 16])
 def test_keys_of_linked_sets_meet(light):
     """Whatever the boundary, linked sets share a subset key or a list entry."""

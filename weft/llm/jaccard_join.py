@@ -13,7 +13,9 @@ Each list first gives a star of edges from its least member. They are verified
 on the whole sets and joined into components; only members of one list that are
 then in different components are compared with each other (by size and position
 bounds, then on the whole sets). So no link between different texts is lost, and
-a group of copies needs no more than a star.
+a group of copies needs no more than a star. To count links, the sets of a
+component of three or more are compared all with all, in pairs of blocks of
+bounded size; only the count of each set leaves a pair of blocks.
 
 Defined cases: null, empty and blank texts have an empty set and link with
 nothing. A text with fewer than four words has one shingle, its whole sequence.
@@ -47,6 +49,11 @@ SKETCH_BITS = 21
 SKETCH_BLOCKS = 64
 #: Sketches of this many tasks are added up in one group.
 SKETCH_FAN = 64
+#: A block of a component holds about so many sets and shingles; each pair of blocks is one group of rows.
+BLOCK_SETS = 256
+BLOCK_SHINGLES = 1_000_000
+#: Columns of the matrix in which two blocks are compared at a time.
+BLOCK_COLUMNS = 4096
 #: Up to this many ids the filter for texts to verify is broadcast (8 bytes each); beyond it, it is a shuffle join.
 BROADCAST_IDS = 1_000_000
 _SHINGLE = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 3) % 2**64 | 1) for i in range(64)]
@@ -246,13 +253,18 @@ def _may_link(size_a: str, pos_a: str, size_b: str, pos_b: str, percent: int):
 
 def _texts_of(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
     """node, text of the nodes in `pairs`, from one document each (rows that share its id come along)."""
-    wanted = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "first_id"), "join-wanted")
+    return _texts_at(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, source)
+
+
+def _texts_at(wanted: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
+    """node, text of the nodes in `wanted`, which has each once."""
+    wanted = materialise(wanted.join(nodes, "node").select("node", "first_id"), "join-wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     return source.join(few, F.col("doc_id") == F.col("first_id")).select("node", "text")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of `pairs` (a, b) whose sets link, on whole texts."""
+def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+    """Those of `pairs` (a, b) whose sets link, on whole texts; texts of other sets under the same id don't count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -266,7 +278,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                         last = (a[i], shingle_sets(_texts(left.slice(i, 1)), words)[0])
                     x = last[1]
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= percent * (len(x) + len(y) - both):
+                    if 100 * both >= percent * (len(x) + len(y) - both) and _node(x, seed)[0] == a[i] and _node(y, seed)[0] == b[i]:
                         good.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], ["a", "b"])
 
@@ -294,6 +306,70 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def links_between(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set of `left` and each of `right`, whether they link."""
+    sizes = [np.array([len(s) for s in side], dtype=np.int64) for side in (left, right)]
+    _, column, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(left) + len(right)), np.concatenate(sizes))
+    # A shingle of one set alone adds to no intersection.
+    used = times > 1
+    number = np.cumsum(used) - 1
+    row, column = row[used[column]], number[column[used[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)), dtype=np.int64)
+    for at in range(0, int(used.sum()), BLOCK_COLUMNS):
+        s, e = np.searchsorted(column, [at, at + BLOCK_COLUMNS])
+        m = np.zeros((len(left) + len(right), BLOCK_COLUMNS), dtype=np.float32)
+        m[row[s:e], column[s:e] - at] = 1
+        both += (m[: len(left)] @ m[len(left) :].T).astype(np.int64)
+    return 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+
+
+def count_within(label: DataFrame, nodes: DataFrame, source: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+    """node, k: rows whose sum of k is the number of links of a set inside its component.
+
+    Blocks are dealt by hash, so a component of any size is spread over tasks; what is
+    broadcast of the components in several blocks is at most one row for BLOCK_SETS sets.
+    """
+    sized = label.join(nodes.select("node", "size"), "node")
+    whole = sized.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("volume")).filter("n > 2")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("volume") / BLOCK_SHINGLES)).cast("int")
+    whole = materialise(whole.select("component", blocks.alias("n_blocks")), "join-sized")
+    large = whole.filter("n_blocks > 1")
+    large = F.broadcast(large) if large.count() <= BROADCAST_IDS else large
+    of_large = label.join(large, "component").select("node", "component", "n_blocks")
+    of_small = label.join(large, "component", "left_anti").join(whole.filter("n_blocks = 1"), "component").select("node", "component", "n_blocks")
+    member = materialise(of_large.union(of_small), "join-members")
+
+    def run(group: pa.Table) -> pa.Table:
+        side, own = np.array(group.column("block").to_pylist()), group.column("node").to_pylist()
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        sets = shingle_sets(_texts(group.column("text")), words)
+        # Rows that share an id come along with texts of other sets, or with the same one twice.
+        at: dict[int, int] = {}
+        for x, node in enumerate(own):
+            if len(sets[x]) and _node(sets[x], seed)[0] == node:
+                at.setdefault(node, x)
+        left, right = [x for x in at.values() if side[x] == i], [x for x in at.values() if side[x] == j]
+        if not left or not right:
+            return pa.table({"node": pa.array([], pa.int64()), "k": pa.array([], pa.int64())})
+        linked = links_between([sets[x] for x in left], [sets[x] for x in right], percent)
+        if i == j:
+            found, of = linked.sum(axis=1) - 1, left
+        else:
+            found, of = np.concatenate([linked.sum(axis=1), linked.sum(axis=0)]), left + right
+        return pa.table({"node": pa.array([own[x] for x in of], pa.int64()), "k": pa.array(found, pa.int64())})
+
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    placed = member.join(_texts_at(member.select("node"), nodes, source), "node")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")).withColumn("other", other)
+    placed = placed.select("component", "node", "text", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    inside = placed.groupBy("component", "i", "j").applyInArrow(run, "node long, k long")
+    # Two sets that are a component link with each other.
+    return inside.union(label.join(member, "node", "left_anti").select("node", F.lit(1).cast("long").alias("k")))
+
+
 def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, seed: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable) and n_links (verified links of its set) per row."""
     spark = docs.sparkSession
@@ -314,7 +390,7 @@ def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     near = _may_link("head.size", "head.pos", "size", "pos", percent)
     star = shared.filter((F.col("node") != F.col("head.node")) & near)
     star = materialise(star.select(F.least("head.node", "node").alias("a"), F.greatest("head.node", "node").alias("b")).distinct(), "join-star")
-    linked = materialise(_verify(star, _texts_of(star, nodes, source), words, percent), "join-links")
+    linked = materialise(_verify(star, _texts_of(star, nodes, source), words, percent, seed), "join-links")
     label = components(linked)
 
     # What shares a list across components, and may link by its sizes and positions.
@@ -326,13 +402,16 @@ def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & near)
     pairs = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     pairs = materialise(pairs, "join-pairs")
-    links = linked.union(materialise(_verify(pairs, _texts_of(pairs, nodes, source), words, percent), "join-links2")).distinct()
+    far = materialise(_verify(pairs, _texts_of(pairs, nodes, source), words, percent, seed), "join-links2")
+    links = linked.union(far).distinct()
 
     # Ids carried by several sets tie these together.
     several = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("m")).filter("a <> m").select("doc_id", "a")
     ties = named.join(several, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
     final = components(links.union(ties))
-    degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
+    ends = far.distinct()
+    ends = ends.select(F.col("a").alias("node"), F.lit(1).cast("long").alias("k")).union(ends.select("b", F.lit(1).cast("long")))
+    degree = ends.union(count_within(label, nodes, source, words, percent, seed)).groupBy("node").agg(F.sum("k").alias("n_links"))
     group = nodes.join(final, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("part"))
     least = group.groupBy("part").agg(F.min("first_id").alias("component_id"))
     answer = group.join(least, "part").join(degree, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

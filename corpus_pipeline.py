@@ -1,7 +1,7 @@
 """A training corpus in five stages: documents in, token digests of the mixture out.
 
 toxicity: documents that the clause grammar rejects go.
-jaccard_join: one document of each group of near copies stays, that with the least id.
+jaccard_join: one document of each group of near copies (0.8 of their five-word shingles) stays, that with the least id.
 secret_scan: every span found is replaced by a mark; no document goes.
 mix_sources: documents are taken as often as their source's target asks, up to twice.
 byte_bpe: what is left is encoded and decoded; doc_id, n_tokens and both digests.
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from weft.llm import bpe, jaccard_join, mixing, secret_scan, toxicity
 from weft.llm.common import materialise
 
+#: Near copies of the second stage: words of a shingle and percent of shingles shared (op4 alone has its own limits).
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: Up to this many ids to drop are broadcast (8 bytes each); beyond it, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -30,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = materialise(jaccard_join.join_documents(docs.select("doc_id", "text")), "pipeline-groups").filter("doc_id IS NOT NULL")
+    groups = materialise(jaccard_join.join_documents(docs.select("doc_id", "text"), words=NEAR_WORDS, percent=NEAR_PERCENT), "pipeline-groups").filter("doc_id IS NOT NULL")
     gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

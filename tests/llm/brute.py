@@ -33,12 +33,12 @@ def shingles(text, n=4):
     return frozenset([tuple(w)]) if len(w) < n else frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
 
 
-def groups(rows, percent=85):
+def groups(rows, percent=85, n=4):
     """doc_id -> least id reachable, over all pairs."""
     sets = {}
     for i, t in rows:
         if i is not None:
-            sets.setdefault(i, []).append(shingles(t))
+            sets.setdefault(i, []).append(shingles(t, n))
     parent = {i: i for i in sets}
 
     def find(x):

@@ -303,6 +303,26 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(map(tuple, whole.collect()), key=repr) == sorted(map(tuple, kept["byte_bpe"]), key=repr)
 
 
+def test_near_copies_at_five_words_and_four_fifths(spark, tmp_path):
+    """Pairs between the limits of op4 and of the stage, and groups around the stage's limit."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(140)]
+    edited = [f"new{i}" if i in (30, 70, 110) else w for i, w in enumerate(base)]
+    texts = [" ".join(base), " ".join(edited)]
+    for n in (6, 9, 15, 40, 100):
+        text = passage(rng, n).split()
+        for _ in range(12):
+            w = list(text)
+            for _ in range(rng.randrange(0, 3 + n // 25)):
+                w[rng.randrange(len(w))] = rng.choice(WORDS)
+            texts.append(" ".join(w))
+    docs = list(enumerate(texts))
+    want = set(brute.groups(docs, 80, 5).values())
+    assert 1 not in want and 1 in set(brute.groups(docs).values())
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], SCHEMA)
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame, str(tmp_path)).collect()} == want
+
+
 def test_pipeline_on_hard_rows_and_on_nothing(spark, tmp_path):
     sf = save(spark, tmp_path / "a")
     assert corpus_pipeline.run(spark, sf).count() > 0

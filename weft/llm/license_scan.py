@@ -2,7 +2,9 @@
 
 Base phrases are counted on words. On top, a few hundred rules are derived from
 license families (names, versions, identifiers, links) and sentence forms. A
-rule runs only where its keyword occurs. Detections that overlap are resolved:
+rule runs only where one of its keywords occurs; whatever it matches holds one.
+White space of any length, and comment marks at the start of a line, may stand
+between words. Detections that overlap are resolved:
 an interval contained in another goes, of equal intervals the earlier rule stays.
 
 Defined cases: null and empty texts have no words, no labels and score 0. Rows
@@ -24,44 +26,48 @@ from weft.llm.kernels import ALNUM, Words, byte_lengths, chunks
 #: The base phrases and their labels, in listed order.
 BASE = ((("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl"))
 
-#: label: keyword, name, versions, SPDX stem, link.
+#: Between words: white space, and after a line break comment marks too.
+_BREAK = r"(?:[\n\x0b-\r][ \t]*(?:(?:[*#;%>|!/]+|--+)[ \t]*)?)"
+GAP = rf"(?:[ \t]+{_BREAK}*|{_BREAK}+)"
+
+#: label: keywords (words, of which each alternative of the name holds one), name, versions, SPDX stem, link.
 FAMILIES = {
-    "agpl": ("affero", r"gnu affero general public licen[cs]e", ("3", "1"), "agpl", "gnu.org/licenses/agpl"),
-    "lgpl": ("lesser", r"gnu (?:lesser|library) general public licen[cs]e", ("3", "2.1", "2"), "lgpl", "gnu.org/licenses/lgpl"),
-    "gpl": ("general public", r"gnu general public licen[cs]e", ("3", "2", "1"), "gpl", "gnu.org/licenses/gpl"),
-    "gfdl": ("documentation", r"gnu free documentation licen[cs]e", ("1.3", "1.2", "1.1"), "gfdl", "gnu.org/licenses/fdl"),
-    "apache": ("apache", r"apache (?:software )?licen[cs]e", ("2.0", "1.1", "1.0"), "apache", "apache.org/licenses"),
-    "mit": ("mit", r"mit licen[cs]e", (), "mit", "opensource.org/licenses/mit"),
-    "bsd": ("bsd", r"(?:new |simplified |modified )?bsd licen[cs]e", ("2-clause", "3-clause", "4-clause"), "bsd", "opensource.org/licenses/bsd"),
-    "mpl": ("mozilla", r"mozilla public licen[cs]e", ("2.0", "1.1", "1.0"), "mpl", "mozilla.org/mpl"),
-    "epl": ("eclipse", r"eclipse public licen[cs]e", ("2.0", "1.0"), "epl", "eclipse.org/legal/epl"),
-    "cddl": ("common development", r"common development and distribution licen[cs]e", ("1.1", "1.0"), "cddl", "opensource.org/licenses/cddl"),
-    "cpl": ("common public", r"common public licen[cs]e", ("1.0",), "cpl", "opensource.org/licenses/cpl"),
-    "eupl": ("european union", r"european union public licen[cs]e", ("1.2", "1.1"), "eupl", "eupl.eu"),
-    "artistic": ("artistic", r"(?:perl )?artistic licen[cs]e", ("2.0", "1.0"), "artistic", "opensource.org/licenses/artistic"),
-    "boost": ("boost", r"boost software licen[cs]e", ("1.0",), "bsl", "boost.org/license"),
-    "isc": ("isc", r"isc licen[cs]e", (), "isc", "opensource.org/licenses/isc"),
-    "zlib": ("zlib", r"zlib(?:/libpng)? licen[cs]e", (), "zlib", "opensource.org/licenses/zlib"),
-    "unlicense": ("unlicense", r"the unlicen[cs]e", (), "unlicense", "unlicense.org"),
-    "wtfpl": ("do what", r"do what the f\S+ you want to public licen[cs]e", ("2", "1"), "wtfpl", "wtfpl.net"),
-    "osl": ("open software", r"open software licen[cs]e", ("3.0", "2.1"), "osl", "opensource.org/licenses/osl"),
-    "ofl": ("open font", r"sil open font licen[cs]e", ("1.1", "1.0"), "ofl", "scripts.sil.org/ofl"),
-    "psf": ("python", r"python software foundation licen[cs]e", ("2",), "psf", "python.org/psf/license"),
-    "upl": ("universal permissive", r"universal permissive licen[cs]e", ("1.0",), "upl", "opensource.org/licenses/upl"),
-    "ms-pl": ("microsoft", r"microsoft public licen[cs]e", (), "ms-pl", "opensource.org/licenses/ms-pl"),
-    "ms-rl": ("microsoft", r"microsoft reciprocal licen[cs]e", (), "ms-rl", "opensource.org/licenses/ms-rl"),
-    "sspl": ("server side", r"server side public licen[cs]e", ("1",), "sspl", "mongodb.com/licensing/server-side-public-license"),
-    "busl": ("business source", r"business source licen[cs]e", ("1.1",), "busl", "mariadb.com/bsl"),
-    "odbl": ("open database", r"open (?:data commons )?database licen[cs]e", ("1.0",), "odbl", "opendatacommons.org/licenses/odbl"),
-    "cc0": ("cc0", r"(?:cc0|creative commons zero)", ("1.0",), "cc0", "creativecommons.org/publicdomain/zero"),
-    "cc-by-nc-nd": ("cc", r"(?:cc[ -]by-nc-nd|creative commons attribution-?non-?commercial-no-?deriv\w*)", ("4.0", "3.0", "2.5", "2.0"), "cc-by-nc-nd", "creativecommons.org/licenses/by-nc-nd"),
-    "cc-by-nc-sa": ("cc", r"(?:cc[ -]by-nc-sa|creative commons attribution-?non-?commercial-share-?alike)", ("4.0", "3.0", "2.5", "2.0"), "cc-by-nc-sa", "creativecommons.org/licenses/by-nc-sa"),
-    "cc-by-nc": ("cc", r"(?:cc[ -]by-nc|creative commons attribution-?non-?commercial)", ("4.0", "3.0", "2.5", "2.0"), "cc-by-nc", "creativecommons.org/licenses/by-nc"),
-    "cc-by-nd": ("cc", r"(?:cc[ -]by-nd|creative commons attribution-no-?deriv\w*)", ("4.0", "3.0", "2.5", "2.0"), "cc-by-nd", "creativecommons.org/licenses/by-nd"),
-    "cc-by-sa": ("cc", r"(?:cc[ -]by-sa|creative commons attribution-share-?alike)", ("4.0", "3.0", "2.5", "2.0"), "cc-by-sa", "creativecommons.org/licenses/by-sa"),
-    "cc-by": ("cc", r"(?:cc[ -]by|creative commons attribution)", ("4.0", "3.0", "2.5", "2.0"), "cc-by", "creativecommons.org/licenses/by"),
-    "public-domain": ("public domain", r"public domain", (), "public-domain", "creativecommons.org/licenses/publicdomain"),
-    "all-rights-reserved": ("all rights reserved", r"all rights reserved", (), "proprietary", "all-rights-reserved.org"),
+    "agpl": (("affero",), r"gnu affero general public licen[cs]e", ("3", "1"), "agpl", "gnu.org/licenses/agpl"),
+    "lgpl": (("lesser", "library"), r"gnu (?:lesser|library) general public licen[cs]e", ("3", "2.1", "2"), "lgpl", "gnu.org/licenses/lgpl"),
+    "gpl": (("general",), r"gnu general public licen[cs]e", ("3", "2", "1"), "gpl", "gnu.org/licenses/gpl"),
+    "gfdl": (("documentation",), r"gnu free documentation licen[cs]e", ("1.3", "1.2", "1.1"), "gfdl", "gnu.org/licenses/fdl"),
+    "apache": (("apache",), r"apache (?:software )?licen[cs]e", ("2.0", "1.1", "1.0"), "apache", "apache.org/licenses"),
+    "mit": (("mit",), r"mit licen[cs]e", (), "mit", "opensource.org/licenses/mit"),
+    "bsd": (("bsd",), r"(?:new |simplified |modified )?bsd licen[cs]e", ("2-clause", "3-clause", "4-clause"), "bsd", "opensource.org/licenses/bsd"),
+    "mpl": (("mozilla",), r"mozilla public licen[cs]e", ("2.0", "1.1", "1.0"), "mpl", "mozilla.org/mpl"),
+    "epl": (("eclipse",), r"eclipse public licen[cs]e", ("2.0", "1.0"), "epl", "eclipse.org/legal/epl"),
+    "cddl": (("development",), r"common development and distribution licen[cs]e", ("1.1", "1.0"), "cddl", "opensource.org/licenses/cddl"),
+    "cpl": (("common",), r"common public licen[cs]e", ("1.0",), "cpl", "opensource.org/licenses/cpl"),
+    "eupl": (("european",), r"european union public licen[cs]e", ("1.2", "1.1"), "eupl", "eupl.eu"),
+    "artistic": (("artistic",), r"(?:perl )?artistic licen[cs]e", ("2.0", "1.0"), "artistic", "opensource.org/licenses/artistic"),
+    "boost": (("boost",), r"boost software licen[cs]e", ("1.0",), "bsl", "boost.org/license"),
+    "isc": (("isc",), r"isc licen[cs]e", (), "isc", "opensource.org/licenses/isc"),
+    "zlib": (("zlib",), r"zlib(?:/libpng)? licen[cs]e", (), "zlib", "opensource.org/licenses/zlib"),
+    "unlicense": (("unlicen",), r"the unlicen[cs]e", (), "unlicense", "unlicense.org"),
+    "wtfpl": (("want",), r"do what the f\S+ you want to public licen[cs]e", ("2", "1"), "wtfpl", "wtfpl.net"),
+    "osl": (("software",), r"open software licen[cs]e", ("3.0", "2.1"), "osl", "opensource.org/licenses/osl"),
+    "ofl": (("font",), r"sil open font licen[cs]e", ("1.1", "1.0"), "ofl", "scripts.sil.org/ofl"),
+    "psf": (("python",), r"python software foundation licen[cs]e", ("2",), "psf", "python.org/psf/license"),
+    "upl": (("permissive",), r"universal permissive licen[cs]e", ("1.0",), "upl", "opensource.org/licenses/upl"),
+    "ms-pl": (("microsoft",), r"microsoft public licen[cs]e", (), "ms-pl", "opensource.org/licenses/ms-pl"),
+    "ms-rl": (("microsoft",), r"microsoft reciprocal licen[cs]e", (), "ms-rl", "opensource.org/licenses/ms-rl"),
+    "sspl": (("server",), r"server side public licen[cs]e", ("1",), "sspl", "mongodb.com/licensing/server-side-public-license"),
+    "busl": (("business",), r"business source licen[cs]e", ("1.1",), "busl", "mariadb.com/bsl"),
+    "odbl": (("database",), r"open (?:data commons )?database licen[cs]e", ("1.0",), "odbl", "opendatacommons.org/licenses/odbl"),
+    "cc0": (("cc0", "creative"), r"(?:cc0|creative commons zero)", ("1.0",), "cc0", "creativecommons.org/publicdomain/zero"),
+    "cc-by-nc-nd": (("cc", "creative"), r"(?:cc(?: |-)by-nc-nd|creative commons attribution-?non-?commercial-no-?deriv\w*)", ("4.0", "3.0", "2.5", "2.0"), "cc-by-nc-nd", "creativecommons.org/licenses/by-nc-nd"),
+    "cc-by-nc-sa": (("cc", "creative"), r"(?:cc(?: |-)by-nc-sa|creative commons attribution-?non-?commercial-share-?alike)", ("4.0", "3.0", "2.5", "2.0"), "cc-by-nc-sa", "creativecommons.org/licenses/by-nc-sa"),
+    "cc-by-nc": (("cc", "creative"), r"(?:cc(?: |-)by-nc|creative commons attribution-?non-?commercial)", ("4.0", "3.0", "2.5", "2.0"), "cc-by-nc", "creativecommons.org/licenses/by-nc"),
+    "cc-by-nd": (("cc", "creative"), r"(?:cc(?: |-)by-nd|creative commons attribution-no-?deriv\w*)", ("4.0", "3.0", "2.5", "2.0"), "cc-by-nd", "creativecommons.org/licenses/by-nd"),
+    "cc-by-sa": (("cc", "creative"), r"(?:cc(?: |-)by-sa|creative commons attribution-share-?alike)", ("4.0", "3.0", "2.5", "2.0"), "cc-by-sa", "creativecommons.org/licenses/by-sa"),
+    "cc-by": (("cc", "creative"), r"(?:cc(?: |-)by|creative commons attribution)", ("4.0", "3.0", "2.5", "2.0"), "cc-by", "creativecommons.org/licenses/by"),
+    "public-domain": (("domain",), r"public domain", (), "public-domain", "creativecommons.org/licenses/publicdomain"),
+    "all-rights-reserved": (("reserved",), r"all rights reserved", (), "proprietary", "all-rights-reserved.org"),
 }
 #: Sentence forms around a name, the most telling first, with the weight of a detection.
 FORMS = (
@@ -70,28 +76,28 @@ FORMS = (
     (r"{name}", 0.6),
 )
 #: A text holds one of these wherever any rule or base phrase can match.
-PREFILTER = ("licen", "spdx", "rights reserved", "public domain", "cc0", "cc by", "cc-by", "creative", *sorted({f[4].split("/")[0] for f in FAMILIES.values()}))
+PREFILTER = ("licen", "spdx", "reserved", "domain", "cc0", "cc-by", "creative", *sorted({f[4].split("/")[0] for f in FAMILIES.values()}))
 
 
-def build_rules() -> list[tuple[str, str, re.Pattern, float]]:
-    """(label, keyword, pattern, weight) in order of priority: forms with versions, forms, identifiers, links."""
+def build_rules() -> list[tuple[str, tuple[str, ...], re.Pattern, float]]:
+    """(label, keywords, pattern, weight) in order of priority: forms with versions, forms, identifiers, links."""
     rules = []
-    for label, (keyword, name, versions, stem, link) in FAMILIES.items():
-        add = lambda pattern, weight, key=keyword, label=label: rules.append((label, key, re.compile(pattern), weight))
+    for label, (keywords, name, versions, stem, link) in FAMILIES.items():
+        add = lambda pattern, weight, keys=keywords, label=label: rules.append((label, keys, re.compile(pattern.replace(" ", GAP)), weight))
         for form, weight in FORMS:
             body = form.format(name=name)
             for v in versions:
                 add(rf"(?<!\w){body},? ?\(?(?:version |v\.? ?|v)?{re.escape(v)}(?![\w.]\d|\w)", min(1.0, weight + 0.1))
             add(rf"(?<!\w){body}(?!\w)", weight)
-        add(rf"spdx-license-identifier: ?{re.escape(stem)}[\w.+-]*", 1.0, "spdx")
-        add(rf"{re.escape(link)}[\w./-]*", 0.8, link.split("/")[0])
+        add(rf"spdx-license-identifier: ?{re.escape(stem)}[\w.+-]*", 1.0, ("spdx",))
+        add(rf"{re.escape(link)}[\w./-]*", 0.8, (link.split("/")[0],))
     return rules
 
 
 _rules: list = []
 
 
-def rules() -> list[tuple[str, str, re.Pattern, float]]:
+def rules() -> list[tuple[str, tuple[str, ...], re.Pattern, float]]:
     if not _rules:
         _rules.extend(build_rules())
     return _rules
@@ -101,10 +107,11 @@ def detect(lowered: str) -> list[tuple[int, int, str, float]]:
     """(start, end, label, weight) of the detections that stand, by position; `lowered` has no A-Z."""
     keywords: dict[str, bool] = {}
     found = []
-    for priority, (label, keyword, pattern, weight) in enumerate(rules()):
-        if keyword not in keywords:
-            keywords[keyword] = keyword in lowered
-        if keywords[keyword]:
+    for priority, (label, needed, pattern, weight) in enumerate(rules()):
+        for keyword in needed:
+            if keyword not in keywords:
+                keywords[keyword] = keyword in lowered
+        if any(keywords[keyword] for keyword in needed):
             found += [(m.start(), m.end(), priority, label, weight) for m in pattern.finditer(lowered)]
     # By start, longest first, then by priority: whatever ends no later than one before it is contained.
     found.sort(key=lambda x: (x[0], -x[1], x[2]))
@@ -116,7 +123,7 @@ def detect(lowered: str) -> list[tuple[int, int, str, float]]:
     return kept
 
 
-_GATE = re.compile("|".join(map(re.escape, PREFILTER)).encode())
+_GATE = re.compile("|".join([*map(re.escape, PREFILTER), f"cc{GAP}by"]).encode())
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

@@ -95,7 +95,7 @@ def _fim(d):
 
 
 def _audit(g):
-    """All errors of a rendered conversation, comma-joined."""
+    """Seven kinds of errors in the turns of a conversation, comma-joined; it sees no packed ids or masks (README, Limits)."""
     x = F.col("msgs")
     checks = [
         F.when(F.size(x) == 0, "empty"),

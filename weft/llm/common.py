@@ -65,6 +65,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, in any case of letters."""
+    taken, name = {c.lower() for c in df.columns}, f"__weft_{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def is_held_out(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text leaves no remainder; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0

@@ -25,5 +25,6 @@ def oracle_sql():
         "op1_quality_rules": quality_rules.SQL,
         "op4_jaccard_join": jaccard_join.SQL,
         "op5_mix_sources": mixing.SQL,
+        "op6_secret_scan": secret_scan.SQL,
         "op8_warc_archive": warc.SQL,
     }

@@ -64,47 +64,6 @@ def test_redaction_merges_overlaps(spark):
     assert r == 'é [secret]" end'
 
 
-def test_license_base_on_hard_rows(hard, spark):
-    extra = spark.createDataFrame([(90, "MIT License and the mit  license; Apache-License, GENERAL public\nlicense. summit license"), (91, "license mit"), (92, "Licensed under the Apache License, Version 2.0.")], "doc_id long, text string")
-    rows = {r["doc_id"]: r for r in license_scan.scan(hard.select("doc_id", "text").union(extra)).collect()}
-    assert (rows[90]["n_base"], rows[90]["first_word"], rows[90]["last_word"], rows[90]["base_labels"]) == (4, 0, 8, "apache,gpl,mit")
-    assert rows[91]["n_base"] == 0 and rows[91]["first_word"] is None
-    assert rows[92]["labels"] == "apache" and rows[92]["spans"].startswith("apache:0:") and rows[92]["score"] > 0.9
-    assert rows[1]["n_words"] == 0 and rows[1]["labels"] == "" and rows[1]["score"] == 0.0
-
-
-LICENSE_NAMES = {
-    "agpl": ["GNU Affero General Public License"], "lgpl": ["GNU Lesser General Public License", "GNU Library General Public Licence"], "gpl": ["GNU General Public License"],
-    "gfdl": ["GNU Free Documentation License"], "apache": ["Apache License", "Apache Software License"], "mit": ["MIT License"], "bsd": ["BSD License", "New BSD License", "Simplified BSD License", "Modified BSD License"],
-    "mpl": ["Mozilla Public License"], "epl": ["Eclipse Public License"], "cddl": ["Common Development and Distribution License"], "cpl": ["Common Public License"], "eupl": ["European Union Public Licence"],
-    "artistic": ["Artistic License", "Perl Artistic License"], "boost": ["Boost Software License"], "isc": ["ISC License"], "zlib": ["zlib License", "zlib/libpng License"], "unlicense": ["The Unlicense", "The Unlicence"],
-    "wtfpl": ["Do What The F*** You Want To Public License"], "osl": ["Open Software License"], "ofl": ["SIL Open Font License"], "psf": ["Python Software Foundation License"], "upl": ["Universal Permissive License"],
-    "ms-pl": ["Microsoft Public License"], "ms-rl": ["Microsoft Reciprocal License"], "sspl": ["Server Side Public License"], "busl": ["Business Source License"], "odbl": ["Open Database License", "Open Data Commons Database License"],
-    "cc0": ["CC0", "Creative Commons Zero"], "cc-by-nc-nd": ["CC BY-NC-ND", "CC-BY-NC-ND", "Creative Commons Attribution-NonCommercial-NoDerivatives"],
-    "cc-by-nc-sa": ["CC BY-NC-SA", "CC-BY-NC-SA", "Creative Commons Attribution-NonCommercial-ShareAlike"], "cc-by-nc": ["CC BY-NC", "CC-BY-NC", "Creative Commons Attribution-NonCommercial"],
-    "cc-by-nd": ["CC BY-ND", "CC-BY-ND", "Creative Commons Attribution-NoDerivs"], "cc-by-sa": ["CC BY-SA", "CC-BY-SA", "Creative Commons Attribution-ShareAlike"], "cc-by": ["CC BY", "CC-BY", "Creative Commons Attribution"],
-    "public-domain": ["Public Domain"], "all-rights-reserved": ["All rights reserved"],
-}
-
-
-def test_each_rule_finds_each_name_alone(spark):
-    """With no other text that might hold its keyword, on one line and broken over lines of a comment."""
-    assert set(LICENSE_NAMES) == set(license_scan.FAMILIES)
-    names = [(label, name) for label, found in LICENSE_NAMES.items() for name in found]
-    texts = [(label, form(name)) for label, name in names for form in (str, lambda n: f"Released under the {n}", lambda n: n.replace(" ", "\n"), lambda n: "# Released under\n# the " + n.replace(" ", "  \r\n  # "), lambda n: " * " + n.replace(" ", "\n *\n * "))]
-    texts += [(label, f"Released under the terms of the {name}\n// version {v}") for label, name in names for v in license_scan.FAMILIES[label][2][:1]]
-    texts.append(("cc-by-sa", "Released under the Creative Commons Attribution-ShareAlike 4.0 International License."))
-    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()}
-    wrong = [(t, label, got[i]["spans"]) for i, (label, t) in enumerate(texts) if {x.split(":")[0] for x in got[i]["spans"].split(",")} != {label} or got[i]["score"] < 0.6]
-    assert not wrong
-
-
-def test_contained_detections_go():
-    found = license_scan.detect("this is under the gnu lesser general public license version 2.1 here")
-    assert [x[2] for x in found] == ["lgpl"]
-    assert len(license_scan.rules()) > 200
-
-
 def reference_encoding():
     import public_tokenizers
     import tiktoken

@@ -71,6 +71,53 @@ def test_join_counts_all_links(spark, monkeypatch, block):
     assert got == want
 
 
+def test_entries_of_short_texts_keep_memory_bounded(monkeypatch):
+    """Many two-line texts in one partition: batches of bounded size, and memory that their number doesn't move."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard_join, "SEEN_SETS", 2_000)
+    monkeypatch.setattr(jaccard_join, "OUT_ENTRIES", 10_000)
+
+    def batches():
+        for i in range(20):
+            yield pa.RecordBatch.from_arrays([pa.array([f"line {i} of {j}\nand two {j % 7} more words {j % 11}" for j in range(i * 1000, (i + 1) * 1000)])], ["text"])
+
+    tracemalloc.start()
+    most, n = 0, 0
+    for batch in jaccard_join._entries(batches(), np.zeros(1 << 10, dtype=np.uint32), 4, 85, 24, 1):
+        most, n = max(most, batch.num_rows), n + batch.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n >= 100_000 and most < 11_000 and peak < 60 << 20, (n, most, peak)
+
+
+def test_sets_forgotten_by_a_task_change_nothing(spark, monkeypatch):
+    rng = random.Random(4)
+    docs = [(i, passage(rng, 30)) for i in range(40)] + [(100 + i, passage(random.Random(i), 8)) for i in range(20)]
+    docs += [(200 + i, t) for i, t in docs[:50]]
+    monkeypatch.setattr(jaccard_join, "SEEN_SETS", 2)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute.groups(docs)
+
+
+def test_a_shared_number_asks_for_another_seed(spark, monkeypatch):
+    """With numbers of a few bits, two sets clash under the first seeds; the check notices and a later seed serves."""
+    real = jaccard_join._node
+    monkeypatch.setattr(jaccard_join, "_node", lambda s, seed: (real(s, seed)[0] % 3 if seed < 3 else real(s, seed)[0], real(s, seed)[1]))
+    calls = []
+
+    def local(docs, words, seed):
+        calls.append(seed)
+        rows = [(r["doc_id"], jaccard_join.shingle_sets([(r["text"] or "").encode()], words)[0]) for r in docs.collect()]
+        return spark.createDataFrame([(i, len(s), *jaccard_join._node(s, seed)) for i, s in rows], "doc_id long, n_shingles long, node long, check long")
+
+    monkeypatch.setattr(jaccard_join, "fingerprints", local)
+    docs = spark.createDataFrame([(i, passage(random.Random(i), 20)) for i in range(12)], "doc_id long, text string")
+    assert jaccard_join._named_sets(docs, 4)[2] == 3 and calls == [1, 2, 3]
+
+
 @pytest.mark.parametrize("light", [0, 9, 16])
 def test_keys_of_linked_sets_meet(light):
     """Whatever the boundary, linked sets share a subset key or a list entry."""
@@ -323,6 +370,38 @@ def test_near_copies_at_five_words_and_four_fifths(spark, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame, str(tmp_path)).collect()} == want
 
 
+def test_near_copies_of_rows_that_share_an_id(spark, tmp_path):
+    """Unrelated texts under one id both stay; copies go wherever they stand; wordless and id-less rows pass."""
+    rng = random.Random(12)
+    a, b, c = passage(rng, 60), passage(rng, 60), passage(rng, 60)
+    rows = [(1, a, "en"), (1, b, "en"), (1, b, "de"), (2, a + " end", "en"), (3, c, "en"), (3, c, "en"), (None, a, "en"), (4, "", "en"), (4, None, "en"), (5, b.upper(), "en")]
+    frame = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows], SCHEMA)
+    kept = sorted(((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.drop_near_copies(spark, frame, str(tmp_path)).collect()))
+    assert kept == sorted([(1, a), (1, b), (3, c), (0, a), (4, ""), (4, "")])
+
+
+def test_stages_with_clashing_columns(hard, spark, tmp_path):
+    """Each stage keeps the columns it gets, whatever their names."""
+    save(spark, tmp_path / "t", labels=[(4, 1, 0), (5, 1, 1)])
+    frame = hard.withColumns({c: F.lit("clash") for c in ("__weft_node", "__weft_base", "__gone", "__id", "component_id", "seed", "taken")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, frame, str(tmp_path / "t"))
+        assert after.columns == frame.columns and after.filter("size = 'clash'").count() == after.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, frame, "").count() == frame.count()
+
+
+def test_scratch_is_deleted(spark, tmp_path):
+    import os
+
+    from weft.llm.common import shared_dir
+
+    sf = save(spark, tmp_path)
+    before = set(os.listdir(shared_dir(spark)))
+    corpus_pipeline.run(spark, sf).count()
+    left = set(os.listdir(shared_dir(spark))) - before
+    assert len(left) == 1 and "pipeline-result" in next(iter(left))
+
+
 def test_pipeline_on_hard_rows_and_on_nothing(spark, tmp_path):
     sf = save(spark, tmp_path / "a")
     assert corpus_pipeline.run(spark, sf).count() > 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,19 +41,45 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/weft-{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write once as Parquet in the shared folder and read back, which cuts the lineage."""
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Deletes the tables written inside by materialise() when it ends, but for those marked `outer`."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for df in _scopes.pop():
+            discard(df)
+
+
+def materialise(df: DataFrame, label: str, outer: bool = False) -> DataFrame:
+    """Write once as Parquet in the shared folder and read back, which cuts the lineage.
+
+    The innermost scratch_scope deletes it, or with `outer` the next one around.
+    """
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     written._weft_path = path
+    level = -2 if outer else -1
+    if len(_scopes) >= -level:
+        _scopes[level].append(written)
     return written
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a frame from materialise() that nothing reads any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._weft_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, whatever it holds."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files behind frames from materialise() that nothing reads any more."""
+    for df in frames:
+        delete(df.sparkSession, df._weft_path)
 
 
 def word_array(text: Column) -> Column:

@@ -21,7 +21,8 @@ Defined cases: null, empty and blank texts have an empty set and link with
 nothing. A text with fewer than four words has one shingle, its whole sequence.
 Rows that share an id are one vertex: what either links to is reachable from
 both. Rows without an id get their set size and a null component. Other columns
-are ignored. An empty table gives an empty result.
+are ignored. An empty table gives an empty result. Two sets that share a number are
+noticed by a check, and all is done again with another seed.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import discard, materialise
+from weft.llm.common import discard, materialise, scratch_scope
 from weft.llm.kernels import CHUNK_BYTES, Words, byte_lengths, chunks, mix
 
 WORDS = 4
@@ -54,6 +55,10 @@ BLOCK_SETS = 256
 BLOCK_SHINGLES = 1_000_000
 #: Columns of the matrix in which two blocks are compared at a time.
 BLOCK_COLUMNS = 4096
+#: A task forgets which sets it has seen after so many, and hands on so many entries at a time: its memory is bounded.
+SEEN_SETS, OUT_ENTRIES = 500_000, 200_000
+#: Seeds tried when two different sets share a node number.
+SEEDS = 5
 #: Up to this many ids the filter for texts to verify is broadcast (8 bytes each); beyond it, it is a shuffle join.
 BROADCAST_IDS = 1_000_000
 _SHINGLE = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 3) % 2**64 | 1) for i in range(64)]
@@ -159,11 +164,13 @@ def fingerprints(docs: DataFrame, words: int, seed: int) -> DataFrame:
 
 
 def _distinct_sets(batches: Iterator[pa.RecordBatch], words: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each set once per task, so that copies weigh little."""
+    """Each set once per task (or once in SEEN_SETS sets), so that copies weigh little."""
     seen: set[int] = set()
     for _, sets in _set_batches(batches, words):
         for s in sets:
             if len(s) and (node := _node(s, seed)[0]) not in seen:
+                if len(seen) >= SEEN_SETS:
+                    seen.clear()
                 seen.add(node)
                 yield node, s
 
@@ -209,35 +216,40 @@ def count_sketch(docs: DataFrame, words: int, seed: int) -> np.ndarray:
     return sketch
 
 
+def _entries(batches: Iterator[pa.RecordBatch], counts: np.ndarray, words: int, percent: int, light: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """key, node, size, pos of the sets in the batches, about OUT_ENTRIES at a time."""
+    mask = np.uint64(len(counts) - 1)
+
+    def out(rows):
+        keys, nodes, sizes, pos = zip(*rows, strict=True)
+        lens = [len(k) for k in keys]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, dtype=np.int64), lens)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), lens)), pa.array(np.concatenate(pos).astype(np.int32))],
+            ["key", "node", "size", "pos"],
+        )
+
+    rows, n = [], 0
+    for node, s in _distinct_sets(batches, words, seed):
+        if len(s) <= light:
+            k = subset_keys(s, percent, light)
+            rows.append((k, node, len(s), np.full(len(k), -1)))
+            n += len(k)
+        if partners(len(s), percent)[-1] > light:
+            first = np.lexsort((s, counts[(s & mask).astype(np.int64)]))[: prefix_length(len(s), percent)]
+            rows.append((s[first], node, len(s), np.arange(len(first))))
+            n += len(first)
+        if n > OUT_ENTRIES:
+            yield out(rows)
+            rows, n = [], 0
+    if rows:
+        yield out(rows)
+
+
 def list_entries(docs: DataFrame, words: int, percent: int, light: int, seed: int, sketch) -> DataFrame:
     """key, node, size, pos: entries of the inverted lists, and of subsets (pos -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
-        mask = np.uint64(len(counts) - 1)
-
-        def out(rows):
-            keys, nodes, sizes, pos = zip(*rows, strict=True)
-            lens = [len(k) for k in keys]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, dtype=np.int64), lens)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), lens)), pa.array(np.concatenate(pos).astype(np.int32))],
-                ["key", "node", "size", "pos"],
-            )
-
-        rows, n = [], 0
-        for node, s in _distinct_sets(batches, words, seed):
-            if len(s) <= light:
-                k = subset_keys(s, percent, light)
-                rows.append((k, node, len(s), np.full(len(k), -1)))
-            if partners(len(s), percent)[-1] > light:
-                first = np.lexsort((s, counts[(s & mask).astype(np.int64)]))[: prefix_length(len(s), percent)]
-                rows.append((s[first], node, len(s), np.arange(len(first))))
-                n += len(first)
-            if n > 200_000:
-                yield out(rows)
-                rows, n = [], 0
-        if rows:
-            yield out(rows)
+        yield from _entries(batches, sketch.value, words, percent, light, seed)
 
     return docs.select("text").mapInArrow(run, "key long, node long, size int, pos int")
 
@@ -275,10 +287,13 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int, seed:
                 right, good = shingle_sets(_texts(rows.column("tb")), words), []
                 for i, y in enumerate(right):
                     if last[0] != a[i]:
-                        last = (a[i], shingle_sets(_texts(left.slice(i, 1)), words)[0])
+                        x = shingle_sets(_texts(left.slice(i, 1)), words)[0]
+                        if not len(x) or _node(x, seed)[0] != a[i]:
+                            continue
+                        last = (a[i], x)
                     x = last[1]
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= percent * (len(x) + len(y) - both) and _node(x, seed)[0] == a[i] and _node(y, seed)[0] == b[i]:
+                    if 100 * both >= percent * (len(x) + len(y) - both) and len(y) and _node(y, seed)[0] == b[i]:
                         good.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], ["a", "b"])
 
@@ -301,9 +316,11 @@ def components(edges: DataFrame) -> DataFrame:
         # Whom my label points to may itself have moved on.
         jump = met.select(F.col("node").alias("low"), F.col("low").alias("lower"))
         new = materialise(met.join(jump, "low").select("node", F.least("low", "lower").alias("component"), (F.least("low", "lower") != F.col("component")).alias("moved")), "cc-labels")
-        labels = new.select("node", "component")
+        discard(labels)
+        labels = new
         if not new.filter("moved").limit(1).count():
-            return labels
+            discard(both)
+            return labels.select("node", "component")
 
 
 def links_between(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
@@ -370,15 +387,35 @@ def count_within(label: DataFrame, nodes: DataFrame, source: DataFrame, words: i
     return inside.union(label.join(member, "node", "left_anti").select("node", F.lit(1).cast("long").alias("k")))
 
 
-def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, seed: int = 1) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable) and n_links (verified links of its set) per row."""
+def _named_sets(source: DataFrame, words: int) -> tuple[DataFrame, DataFrame, int]:
+    """Prints of all rows, one row for each set, and the first seed under which no two sets share a number."""
+    for seed in range(1, SEEDS + 1):
+        prints = materialise(fingerprints(source, words, seed), "join-prints")
+        named = prints.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
+        nodes = materialise(named.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("size"), F.min("check").alias("low"), F.max("check").alias("high")), "join-nodes")
+        if not nodes.filter("low <> high").limit(1).count():
+            return prints, nodes, seed
+    raise ValueError(f"different sets share a node number under each of {SEEDS} seeds")
+
+
+def _candidates(shared: DataFrame, label: DataFrame, star: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b that share a list across components, and may link by their sizes and positions."""
+    marked = shared.join(label, "node", "left").select("key", "node", "size", "pos", F.coalesce("component", "node").alias("part"))
+    split = marked.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("key")
+    open_lists = materialise(marked.join(split, "key", "left_semi").distinct(), "join-open")
+    x, y = open_lists.alias("x"), open_lists.alias("y")
+    near = _may_link("x.size", "x.pos", "y.size", "y.pos", percent)
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & near)
+    pairs = materialise(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "join-pairs")
+    discard(open_lists)
+    return pairs
+
+
+def _joined(docs: DataFrame, words: int, percent: int, by_id: bool) -> DataFrame:
+    """Per row: doc_id, n_shingles, node, component_id and its component_node (the least node that carries it), n_links."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = materialise(fingerprints(source, words, seed), "join-prints")
-    named = prints.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = materialise(named.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("size"), F.min("check").alias("low"), F.max("check").alias("high")), "join-nodes")
-    if nodes.filter("low <> high").limit(1).count():
-        raise ValueError("two different sets share a node number; pass another seed")
+    prints, nodes, seed = _named_sets(source, words)
     sizes = {r["size"]: r["n"] for r in nodes.filter(F.col("size") <= MAX_LIGHT).groupBy("size").agg(F.count("*").alias("n")).collect()}
     light = choose_boundary(sizes, percent)
     sketch = spark.sparkContext.broadcast(count_sketch(source, words, seed))
@@ -392,34 +429,59 @@ def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     star = materialise(star.select(F.least("head.node", "node").alias("a"), F.greatest("head.node", "node").alias("b")).distinct(), "join-star")
     linked = materialise(_verify(star, _texts_of(star, nodes, source), words, percent, seed), "join-links")
     label = components(linked)
-
-    # What shares a list across components, and may link by its sizes and positions.
-    marked = shared.join(label, "node", "left").select("key", "node", "size", "pos", F.coalesce("component", "node").alias("part"))
-    split = marked.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("key")
-    open_lists = materialise(marked.join(split, "key", "left_semi").distinct(), "join-open")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    near = _may_link("x.size", "x.pos", "y.size", "y.pos", percent)
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & near)
-    pairs = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    pairs = materialise(pairs, "join-pairs")
+    pairs = _candidates(shared, label, star, percent)
+    discard(shared, star)
     far = materialise(_verify(pairs, _texts_of(pairs, nodes, source), words, percent, seed), "join-links2")
-    links = linked.union(far).distinct()
+    discard(pairs)
 
-    # Ids carried by several sets tie these together.
-    several = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("m")).filter("a <> m").select("doc_id", "a")
-    ties = named.join(several, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
-    final = components(links.union(ties))
+    links = linked.union(far).distinct()
+    if by_id:
+        # Ids carried by several sets tie these together.
+        named = prints.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
+        several = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("m")).filter("a <> m").select("doc_id", "a")
+        links = links.union(named.join(several, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b").distinct())
+    final = components(links)
     ends = far.distinct()
     ends = ends.select(F.col("a").alias("node"), F.lit(1).cast("long").alias("k")).union(ends.select("b", F.lit(1).cast("long")))
     degree = ends.union(count_within(label, nodes, source, words, percent, seed)).groupBy("node").agg(F.sum("k").alias("n_links"))
     group = nodes.join(final, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("part"))
-    least = group.groupBy("part").agg(F.min("first_id").alias("component_id"))
-    answer = group.join(least, "part").join(degree, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    least = group.groupBy("part").agg(F.min(F.struct("first_id", "node")).alias("least"))
+    answer = group.join(least, "part").join(degree, "node", "left").select("node", F.col("least.first_id").alias("component_id"), F.col("least.node").alias("component_node"), "n_links")
     return prints.join(answer, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
+        "doc_id", "n_shingles", "node", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "component_node", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.lit(seed).alias("seed")
     )
 
 
+def join_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """As join_documents, but rows that share an id are told apart by their sets.
+
+    Columns more: node (number of the row's set, null for the empty one), component_node (of the sets in the
+    component that have a row of component_id, the least number) and seed, with which with_node() gives the same numbers.
+    """
+    with scratch_scope():
+        return materialise(_joined(docs, words, percent, False), "join-result", outer=True)
+
+
+def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable) and n_links (verified links of its set) per row."""
+    with scratch_scope():
+        found = _joined(docs, words, percent, True).select("doc_id", "n_shingles", "component_id", "n_links")
+        return materialise(found, "join-result", outer=True)
+
+
+def with_node(docs: DataFrame, name: str, words: int = WORDS, seed: int = 1) -> DataFrame:
+    """docs with the number of each row's set; null for the empty one."""
+
+    @F.arrow_udf("long")
+    def number(texts: pa.Array) -> pa.Array:
+        out: list[int | None] = []
+        for a, b in chunks(byte_lengths(texts), CHUNK_BYTES):
+            out += [_node(s, seed)[0] if len(s) else None for s in shingle_sets(_texts(texts.slice(a, b - a)), words)]
+        return pa.array(out, pa.int64())
+
+    return docs.withColumn(name, number("text"))
+
+
 def op4_jaccard_join(spark, sf_dir):
     return join_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 

@@ -7,9 +7,11 @@ mix_sources: documents are taken as often as their source's target asks, up to t
 byte_bpe: what is left is encoded and decoded; doc_id, n_tokens and both digests.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns
-their columns, but for the last. Rows without an id pass the second stage. Rows
-that share an id there are one document, of which the one with the least text
-hash stays. An empty table passes through as an empty one.
+their columns, but for the last. Rows without an id or without words pass the
+second stage. Rows that share an id are told apart by their texts there: those
+with one set of shingles are copies of each other, of which the one with the
+least text hash stays; different texts under one id are different documents. An
+empty table passes through as an empty one.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import bpe, jaccard_join, mixing, secret_scan, toxicity
-from weft.llm.common import materialise
+from weft.llm.common import discard, materialise, scratch_scope, unused
 
 #: Near copies of the second stage: words of a shingle and percent of shingles shared (op4 alone has its own limits).
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -28,26 +30,33 @@ BROADCAST_IDS = 1_000_000
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scorer = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.with_score(docs, scorer, "__weft_score").filter("__weft_score < 0.5").drop("__weft_score")
+    score = unused(docs, "score")
+    return toxicity.with_score(docs, scorer, score).filter(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = materialise(jaccard_join.join_documents(docs.select("doc_id", "text"), words=NEAR_WORDS, percent=NEAR_PERCENT), "pipeline-groups").filter("doc_id IS NOT NULL")
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    groups = jaccard_join.join_sets(docs.select("doc_id", "text"), words=NEAR_WORDS, percent=NEAR_PERCENT).filter("doc_id IS NOT NULL AND node IS NOT NULL")
+    stays = (F.col("doc_id") == F.col("component_id")) & (F.col("node") == F.col("component_node"))
+    lost_id, lost_node, own = (unused(docs, x) for x in ("lost_id", "lost_node", "node"))
+    gone = groups.filter(~stays).select(F.col("doc_id").alias(lost_id), F.col("node").alias(lost_node)).distinct()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    if groups.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        # Combined before the shuffle, so that an id of very many rows is one row from each task.
+    seed = groups.select("seed").first()
+    marked = jaccard_join.with_node(docs, own, NEAR_WORDS, seed["seed"] if seed else 1)
+    kept = marked.join(gone, (F.col("doc_id") == F.col(lost_id)) & (F.col(own) == F.col(lost_node)), "left_anti")
+    twice = groups.filter(stays).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(lost_id))
+    if twice.limit(1).count():
+        # Rows of one id with equal sets. Combined before the shuffle, so that an id of very many rows is one row from each task.
+        carried = (F.col("doc_id") == F.col(lost_id)) & F.col(own).isNotNull()
+        again, alone = kept.join(twice, carried, "left_semi"), kept.join(twice, carried, "left_anti")
         order = F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))
-        one = kept.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(F.struct(*docs.columns), order).alias("__row")).select("__row.*")
-        kept = one.unionByName(kept.filter("doc_id IS NULL"))
-    return kept
+        one = again.groupBy(F.col("doc_id").alias("__id"), F.col(own).alias("__set")).agg(F.min_by(F.struct(*again.columns), order).alias("__row")).select("__row.*")
+        kept = one.unionByName(alone)
+    return kept.drop(own)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = docs.select(F.struct(*docs.columns).alias("__weft_row"), "text")
-    clean = F.when(F.size("spans") > 0, secret_scan.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    found = secret_scan.scan(row).select("__weft_row", clean.alias("__weft_text"))
+    found = secret_scan.scan(row).select("__weft_row", secret_scan.redact(F.col("text"), F.col("spans")).alias("__weft_text"))
     own = {"text": F.col("__weft_text"), "n_chars": F.length("__weft_text").cast("long")}
     return found.select(*[own.get(c, F.col("__weft_row").getField(c)).alias(c) for c in docs.columns])
 
@@ -73,7 +82,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; tables written on the way are deleted as soon as the next stage stands."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch_scope():
+        for i, (name, stage) in enumerate(STAGES):
+            before = docs
+            with scratch_scope():
+                docs = materialise(stage(spark, before, sf_dir), f"pipeline-{name}", outer=True)
+            if i:
+                discard(before)
+        return materialise(docs, "pipeline-result", outer=True)

@@ -1,5 +1,6 @@
 """Row-wise operators on hard rows: quality rules, secrets, licenses, BPE, FLAC, WARC."""
 
+import base64
 import hashlib
 import random
 import zlib
@@ -110,6 +111,29 @@ def test_flac_on_hard_rows(hard):
     assert got == sorted(want)
 
 
+def test_flac_media_are_stored_and_read_back(spark, tmp_path):
+    """The query on whole files: columns from the stored table, scratch deleted but for the result."""
+    sf = save(spark, tmp_path)
+    got = sorted((r["doc_id"] or 0, r["payload_sha256"], r["tail_crc32"]) for r in flac.op3_flac_media(spark, sf).collect())
+    assert got == sorted((i or 0, hashlib.sha256(flac.payload_of(t)[1]).hexdigest(), zlib.crc32(flac.payload_of(t)[1][-64:])) for i, t, *_ in hard_rows())
+
+
+@pytest.mark.parametrize(("first", "count"), [(0, 10), (1000, 100), (1024, 1), (5, 5000), (199_990, 100), (10**7, 5)])
+def test_flac_ranges_by_block_index(hard, first, count):
+    got = sorted((r["doc_id"] or 0, bytes(r["pcm"])) for r in flac.read_range(flac.to_media(hard), first, count).collect())
+    assert got == sorted((i or 0, flac.payload_of(t)[1][first : first + count]) for i, t, *_ in hard_rows())
+
+
+def test_flac_pcm_blocks_on_disk(hard, spark, tmp_path):
+    flac.write_pcm(flac.to_media(hard.filter("doc_id >= 9")), str(tmp_path / "pcm"))
+    blocks = spark.read.parquet(str(tmp_path / "pcm"))
+    whole = {}
+    for r in blocks.orderBy("doc_id", "sample_offset").collect():
+        assert r["sample_offset"] == len(whole.setdefault(r["doc_id"], b"")) and r["n_samples"] == len(r["pcm"])
+        whole[r["doc_id"]] += bytes(r["pcm"])
+    assert whole == {i: flac.payload_of(t)[1] for i, t, *_ in hard_rows() if i and i >= 9}
+
+
 def samples():
     rng = np.random.default_rng(1)
     return [bytes(64), rng.integers(0, 256, 4096, dtype=np.uint8).tobytes(), bytes([255]) * 5000, b"\xff\xf8" * 3000, bytes([0] * 1023 + [255]) * 5, b"a", b"text of letters " * 300, (np.arange(6000) // 3 % 256).astype(np.uint8).tobytes()]
@@ -144,12 +168,17 @@ def test_flac_damage_is_noticed(at):
 PAGES = [(1, "http://a/x", "<p>same</p>"), (2, "http://b\r\nEvil: 1", "<p>same</p>"), (3, None, None), (4, "u", ""), (5, "u", "é\r\n\r\nWARC/1.1\r\n"), (6, "u", "y" * 300_000), (2, "http://b", "<p>same</p>"), (None, "u", "<p>same</p>"), (None, "u", "alone")]
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("salt", [20_000, 2])
+def test_warc_round_trip(spark, tmp_path, monkeypatch, salt):
+    monkeypatch.setattr(warc, "BROADCAST_PAYLOADS", 0 if salt == 2 else 200_000)
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("sha256", F.lit("clash"))
     warc.write_archive(pages, str(tmp_path / "w"))
-    archive = warc.read_archive(spark, str(tmp_path / "w"))
-    assert archive.count() == len(PAGES)
-    rows = warc.reconstruct(archive).collect()
+    headers, payloads = warc.split_archive(spark, str(tmp_path / "w"))
+    assert headers.count() == len(PAGES)
+    monkeypatch.setattr(warc, "SALT_ROWS", salt)
+    rows = warc.reconstruct(headers, payloads).collect()
+    assert all(bytes(r["record"]) == r["header"].encode() + bytes(r["payload"]) and r["header"].endswith("\r\n\r\n") for r in rows)
+    assert all(r["payload_digest"] == base64.b32encode(hashlib.sha1(r["payload"]).digest()).decode() for r in rows)
     for page, _, html in PAGES:
         raw = (html or "").encode()
         own = [r for r in rows if r["page_id"] == page and bytes(r["payload"]) == raw]
@@ -157,7 +186,16 @@ def test_warc_round_trip(spark, tmp_path):
     by = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in rows)
     assert by == sorted([(1, "response", None), (2, "revisit", 1), (2, "revisit", 1), (3, "response", None), (4, "revisit", 3), (5, "response", None), (6, "response", None), (0, "revisit", 1), (0, "response", None)])
     assert all("Evil: 1\r\n" not in r["header"].replace("%0D%0AEvil", "") for r in rows)
-    assert warc.contents(archive).count() == archive.select("sha256").distinct().count()
+    assert payloads.count() == len({(h or "") for _, _, h in PAGES})
+
+
+def test_warc_with_a_damaged_payload_table(spark, tmp_path):
+    warc.write_archive(spark.createDataFrame(PAGES, "page_id long, url string, html string"), str(tmp_path / "w"))
+    headers, payloads = warc.split_archive(spark, str(tmp_path / "w"))
+    with pytest.raises(Exception, match="no payload of digest"):
+        warc.reconstruct(headers, payloads.withColumn("payload", F.concat("payload", F.lit(b"x")))).collect()
+    with pytest.raises(Exception, match="no payload of digest"):
+        warc.reconstruct(headers, payloads.filter("length(payload) > 20")).collect()
 
 
 def test_warc_below_the_least_size(spark, tmp_path):

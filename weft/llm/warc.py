@@ -5,7 +5,9 @@ of a payload is its response and carries the bytes; the others are revisits that
 refer to it. Archives are WARC/1.1 files, gzipped, written by Spark's text sink
 into the shared folder (the line separator is the last byte of a record, so
 nothing is added). The reader goes through a file as a stream by Content-Length,
-and verifies length, SHA-1 and SHA-256 of each payload.
+and verifies length, SHA-1 and SHA-256 of each payload. What it reads becomes two
+tables: exact headers of all records, and payload bytes once by their SHA-256. A
+join gives every record back, and checks the digest again.
 
 Defined cases: a null html is an empty payload. Payloads below `min_bytes` are
 all responses. Rows that repeat a response's page_id and payload are responses
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import materialise, scratch
+from weft.llm.common import delete, materialise, scratch, scratch_scope
 
 MIN_BYTES = 0
 DATE = "1970-01-01T00:00:00Z"
@@ -51,9 +53,12 @@ def _digested(pages: DataFrame) -> DataFrame:
 def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
     """One WARC record for each row of pages (page_id, url, html) below `path`."""
     rows = _digested(pages)
-    # The least id of a payload, combined before the shuffle: a hot payload is one row from each task.
-    first = rows.groupBy("sha256", "bytes").agg(F.min("page_id").alias("first_id")).withColumnsRenamed({"sha256": "__s", "bytes": "__b"})
-    joined = rows.join(first, (F.col("sha256") == F.col("__s")) & (F.col("bytes") == F.col("__b")))
+    # The least id of each payload that occurs more than once, combined before the shuffle: a hot payload is one row from each task.
+    # Only ids and digests are counted; html crosses no shuffle unless the repeated payloads are too many to broadcast.
+    counted = rows.select("page_id", "sha256", "bytes").groupBy("sha256", "bytes").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    first = materialise(counted.filter("n > 1").select(F.col("sha256").alias("__s"), F.col("bytes").alias("__b"), "first_id"), "warc-first")
+    few = F.broadcast(first) if first.count() <= BROADCAST_PAYLOADS else first
+    joined = rows.join(few, (F.col("sha256") == F.col("__s")) & (F.col("bytes") == F.col("__b")), "left")
     revisit = (F.col("bytes") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     name = lambda c: F.concat(F.lit("<urn:weft:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     html = F.coalesce(F.col("html"), F.lit(""))
@@ -138,6 +143,11 @@ def records(packed: bytes) -> Iterator[tuple[str, dict[str, str], bytes]]:
         yield text, fields, block
 
 
+#: Up to this many repeated payloads (about 100 bytes each) are broadcast; beyond it, they are joined by shuffle.
+BROADCAST_PAYLOADS = 200_000
+#: Records of one payload that one task rebuilds; a hotter payload is copied for as many tasks as it needs.
+SALT_ROWS = 20_000
+
 _FIELDS = "page_id long, record_type string, refers_to long, sha256 string, payload_bytes long, payload_digest string, header string, payload binary"
 
 
@@ -181,25 +191,51 @@ def contents(archive: DataFrame) -> DataFrame:
     return archive.filter("record_type = 'response'").groupBy("sha256").agg(*[F.first(c).alias(c) for c in stored])
 
 
-def reconstruct(archive: DataFrame) -> DataFrame:
-    """Every record with its whole payload: revisits get theirs through the digest."""
-    stored = contents(archive)
-    wide = [c for c in stored.columns if c != "sha256"]
-    return archive.drop(*wide).join(stored, "sha256", "left")
+def split_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The two tables behind an archive: exact headers of all records, and each payload's bytes once, by its digest."""
+    headers = materialise(read_archive(spark, path, ("header",)).select("page_id", "record_type", "refers_to", "sha256", "header"), "warc-headers")
+    payloads = materialise(contents(read_archive(spark, path, ("payload",))).select("sha256", "payload"), "warc-payloads")
+    return headers, payloads
+
+
+def reconstruct(headers: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Every record with its whole payload (revisits get theirs through the digest) and `record`: exact header and payload.
+
+    The digest of each payload is taken again after the join; one that differs raises.
+    """
+    hot = headers.groupBy("sha256").agg(F.count("*").alias("n")).filter(F.col("n") > SALT_ROWS).select(F.col("sha256").alias("__hot"), F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("__parts"))
+    # At most one row for SALT_ROWS records.
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_PAYLOADS else hot
+    parts = F.coalesce("__parts", F.lit(1))
+    salted = headers.join(hot, F.col("sha256") == F.col("__hot"), "left").withColumn("__salt", F.pmod(F.xxhash64("page_id", "header"), parts).cast("int")).drop("__hot", "__parts")
+    copies = payloads.join(hot, F.col("sha256") == F.col("__hot"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__hot", "__parts")
+    joined = salted.join(copies, ["sha256", "__salt"], "left").drop("__salt")
+    sound = F.sha2("payload", 256) == F.col("sha256")
+    payload = F.when(F.coalesce(sound, F.lit(False)), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("no payload of digest "), F.col("sha256"))).cast("binary"))
+    checked = joined.withColumn("payload", payload)
+    return checked.withColumn("record", F.concat(F.col("header").cast("binary"), F.col("payload"))).withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
 
 
 def op8_warc_archive(spark, sf_dir):
-    path = scratch(spark, "warc")
-    write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
-    archive = materialise(read_archive(spark, path, ()), "warc-index")
-    return reconstruct(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-
-
-SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first_id FROM p),
-b AS (SELECT *, list_transform(range(0, 32), lambda i: CAST(concat('0x', substr(x, 1 + 10 * (i // 8), 10)) AS BIGINT) // CAST(pow(32, 7 - i % 8) AS BIGINT) % 32) AS v FROM d)
-SELECT page_id, n AS payload_bytes, array_to_string(list_transform(v, lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(k + 1 AS INTEGER), 1)), '') AS payload_digest,
-  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
-FROM b
+    with scratch_scope():
+        path = scratch(spark, "warc")
+        try:
+            write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
+            rebuilt = reconstruct(*split_archive(spark, path))
+            found = rebuilt.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.sha2("record", 256).alias("record_sha256"))
+            return materialise(found, "warc-result", outer=True)
+        finally:
+            delete(spark, path)
+
+
+SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS u FROM pages),
+d AS (SELECT *, octet_length(encode(h)) AS n, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first_id FROM p),
+b AS (SELECT *, list_transform(range(0, 32), lambda i: CAST(concat('0x', substr(x, 1 + 10 * (i // 8), 10)) AS BIGINT) // CAST(pow(32, 7 - i % 8) AS BIGINT) % 32) AS v FROM d),
+c AS (SELECT *, array_to_string(list_transform(v, lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(k + 1 AS INTEGER), 1)), '') AS digest, page_id <> first_id AS again, chr(13) || chr(10) AS nl FROM b),
+e AS (SELECT *, 'WARC/1.1' || nl || 'WARC-Type: ' || CASE WHEN again THEN 'revisit' ELSE 'response' END || nl || 'WARC-Record-ID: <urn:weft:page:' || page_id || '>' || nl || 'WARC-Target-URI: ' || u || nl
+    || 'WARC-Date: 1970-01-01T00:00:00Z' || nl || 'WARC-Payload-Digest: sha1:' || digest || nl || 'X-Payload-SHA256: ' || sha256(h) || nl || 'X-Payload-Length: ' || n || nl
+    || CASE WHEN again THEN 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || nl || 'WARC-Refers-To: <urn:weft:page:' || first_id || '>' || nl ELSE '' END
+    || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || CASE WHEN again THEN 0 ELSE n END || nl || nl AS header FROM c)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to, sha256(header || h) AS record_sha256 FROM e
 """

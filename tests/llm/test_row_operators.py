@@ -112,14 +112,14 @@ def test_flac_on_hard_rows(hard):
 
 
 def test_flac_media_are_stored_and_read_back(spark, tmp_path):
-    """The query on whole files: columns from the stored table, scratch deleted but for the result."""
+    """The query on whole files: what it returns comes from the stored table."""
     sf = save(spark, tmp_path)
     got = sorted((r["doc_id"] or 0, r["payload_sha256"], r["tail_crc32"]) for r in flac.op3_flac_media(spark, sf).collect())
     assert got == sorted((i or 0, hashlib.sha256(flac.payload_of(t)[1]).hexdigest(), zlib.crc32(flac.payload_of(t)[1][-64:])) for i, t, *_ in hard_rows())
 
 
 @pytest.mark.parametrize(("first", "count"), [(0, 10), (1000, 100), (1024, 1), (5, 5000), (199_990, 100), (10**7, 5)])
-def test_flac_ranges_by_block_index(hard, first, count):
+def test_flac_ranges_by_seek_points(hard, first, count):
     got = sorted((r["doc_id"] or 0, bytes(r["pcm"])) for r in flac.read_range(flac.to_media(hard), first, count).collect())
     assert got == sorted((i or 0, flac.payload_of(t)[1][first : first + count]) for i, t, *_ in hard_rows())
 

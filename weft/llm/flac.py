@@ -5,9 +5,9 @@ at a time: numpy steps through sample positions, with one lane for each frame.
 The writer gives every frame a seek point; the reader takes frame starts from
 them (or finds frames by their sync code and header checksum), verifies both
 checksums of each frame and the MD5 of the whole stream, and yields PCM blocks
-with their sample offsets. A broken stream raises ValueError. Media are stored with
-an index of their blocks (samples and bytes), by which ranges are read without
-decoding the rest.
+with their sample offsets. A broken stream raises ValueError. Media are written to
+the shared folder before anything is read from them, and stay there as the
+operator's product.
 
 Defined cases: null and empty texts store 64 zero bytes. Texts of any length are
 cut into frames of BLOCK samples. Repeated rows are stored row by row; equal
@@ -25,11 +25,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import materialise, scratch_scope
+from weft.llm.common import materialise
 from weft.llm.kernels import byte_lengths, chunks
 
 BLOCK = 1024
@@ -557,24 +556,8 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + bytes(-len(raw) % PAD or (0 if raw else PAD))
 
 
-#: Where each frame stands: its samples in the stream and its bytes in the file.
-_INDEX = pa.struct([("sample_offset", pa.int64()), ("n_samples", pa.int64()), ("byte_offset", pa.int64()), ("n_bytes", pa.int64())])
-INDEX_TYPE = "array<struct<sample_offset:bigint,n_samples:bigint,byte_offset:bigint,n_bytes:bigint>>"
-
-
-def _index(files: list[bytes]) -> pa.Array:
-    """The block index of each file."""
-    rows, ends = [], [0]
-    for file in files:
-        frames = frame_starts(file)[1]
-        rows += [(sample, n, at, (frames[i + 1][0] if i + 1 < len(frames) else len(file)) - at) for i, (at, sample, n) in enumerate(frames)]
-        ends.append(len(rows))
-    columns = np.array(rows, dtype=np.int64).reshape(-1, 4).T
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(_INDEX)))
-
-
 def to_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (a FLAC file) and blocks (where each block of samples stands in it) for each row."""
+    """doc_id, n_bytes, media (a FLAC file) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -582,45 +565,47 @@ def to_media(docs: DataFrame) -> DataFrame:
             sizes = byte_lengths(column)
             for a, b in chunks(sizes, CHUNK):
                 made = [payload_of(t) for t in column.slice(a, b - a).to_pylist()]
-                files = encode([p for _, p in made])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([n for n, _ in made], pa.int64()), pa.array(files, pa.binary()), _index(files)], ["doc_id", "n_bytes", "media", "blocks"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([n for n, _ in made], pa.int64()), pa.array(encode([p for _, p in made]), pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, n_bytes long, media binary, blocks {INDEX_TYPE}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def store_media(docs: DataFrame) -> DataFrame:
     """to_media() written to the shared folder and read back: nothing later sees the texts again."""
-    return materialise(to_media(docs), "flac-media")
+    return materialise(to_media(docs), "flac-media", compression="zstd")
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of a few MB of media."""
+    for a, b in chunks(byte_lengths(batch.column("media")), CHUNK):
+        yield batch.slice(a, b - a)
 
 
 def read_range(media: DataFrame, first: int, count: int) -> DataFrame:
-    """doc_id, sample_offset, pcm: up to `count` samples from `first` of each file, found by its block index.
+    """doc_id, sample_offset, pcm: up to `count` samples from `first` of each file.
 
-    Only the bytes of the blocks that hold them leave the row; a range beyond the end gives no bytes.
+    The seek points tell which blocks hold them; only those are decoded, of many files at once. A range beyond the end gives no bytes.
     """
-    held = F.filter("blocks", lambda b: (b["sample_offset"] < first + count) & (b["sample_offset"] + b["n_samples"] > first))
-    start = F.coalesce(F.get("__held", F.lit(0))["byte_offset"], F.lit(0))
-    end = F.coalesce(F.try_element_at("__held", F.lit(-1))["byte_offset"] + F.try_element_at("__held", F.lit(-1))["n_bytes"], F.lit(0))
-    cut = media.select("doc_id", "media", held.alias("__held")).select("doc_id", F.substring("media", (start + 1).cast("int"), (end - start).cast("int")).alias("part"), F.transform("__held", lambda b: b["byte_offset"] - start).alias("at"), F.get("__held", F.lit(0))["sample_offset"].alias("offset"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in chunks([range(n or 0) for n in pc.binary_length(batch.column("part")).to_pylist()], CHUNK):
-                rows = batch.slice(a, b - a)
-                parts, at, offset = rows.column("part").to_pylist(), rows.column("at").to_pylist(), rows.column("offset").to_pylist()
-                starts, ends, base = [], [], 0
-                for part, own in zip(parts, at, strict=True):
-                    starts += [base + x for x in own]
-                    ends += [base + x for x in [*own[1:], len(part)]] if own else []
-                    base += len(part)
-                decoded = iter(_decode_frames(b"".join(parts), np.array(starts), np.array(ends)) if starts else [])
-                got = []
-                for own, o in zip(at, offset, strict=True):
-                    whole = b"".join(next(decoded).tobytes() for _ in own)
-                    got.append(whole[max(0, first - (o or 0)) :][:count] if own else b"")
+            for rows in _slices(batch):
+                files = rows.column("media").to_pylist()
+                starts, ends, skip, per, base = [], [], [], [], 0
+                for file in files:
+                    frames = frame_starts(file)[1]
+                    stops = [f[0] for f in frames[1:]] + [len(file)]
+                    held = [(f, e) for f, e in zip(frames, stops, strict=True) if f[1] < first + count and f[1] + f[2] > first]
+                    starts += [base + f[0] for f, _ in held]
+                    ends += [base + e for _, e in held]
+                    skip.append(max(0, first - held[0][0][1]) if held else 0)
+                    per.append(len(held))
+                    base += len(file)
+                decoded = iter(_decode_frames(b"".join(files), np.array(starts), np.array(ends)) if starts else [])
+                got = [b"".join(next(decoded).tobytes() for _ in range(n))[s : s + count] for n, s in zip(per, skip, strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([first] * len(got), pa.int64()), pa.array(got, pa.binary())], ["doc_id", "sample_offset", "pcm"])
 
-    return cut.mapInArrow(run, "doc_id long, sample_offset long, pcm binary")
+    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, sample_offset long, pcm binary")
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
@@ -628,13 +613,14 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, files = batch.column("doc_id").to_pylist(), batch.column("media").to_pylist()
-            for i, blocks in decode_blocks(files):
-                n = len(blocks)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i]] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([o for o, _ in blocks], pa.int64()), pa.array([len(x) for _, x in blocks], pa.int64()), pa.array([x.tobytes() for _, x in blocks], pa.binary())],
-                    ["doc_id", "block", "sample_offset", "n_samples", "pcm"],
-                )
+            for rows in _slices(batch):
+                ids, files = rows.column("doc_id").to_pylist(), rows.column("media").to_pylist()
+                for i, blocks in decode_blocks(files):
+                    n = len(blocks)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[i]] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([o for o, _ in blocks], pa.int64()), pa.array([len(x) for _, x in blocks], pa.int64()), pa.array([x.tobytes() for _, x in blocks], pa.binary())],
+                        ["doc_id", "block", "sample_offset", "n_samples", "pcm"],
+                    )
 
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, block long, sample_offset long, n_samples long, pcm binary")
 
@@ -651,37 +637,19 @@ def features(pcm: np.ndarray) -> str:
     return f"ms={int((x * x).sum()) // len(x)};zc={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};peak={int(np.abs(x).max())};rough={int(step.sum()) * 100 // max(1, len(step))}"
 
 
-def _tails(files: list[bytes], blocks: list) -> list[bytes]:
-    """The last PAD samples of each file: its last blocks alone are decoded, all files at once."""
-    starts, ends, base, per = [], [], 0, []
-    for file, own in zip(files, blocks, strict=True):
-        total = own[-1]["sample_offset"] + own[-1]["n_samples"]
-        held = [b for b in own[-2:] if b["sample_offset"] + b["n_samples"] > total - PAD]
-        starts += [base + b["byte_offset"] for b in held]
-        ends += [base + b["byte_offset"] + b["n_bytes"] for b in held]
-        per.append(len(held))
-        base += len(file)
-    decoded = iter(_decode_frames(b"".join(files), np.array(starts), np.array(ends)) if starts else [])
-    return [b"".join(next(decoded).tobytes() for _ in range(n))[-PAD:] for n in per]
-
-
 def read_back(media: DataFrame) -> DataFrame:
-    """Digests and features of the payloads, from the stored files alone; tail_crc32 by seeking to the last samples."""
+    """Digests and features of the payloads, from the stored files alone; every block is found by its seek point and verified."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in chunks([range(n or 0) for n in pc.binary_length(batch.column("media")).to_pylist()], CHUNK):
-                part = batch.slice(a, b - a)
+            for part in _slices(batch):
                 files, rows = part.column("media").to_pylist(), []
-                tails = _tails(files, part.column("blocks").to_pylist())
                 for i, blocks in decode_blocks(files):
                     pcm = np.concatenate([x for _, x in blocks])
                     raw = pcm.tobytes()
-                    if raw[-PAD:] != tails[i]:
-                        raise ValueError("seeking gives other samples")
-                    rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(tails[i]), len(files[i]), hashlib.sha256(files[i]).hexdigest(), features(pcm)))
+                    rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-PAD:]), len(files[i]), hashlib.sha256(files[i]).hexdigest(), features(pcm)))
                 if rows:
                     cols = [part.column("doc_id"), part.column("n_bytes"), *zip(*rows, strict=True)]
                     yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
@@ -690,6 +658,4 @@ def read_back(media: DataFrame) -> DataFrame:
 
 
 def op3_flac_media(spark, sf_dir):
-    with scratch_scope():
-        media = store_media(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-        return materialise(read_back(media), "flac-features", outer=True)
+    return read_back(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

@@ -194,7 +194,10 @@ def contents(archive: DataFrame) -> DataFrame:
 def split_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The two tables behind an archive: exact headers of all records, and each payload's bytes once, by its digest."""
     headers = materialise(read_archive(spark, path, ("header",)).select("page_id", "record_type", "refers_to", "sha256", "header"), "warc-headers")
-    payloads = materialise(contents(read_archive(spark, path, ("payload",))).select("sha256", "payload"), "warc-payloads")
+    # Responses are one for each payload but for those below the least size and repeated or missing ids; only then bytes are grouped.
+    stored = read_archive(spark, path, ("payload",)).filter("record_type = 'response'")
+    several = headers.filter("record_type = 'response'").groupBy("sha256").count().filter("count > 1").limit(1).count()
+    payloads = materialise((contents(stored) if several else stored).select("sha256", "payload"), "warc-payloads")
     return headers, payloads
 
 
@@ -221,7 +224,9 @@ def op8_warc_archive(spark, sf_dir):
         path = scratch(spark, "warc")
         try:
             write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
-            rebuilt = reconstruct(*split_archive(spark, path))
+            tables = split_archive(spark, path)
+            delete(spark, path)
+            rebuilt = reconstruct(*tables)
             found = rebuilt.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.sha2("record", 256).alias("record_sha256"))
             return materialise(found, "warc-result", outer=True)
         finally:

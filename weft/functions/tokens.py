@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weft.functions.text import bind
+
 #: Runs of letters, single digits, single other characters: additive over concatenated turns.
 TOKEN = r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]"
 
@@ -19,14 +21,18 @@ def token_count(text: Column) -> Column:
 
 def find_subsequence(values: Column, needle: Column) -> Column:
     """Index from 0 of the first occurrence of one array in another; -1 if there is none."""
-    n, m = F.size(values), F.size(needle)
-    hits = F.filter(F.sequence(F.lit(0), F.greatest(n - m, F.lit(0))), lambda i: F.slice(values, i + 1, m) == needle)
-    return F.when((m == 0) | (m > n), F.lit(-1)).otherwise(F.coalesce(F.get(hits, 0), F.lit(-1)))
+    def search(b: Column) -> Column:
+        n, m = F.size(b["v"]), F.size(b["s"])
+        hits = F.filter(F.sequence(F.lit(0), F.greatest(n - m, F.lit(0))), lambda i: (F.get(b["v"], i) == F.get(b["s"], 0)) & (F.slice(b["v"], i + 1, m) == b["s"]))
+        return F.when((m == 0) | (m > n), F.lit(-1)).otherwise(F.coalesce(F.get(hits, 0), F.lit(-1)))
+
+    return bind(F.struct(values.alias("v"), needle.alias("s")), search)
 
 
 def next_labels(ids: Column, mask: Column, ignore: int = -100) -> Column:
     """Label of each position: the next id where the next position counts, else `ignore`."""
-    return F.transform(ids, lambda x, i: F.when(F.coalesce(F.get(mask, i + 1), F.lit(0)) == 1, F.get(ids, i + 1)).otherwise(F.lit(ignore)))
+    shifted = lambda b: F.transform(b["v"], lambda x, i: F.when(F.coalesce(F.get(b["m"], i + 1), F.lit(0)) == 1, F.get(b["v"], i + 1)).otherwise(F.lit(ignore)))
+    return bind(F.struct(ids.alias("v"), mask.alias("m")), shifted)
 
 
 def pad_right(ids: Column, length: Column, pad: int = 0) -> Column:

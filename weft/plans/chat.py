@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft.functions import chat, tokens
@@ -51,7 +52,7 @@ def _prompt_dedup(g):
 
 def _mask(g):
     mask = chat.assistant_mask(F.col("msgs"))
-    return g.select("conv_id", F.size(mask).cast("long").alias("n"), F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_target"))
+    return g.select("conv_id", mask.alias("x")).select("conv_id", F.size("x").cast("long").alias("n"), F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v).alias("n_target"), F.md5(F.array_join("x", "")).alias("digest"))
 
 
 def _packed(d):
@@ -67,10 +68,9 @@ def _windows(d):
 
 
 def _labels(d):
-    ids = F.transform(tokens.tokens(F.substring("text", 1, 120)), lambda t: F.length(t))
-    mask = F.transform(ids, lambda x, i: (i % 3 != 0).cast("int"))
-    out = tokens.next_labels(ids, mask)
-    return d.select("doc_id", F.array_join(out, ",").alias("labels"))
+    ids = d.select("doc_id", F.transform(tokens.tokens(F.col("text")), lambda t: F.length(t)).alias("ids"))
+    masked = ids.select("doc_id", "ids", F.transform("ids", lambda x, i: (i % 3 != 0).cast("int")).alias("mask"))
+    return masked.select("doc_id", F.md5(F.array_join(tokens.next_labels(F.col("ids"), F.col("mask")), ",")).alias("digest"))
 
 
 def _weights(d):
@@ -79,19 +79,20 @@ def _weights(d):
 
 
 def _subsequence(d):
-    toks = tokens.tokens(F.substring("text", 1, 400))
-    return d.select("doc_id", tokens.find_subsequence(toks, F.slice(toks, 5, 3)).cast("long").alias("at"))
+    toks = d.select("doc_id", tokens.tokens(F.col("text")).alias("w")).select("doc_id", "w", F.slice("w", 5, 3).alias("needle"))
+    return toks.select("doc_id", tokens.find_subsequence(F.col("w"), F.col("needle")).cast("long").alias("at"))
 
 
 def _pad(d):
-    ids = F.transform(tokens.tokens(F.substring("text", 1, 80)), lambda t: F.length(t))
-    return d.select("doc_id", F.size(tokens.pad_right(ids, F.lit(64))).cast("long").alias("n"), F.array_join(tokens.pad_right(ids, F.lit(64)), ",").alias("ids"))
+    """Batches of eight ids, each padded to its longest."""
+    rows = d.select("doc_id", F.transform(tokens.tokens(F.col("text")), lambda t: F.length(t)).alias("x"))
+    width = F.max(F.size("x")).over(Window.partitionBy(F.floor(F.col("doc_id") / 8)))
+    return rows.select("doc_id", tokens.pad_right(F.col("x"), width).alias("x")).select("doc_id", F.size("x").cast("long").alias("n"), F.md5(F.array_join("x", ",")).alias("digest"))
 
 
 def _fim(d):
-    ids = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: i)
-    start = F.pmod(hash32("fim", F.col("doc_id")), F.lit(10)).cast("int")
-    return d.select("doc_id", F.array_join(tokens.fill_in_middle(ids, start, F.lit(5), -1), ",").alias("ids"))
+    ids = d.select("doc_id", F.transform(tokens.tokens(F.col("text")), lambda t: F.length(t)).alias("ids"), F.pmod(hash32("fim", F.col("doc_id")), F.lit(10)).cast("int").alias("start"))
+    return ids.select("doc_id", F.md5(F.array_join(tokens.fill_in_middle(F.col("ids"), F.col("start"), F.lit(5), -1), ",")).alias("digest"))
 
 
 def _audit(g):
@@ -111,25 +112,25 @@ def _audit(g):
 
 QUERIES = {
     "render_chatml": m(lambda g: g.select("conv_id", chat.render(F.col("msgs")).alias("txt"))),
-    "unify_roles": m(lambda g: g.select("conv_id", F.size(chat.unify(F.col("msgs"))).cast("long").alias("n"))),
+    "unify_roles": m(lambda g: g.select("conv_id", chat.render(chat.unify(F.col("msgs"))).alias("txt"))),
     "trim_ends": m(_counts),
     "alternation_check": m(lambda g: g.select("conv_id", chat.alternates(F.col("msgs")).alias("alternating"))),
     "both_roles": m(lambda g: g.filter(chat.has_both_roles(F.col("msgs"))).select("conv_id")),
     "turn_cap": m(lambda g: g.filter(~F.exists("msgs", lambda t: (t["role"] == "assistant") & (tokens.token_count(t["content"]) > 60))).select("conv_id")),
-    "prefix_fit": m(lambda g: g.select("conv_id", F.size(chat.fit_prefix(F.col("msgs"), F.lit(300))).cast("long").alias("n_turns"))),
+    "prefix_fit": m(lambda g: g.select("conv_id", chat.fit_prefix(F.col("msgs"), F.lit(300)).alias("x")).select("conv_id", F.size("x").cast("long").alias("n_turns"), chat.render(F.col("x")).alias("txt"))),
     "fanout_ctx": m(_fanout),
     "turn_counts": m(lambda g: g.select("conv_id", F.array_join(F.transform(F.filter("msgs", lambda t: t["role"] == "assistant"), lambda t: tokens.token_count(t["content"])), ",").alias("counts"))),
     "first_user_last_assistant": m(_first_last),
     "normalize_reason": m(lambda g: g.select("conv_id", chat.reject_reason(F.col("msgs")).alias("reason"))),
     "replay_strict": m(lambda g: g.select("conv_id", chat.replay_ok(F.col("msgs")).alias("ok"))),
-    "history_trim": m(lambda g: g.select("conv_id", F.size(chat.trim_history(F.col("msgs"), F.lit(300))).cast("long").alias("n_turns"))),
+    "history_trim": m(lambda g: g.select("conv_id", chat.trim_history(F.col("msgs"), F.lit(300)).alias("x")).select("conv_id", F.size("x").cast("long").alias("n_turns"), chat.render(F.col("x")).alias("txt"))),
     "prompt_key_dedup": m(_prompt_dedup),
     "chat_quality": m(lambda g: g.select("conv_id", chat.quality(F.col("msgs")).alias("q")).select("conv_id", "q.*")),
-    "drop_system": m(lambda g: g.select("conv_id", F.size(chat.drop_system(F.col("msgs"))).cast("long").alias("n"))),
+    "drop_system": m(lambda g: g.select("conv_id", chat.render(chat.drop_system(F.col("msgs"))).alias("txt"))),
     "image_marker": m(lambda g: g.select("conv_id", chat.render(chat.with_image_marker(F.col("msgs"))).alias("txt"))),
     "turn_explode": on(C, lambda t: t.select("conv_id", "turn", F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("<|im_end|>\n")).alias("txt"))),
-    "thinking_turn": on("benchmark", lambda b: b.select("item_id", chat.thinking_turn(F.substring("text", 1, 10), F.lit("t"), F.lit("a")).alias("txt"))),
-    "build_messages": on("benchmark", lambda b: b.select("item_id", chat.render(chat.build_messages(F.substring("text", 1, 10), F.when(F.col("item_id") % 2 == 0, "why"), F.lit("a"), "Think.")).alias("txt"))),
+    "thinking_turn": on("benchmark", lambda b: b.select("item_id", chat.thinking_turn(F.col("text"), F.lit("t"), F.lit("a")).alias("txt"))),
+    "build_messages": on("benchmark", lambda b: b.select("item_id", chat.render(chat.build_messages(F.col("text"), F.when(F.col("item_id") % 2 == 0, "why"), F.lit("a"), "Think.")).alias("txt"))),
     "qa_messages": on("benchmark", lambda b: b.select("item_id", chat.render(chat.qa_messages(F.transform(F.sequence(F.lit(1), (F.col("item_id") % 6 + 1).cast("int")), lambda i: F.struct(i.cast("string").alias("q"), (i * 2).cast("string").alias("a"))))).alias("txt"))),
     "token_count": on("documents", lambda d: d.select("doc_id", tokens.token_count(F.col("text")).alias("n"))),
     "packed_blocks": on("documents", _packed),
@@ -149,33 +150,33 @@ _ENDS = "e AS (SELECT conv_id, min(turn) FILTER (role = 'user') AS u, max(turn)
 
 SQL = {
     "render_chatml": f"WITH {_MSGS} SELECT conv_id, string_agg(line, '' ORDER BY turn) AS txt FROM c GROUP BY conv_id",
-    "unify_roles": "SELECT conv_id, count(*) FILTER (role IN ('user', 'assistant') AND " + _STRIPPED.format(x="coalesce(text, '')") + " <> '') AS n FROM conversations GROUP BY conv_id",
+    "unify_roles": "WITH s AS (SELECT conv_id, turn, role, " + _STRIPPED.format(x="coalesce(text, '')") + " AS t FROM conversations) SELECT conv_id, coalesce(string_agg('<|im_start|>' || role || chr(10) || t || '<|im_end|>' || chr(10), '' ORDER BY turn) FILTER (role IN ('user', 'assistant') AND t <> ''), '') AS txt FROM s GROUP BY conv_id",
     "trim_ends": f"WITH {_MSGS}, {_ENDS} SELECT e.conv_id, count(line) AS n_turns, coalesce(string_agg(line, '' ORDER BY turn), '') AS txt FROM e LEFT JOIN c ON e.conv_id = c.conv_id AND u < v AND turn BETWEEN u AND v GROUP BY e.conv_id",
     "alternation_check": f"WITH {_MSGS}, {_ALT} SELECT conv_id, alternating FROM a",
     "both_roles": "SELECT conv_id FROM conversations GROUP BY conv_id HAVING bool_or(role = 'user') AND bool_or(role = 'assistant')",
     "turn_cap": "SELECT conv_id FROM conversations GROUP BY conv_id HAVING NOT bool_or(role = 'assistant' AND " + _n("coalesce(text, '')") + " > 60)",
-    "prefix_fit": f"WITH {_MSGS}, r AS (SELECT conv_id, role, row_number() OVER w AS i, sum(k) OVER w AS s FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, coalesce(max(i) FILTER (role = 'assistant' AND s <= 300), 0) AS n_turns FROM r GROUP BY conv_id",
+    "prefix_fit": f"WITH {_MSGS}, r AS (SELECT conv_id, role, line, row_number() OVER w AS i, sum(k) OVER w AS s FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, coalesce(max(i) FILTER (i <= e), 0) AS n_turns, coalesce(string_agg(line, '' ORDER BY i) FILTER (i <= e), '') AS txt FROM (SELECT *, max(i) FILTER (role = 'assistant' AND s <= 300) OVER (PARTITION BY conv_id) AS e FROM r) GROUP BY conv_id",
     "fanout_ctx": f"WITH {_MSGS}, r AS (SELECT conv_id, role, row_number() OVER w AS i, sum(k) OVER w AS s FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), x AS (SELECT unnest([200, 400, 800]) AS ctx) SELECT conv_id, ctx, max(i) AS n_turns, max(s) AS n_tokens FROM r, x WHERE role = 'assistant' AND s <= ctx GROUP BY conv_id, ctx",
     "turn_counts": "SELECT conv_id, coalesce(string_agg(CAST(" + _n("coalesce(text, '')") + " AS VARCHAR), ',' ORDER BY turn) FILTER (role = 'assistant'), '') AS counts FROM conversations GROUP BY conv_id",
     "first_user_last_assistant": "SELECT conv_id, min_by(text, turn) FILTER (role = 'user' AND " + _STRIPPED.format(x="text") + " <> '') AS first_user, max_by(text, turn) FILTER (role = 'assistant' AND " + _STRIPPED.format(x="text") + " <> '') AS last_assistant FROM conversations GROUP BY conv_id",
-    "history_trim": f"WITH {_MSGS}, r AS (SELECT conv_id, role, row_number() OVER w AS i, sum(k) OVER w AS s FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) SELECT conv_id, coalesce(max(i) FILTER (role = 'user' AND s <= 300), 0) AS n_turns FROM r GROUP BY conv_id",
+    "history_trim": f"WITH {_MSGS}, r AS (SELECT conv_id, role, line, row_number() OVER w AS i, sum(k) OVER w AS s FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) SELECT conv_id, coalesce(max(i) FILTER (i <= e), 0) AS n_turns, coalesce(string_agg(line, '' ORDER BY i DESC) FILTER (i <= e), '') AS txt FROM (SELECT *, max(i) FILTER (role = 'user' AND s <= 300) OVER (PARTITION BY conv_id) AS e FROM r) GROUP BY conv_id",
     "prompt_key_dedup": "WITH k AS (SELECT conv_id, lower(" + _STRIPPED.format(x="regexp_replace(string_agg(coalesce(text, ''), chr(10) ORDER BY turn), '[\\s\\p{Z}]+', ' ', 'g')") + ") AS k FROM conversations WHERE role = 'user' GROUP BY conv_id) SELECT min(conv_id) AS conv_id FROM k WHERE k <> '' GROUP BY k",
     "chat_quality": f"WITH {_MSGS}, {_ALT} SELECT a.conv_id, count(*) FILTER (role = 'assistant') AS turns, coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) + greatest(count(*) FILTER (role = 'assistant') - 1, 0) AS assistant_chars, any_value(alternating) AS alternating, sum(len(regexp_extract_all(text, '<image>|<img>'))) AS image_markers FROM a JOIN c ON a.conv_id = c.conv_id GROUP BY a.conv_id",
-    "drop_system": "SELECT conv_id, count(*) FILTER (role <> 'system') AS n FROM conversations GROUP BY conv_id",
+    "drop_system": f"WITH {_MSGS} SELECT conv_id, coalesce(string_agg(line, '' ORDER BY turn) FILTER (role <> 'system'), '') AS txt FROM c GROUP BY conv_id",
     "image_marker": "WITH x AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), '<img>', '') AS t, min(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS u FROM conversations) SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || CASE WHEN turn = u THEN '<img>' || chr(10) ELSE '' END || t || '<|im_end|>' || chr(10), '' ORDER BY turn) AS txt FROM x GROUP BY conv_id",
     "turn_explode": f"WITH {_MSGS} SELECT conv_id, turn, line AS txt FROM c",
-    "thinking_turn": "SELECT item_id, '<|im_start|>user' || chr(10) || substr(text, 1, 10) || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || '<|thought_start|>' || chr(10) || 't' || chr(10) || '<|thought_end|>' || chr(10) || 'a<|im_end|>' || chr(10) AS txt FROM benchmark",
-    "build_messages": "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN '<|im_start|>system' || chr(10) || 'Think.<|im_end|>' || chr(10) ELSE '' END || '<|im_start|>user' || chr(10) || substr(text, 1, 10) || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || CASE WHEN item_id % 2 = 0 THEN '<|thought_start|>' || chr(10) || 'why' || chr(10) || '<|thought_end|>' || chr(10) ELSE '' END || 'a<|im_end|>' || chr(10) AS txt FROM benchmark",
+    "thinking_turn": "SELECT item_id, '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || '<|thought_start|>' || chr(10) || 't' || chr(10) || '<|thought_end|>' || chr(10) || 'a<|im_end|>' || chr(10) AS txt FROM benchmark",
+    "build_messages": "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN '<|im_start|>system' || chr(10) || 'Think.<|im_end|>' || chr(10) ELSE '' END || '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || CASE WHEN item_id % 2 = 0 THEN '<|thought_start|>' || chr(10) || 'why' || chr(10) || '<|thought_end|>' || chr(10) ELSE '' END || 'a<|im_end|>' || chr(10) AS txt FROM benchmark",
     "qa_messages": "SELECT item_id, array_to_string(list_transform(range(1, CAST(least(item_id % 6 + 1, 4) + 1 AS BIGINT)), lambda i: '<|im_start|>user' || chr(10) || CAST(i AS VARCHAR) || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || CAST(i * 2 AS VARCHAR) || '<|im_end|>' || chr(10)), '') AS txt FROM benchmark",
     "token_count": "SELECT doc_id, " + _n("text") + " AS n FROM documents",
     "packed_blocks": f"WITH {_FLAT}, z AS (SELECT sum(len(w)) // 512 AS n FROM t) SELECT CAST((a + i) // 512 AS BIGINT) AS block, count(*) AS n, md5(string_agg(x, ' ' ORDER BY a + i)) AS digest, min_by(doc_id, a + i) AS source, min_by(i, a + i) AS offset FROM p, z WHERE (a + i) // 512 < z.n GROUP BY 1",
     "long_windows": f"WITH n AS (SELECT doc_id, {_n('text')} AS n FROM documents), m AS (SELECT doc_id, n, n - 512 AS top FROM n WHERE n >= 512), s AS (SELECT doc_id, k, top, n, CASE WHEN n < 576 THEN {_h('win', 'doc_id')} % (least(64, top) + 1) ELSE greatest(0, least(top, (top * k) // 2 + CAST(concat('0x', substr(md5(concat('win', k, ':', doc_id)), 1, 8)) AS BIGINT) % (2 * (least(64, top) // 2) + 1) - least(64, top) // 2)) END AS start FROM m, (SELECT unnest([0, 1, 2]) AS k) WHERE n >= 576 OR k = 0) SELECT DISTINCT doc_id, CAST(start AS BIGINT) AS start FROM s",
-    "assistant_mask": f"WITH {_MSGS} SELECT conv_id, CAST(sum(k) AS BIGINT) AS n, CAST(coalesce(sum({_n('text')} + 7) FILTER (role = 'assistant'), 0) AS BIGINT) AS n_target FROM c GROUP BY conv_id",
-    "label_shift": f"WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(substr(text, 1, 120), '{_TOK}'), lambda x: len(x)) AS w FROM documents) SELECT doc_id, array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i < len(w) AND i % 3 <> 0 THEN w[i + 1] ELSE -100 END), ',') AS labels FROM t",
+    "assistant_mask": f"WITH {_MSGS} SELECT conv_id, CAST(sum(k) AS BIGINT) AS n, CAST(coalesce(sum({_n('text')} + 7) FILTER (role = 'assistant'), 0) AS BIGINT) AS n_target, md5(string_agg(repeat('0', CAST(k - {_n('text')} - 7 AS BIGINT)) || repeat(CASE WHEN role = 'assistant' THEN '1' ELSE '0' END, CAST({_n('text')} + 7 AS BIGINT)), '' ORDER BY turn)) AS digest FROM c GROUP BY conv_id",
+    "label_shift": f"WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{_TOK}'), lambda x: len(x)) AS w FROM documents) SELECT doc_id, md5(coalesce(string_agg(CASE WHEN i < n AND i % 3 <> 0 THEN x ELSE -100 END, ',' ORDER BY i), '')) AS digest FROM (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(list_concat(w[2:], [0])) AS x, len(w) AS n FROM t WHERE len(w) > 0) GROUP BY doc_id UNION ALL SELECT doc_id, md5('') FROM t WHERE len(w) = 0",
     "token_class_weights": f"SELECT doc_id, round(coalesce(list_sum(list_transform(regexp_extract_all(text, '{_TOK}'), lambda t: CASE WHEN regexp_matches(t, '^\\p{{Nd}}$') THEN 1.2::DOUBLE WHEN regexp_matches(t, '^[+\\-*/=^%＋－×÷＝％]$') THEN 1.05::DOUBLE ELSE 1.0::DOUBLE END)), 0), 6) AS weight FROM documents",
-    "subsequence_search": f"WITH t AS (SELECT doc_id, regexp_extract_all(substr(text, 1, 400), '{_TOK}') AS w FROM documents) SELECT doc_id, CASE WHEN len(w) < 5 THEN -1 ELSE list_position(list_transform(range(1, len(w) - len(w[5:7]) + 2), lambda i: w[i:i + len(w[5:7]) - 1] = w[5:7]), true) - 1 END AS at FROM t",
-    "pad_right": f"WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(substr(text, 1, 80), '{_TOK}'), lambda x: len(x)) AS w FROM documents) SELECT doc_id, greatest(len(w), 64) AS n, array_to_string(list_concat(w, list_transform(range(0, greatest(64 - len(w), 0)), lambda i: 0)), ',') AS ids FROM t",
-    "fill_in_middle": f"WITH t AS (SELECT doc_id, CAST({_h('fim', 'doc_id')} % 10 AS INTEGER) AS s FROM documents) SELECT doc_id, array_to_string(list_concat(list_concat(range(1, s + 1), [-1]), list_concat(range(s + 6, 21), list_concat([-1], range(s + 1, s + 6)))), ',') AS ids FROM t",
+    "subsequence_search": f"WITH t AS (SELECT doc_id, regexp_extract_all(text, '{_TOK}') AS w FROM documents), p AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS x, unnest(list_concat(w[2:], [NULL])) AS y, unnest(list_concat(w[3:], [NULL, NULL])[:len(w)]) AS z, w[5] AS a, w[6] AS b, w[7] AS c FROM t WHERE len(w) >= 5) SELECT t.doc_id, coalesce(min(i) FILTER (x = a AND (b IS NULL OR y = b) AND (c IS NULL OR z = c)) - 1, -1) AS at FROM t LEFT JOIN p ON t.doc_id = p.doc_id GROUP BY t.doc_id",
+    "pad_right": f"WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{_TOK}'), lambda x: len(x)) AS w FROM documents), m AS (SELECT *, max(len(w)) OVER (PARTITION BY doc_id // 8) AS n FROM t) SELECT doc_id, n, md5(array_to_string(list_concat(w, list_transform(range(0, n - len(w)), lambda i: 0)), ',')) AS digest FROM m",
+    "fill_in_middle": f"WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{_TOK}'), lambda x: len(x)) AS w, CAST({_h('fim', 'doc_id')} % 10 AS INTEGER) AS s FROM documents) SELECT doc_id, md5(array_to_string(list_concat(list_concat(w[1:s], [-1]), list_concat(w[s + 6:], list_concat([-1], w[s + 1:s + 5]))), ',')) AS digest FROM t",
     "pack_audit": f"""WITH {_MSGS}, {_ALT}, b AS (SELECT conv_id, bool_or(role = 'user') AND bool_or(role = 'assistant') AS two, bool_or(contains(text, '<img>')) AS img, bool_or(contains(text, '<|im_')) AS tag FROM c GROUP BY conv_id)
 SELECT conv_id, array_to_string(list_filter([CASE WHEN NOT two THEN 'missing_role' END, CASE WHEN NOT alternating THEN 'non_alternating' END, CASE WHEN first_role = 'system' THEN 'system_turn' END, CASE WHEN last_role <> 'assistant' THEN 'open_end' END, CASE WHEN img THEN 'image_marker' END, CASE WHEN tag THEN 'control_tag' END], lambda x: x IS NOT NULL), ',') AS errors FROM a JOIN b USING (conv_id)""",
 }

@@ -70,11 +70,11 @@ QUERIES = {
     "byte_length": on(D, lambda d: d.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.length("text").cast("long").alias("n_points"))),
     "strip_markup": on("pages", lambda d: d.select("page_id", text.strip_markup(F.col("html")).alias("txt"))),
     "sanitize_generated": on("pages", lambda d: d.select("page_id", text.sanitize_generated(F.col("html"), F.lit("chat")).alias("txt"))),
-    "image_token": on(D, lambda d: d.select("doc_id", text.normalize_image_token(F.concat(F.lit("<image> [img] "), F.substring("text", 1, 40))).alias("txt"))),
+    "image_token": on(D, lambda d: d.select("doc_id", text.normalize_image_token(F.concat(F.lit("<image> [img] "), "text")).alias("txt"))),
     "url_source_label": on("pages", lambda d: d.select("page_id", text.url_source("web", F.col("url")).alias("src"))),
     "field_fallback": on(D, lambda d: d.select("doc_id", text.first_filled(F.when(F.col("doc_id") % 3 == 0, "  ").when(F.col("doc_id") % 3 == 1, F.col("lang")), F.col("source")).alias("picked"))),
-    "tagged_section": on(D, lambda d: d.select("doc_id", text.tagged_section(F.concat(F.lit("<SUMMARY> "), F.substring("text", 1, 30), F.lit(" </SUMMARY> rest")), "SUMMARY").alias("section"))),
-    "chat_block_extract": on(D, lambda d: d.select("doc_id", F.array_join(text.chat_blocks(F.concat(F.lit("<|im_start|>user\n"), F.substring("text", 1, 20), F.lit("<|im_end|><|im_start|>  <|im_end|>"))), "#").alias("blocks"))),
+    "tagged_section": on(D, lambda d: d.select("doc_id", text.tagged_section(F.concat(F.lit("<SUMMARY> "), "text", F.lit(" </SUMMARY> rest")), "SUMMARY").alias("section"))),
+    "chat_block_extract": on(D, lambda d: d.select("doc_id", F.array_join(text.chat_blocks(F.concat(F.lit("<|im_start|>user\n"), "text", F.lit("<|im_end|><|im_start|>  <|im_end|>"))), "#").alias("blocks"))),
     "path_parts": on("pages", lambda d: d.select("page_id", text.basename(F.col("url")).alias("base"), text.extension(F.col("url")).alias("ext"))),
     "decode_data_url": on(D, lambda d: d.select("doc_id", F.octet_length(text.decode_data_url(F.concat(F.lit("data:text/plain;base64,"), F.base64(F.col("text").cast("binary"))))).cast("long").alias("n_bytes"))),
     "char_range": on(D, lambda d: d.filter(F.length("text").between(1, 8000)).select("doc_id", F.length("text").cast("long").alias("n"))),
@@ -88,11 +88,11 @@ QUERIES = {
     "foreign_script": on(D, lambda d: d.select("doc_id", lang.has_foreign_script(_t()).alias("is_foreign"))),
     "allowlist_script": on(D, lambda d: d.select("doc_id", lang.outside_allowed(_t()).alias("is_foreign"))),
     "category_script": on(D, lambda d: d.select("doc_id", lang.has_foreign_letter(_t()).alias("is_foreign"))),
-    "cjk_ratio": on(D, lambda d: d.select("doc_id", lang.cjk_ratio(F.concat(F.col("lang"), F.lit("汉字"))).alias("ratio"))),
+    "cjk_ratio": on(D, lambda d: d.select("doc_id", lang.cjk_ratio(F.concat(F.col("text"), F.lit("汉字"))).alias("ratio"))),
     "keyword_flags": on(D, lambda d: d.select("doc_id", *[_t().rlike(p).alias(n) for n, p in FLAGS.items()], _t().rlike(SPECULATIVE).alias("speculative"))),
     "length_tristate": on(D, lambda d: d.select("doc_id", _tristate(F.length("text"), uniform("tri", F.col("doc_id")), 2000, 4000, 0.02).alias("decision"))),
     "length_strata": on(D, lambda d: d.filter((F.length("text") < 600) | ((F.length("text") < 2048) & (uniform("strata", F.col("doc_id")) < 0.05))).select("doc_id")),
-    "reason_array": on(D, lambda d: d.select("doc_id", F.array_join(reasons(_t()), ",").alias("reasons"), (F.size(reasons(_t())) == 0).alias("accepted"))),
+    "reason_array": on(D, lambda d: d.select("doc_id", reasons(_t()).alias("r")).select("doc_id", F.array_join("r", ",").alias("reasons"), (F.size("r") == 0).alias("accepted"))),
     "random_separator_join": on(D, lambda d: d.select("doc_id", F.concat(F.col("source"), F.when(uniform("sep", F.col("doc_id")) < 0.5, "\n").otherwise(" "), F.col("lang")).alias("txt"))),
     "quality_tag": on(D, lambda d: d.select("doc_id", F.when(F.length("text") > 4000, 3.0).when(F.length("text") > 1000, 2.0).otherwise(1.0).alias("unik"), (F.length("text") > 4000).alias("strict"))),
 }
@@ -106,11 +106,11 @@ SQL = {
     "byte_length": "SELECT doc_id, octet_length(encode(text)) AS n_bytes, len(text) AS n_points FROM documents",
     "strip_markup": "SELECT page_id, array_to_string(list_filter(list_transform(" + _LINES.format(x=_MARKUP) + ", lambda x: " + _strip(r"regexp_replace(x, '[\s\p{Z}\x1F]+', ' ', 'g')") + "), lambda x: x <> ''), chr(10)) AS txt FROM pages",
     "sanitize_generated": f"SELECT page_id, {_sanitize_sql('html')} AS txt FROM pages",
-    "image_token": "SELECT doc_id, regexp_replace('<image> [img] ' || substr(text, 1, 40), '" + text.IMAGE_TAG + "', '<img>', 'g') AS txt FROM documents",
+    "image_token": "SELECT doc_id, regexp_replace('<image> [img] ' || text, '" + text.IMAGE_TAG + "', '<img>', 'g') AS txt FROM documents",
     "url_source_label": r"SELECT page_id, 'web|' || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS src FROM pages",
     "field_fallback": "SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN lang ELSE source END AS picked FROM documents",
-    "tagged_section": "SELECT doc_id, " + _strip("substr(text, 1, 30)") + " AS section FROM documents",
-    "chat_block_extract": r"SELECT doc_id, regexp_replace(" + _strip(r"'user' || chr(10) || substr(text, 1, 20)") + r", '[\x{200B}-\x{200F}\x{FEFF}\x{1F300}-\x{1FAFF}\x{2600}-\x{26FF}\x{2700}-\x{27BF}]', '', 'g') AS blocks FROM documents",
+    "tagged_section": "SELECT doc_id, " + _strip("text") + " AS section FROM documents",
+    "chat_block_extract": "SELECT doc_id, " + CLEAN_SQL.replace("coalesce(text, '')", "'user' || chr(10) || text") + " AS blocks FROM documents",
     "path_parts": r"SELECT page_id, regexp_extract(url, '([^/\\]*)$', 1) AS base, lower(regexp_extract(url, '\.([A-Za-z0-9]+)$', 1)) AS ext FROM pages",
     "decode_data_url": "SELECT doc_id, octet_length(encode(text)) AS n_bytes FROM documents",
     "char_range": "SELECT doc_id, len(text) AS n FROM documents WHERE len(text) BETWEEN 1 AND 8000",
@@ -123,7 +123,7 @@ SQL = {
     "lenient_int": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 1000 + doc_id % 1000 WHEN doc_id % 4 = 1 THEN NULL WHEN doc_id % 4 = 2 THEN doc_id % 50 ELSE 12 END AS n FROM documents",
     "foreign_script": f"SELECT doc_id, regexp_matches(text, '{lang.FOREIGN}') AS is_foreign FROM documents",
     "allowlist_script": f"SELECT doc_id, regexp_matches(text, '{lang.NOT_ALLOWED}') OR regexp_matches(text, '[{lang.BANNED}]') AS is_foreign FROM documents",
-    "cjk_ratio": "SELECT doc_id, 2 / (len(regexp_extract_all(lang, '[A-Za-z]')) + 2) AS ratio FROM documents",
+    "cjk_ratio": "SELECT doc_id, (len(regexp_extract_all(text, '[\\x{3400}-\\x{9FFF}]')) + 2) / (len(regexp_extract_all(text, '[A-Za-z\\x{3400}-\\x{9FFF}]')) + 2) AS ratio FROM documents",
     "keyword_flags": "SELECT doc_id, " + ", ".join(f"regexp_matches(text, '{p}') AS {n}" for n, p in FLAGS.items()) + f", regexp_matches(text, '{SPECULATIVE}') AS speculative FROM documents",
     "length_tristate": f"SELECT doc_id, CASE WHEN len(text) > 4000 THEN 'drop_long' WHEN len(text) > 2000 AND {_h('tri', 'doc_id')} / 4294967296.0 >= 0.02 THEN 'drop_sampled' WHEN len(text) > 2000 THEN 'keep_sampled' ELSE 'keep' END AS decision FROM documents",
     "length_strata": f"SELECT doc_id FROM documents WHERE len(text) < 600 OR (len(text) < 2048 AND {_h('strata', 'doc_id')} / 4294967296.0 < 0.05)",

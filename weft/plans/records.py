@@ -73,7 +73,7 @@ def _verify(d):
 
 def _routes(d):
     """Ten student, three teacher and three general rows for each update, the language split in a cycle of two."""
-    updates = row_numbers(d.filter("doc_id < 40").select(_ID), [_ID], "u")
+    updates = row_numbers(d.select(_ID), [_ID], "u")
     chinese = F.when(F.col("u") % 2 == 0, 2).otherwise(1)
     routes = F.flatten(F.array(F.array_repeat(F.lit("student"), 10), F.array_repeat(F.lit("teacher"), 3), F.array_repeat(F.lit("chinese"), chinese), F.array_repeat(F.lit("english"), 3 - chinese)))
     return updates.select("u", F.explode(routes).alias("route")).groupBy("u", "route").agg(F.count("*").alias("n"))
@@ -105,7 +105,7 @@ def _kwargs(d):
 
 def _answer_mask(spans):
     def body(d):
-        t = F.concat(F.substring("text", 1, 30), F.lit("<|thought_end|> \\boxed{ 12 } tail"))
+        t = F.concat("text", F.lit("<|thought_end|> \\boxed{ 12 } tail"))
         mask = records.token_mask(t, spans)
         return d.select(_ID, F.size(mask).cast("long").alias("n"), F.aggregate(mask, F.lit(0), lambda a, x: a + x).cast("long").alias("marked"))
 
@@ -117,7 +117,7 @@ QUERIES = {
     "merge_chunks": on("documents", _chunks),
     "drop_null_kwargs": on("documents", _kwargs),
     "human_answers": on("documents", lambda d: d.filter((F.col(_ID) % 4 == 0) & F.lower(_pick("human", "Expert", "model")).isin("human", "expert")).select(_ID)),
-    "reference_contained": on("documents", lambda d: d.filter(F.contains(F.substring("text", 1, 400), F.lit("the"))).select(_ID)),
+    "reference_contained": on("documents", lambda d: d.filter(F.contains("text", F.lit("the"))).select(_ID)),
     "source_whitelist": on("documents", lambda d: d.filter(F.lower(F.trim("source")).isin("src1", "src3", "src5")).select(_ID, "source")),
     "short_chat_eligible": on("conversations", _eligible(1, 180)),
     "chat_eligible": on("conversations", _eligible(5, 900)),
@@ -151,7 +151,7 @@ SQL = {
     "merge_chunks": "SELECT doc_id, trim(' see <img>' || CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END) AS content FROM documents",
     "drop_null_kwargs": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a,' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN 'b,' ELSE '' END || 'c' AS keys FROM documents",
     "human_answers": "SELECT doc_id FROM documents WHERE doc_id % 4 = 0 AND doc_id % 3 < 2",
-    "reference_contained": "SELECT doc_id FROM documents WHERE contains(substr(text, 1, 400), 'the')",
+    "reference_contained": "SELECT doc_id FROM documents WHERE contains(text, 'the')",
     "source_whitelist": "SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src3', 'src5')",
     "qa_shape": f"WITH x AS (SELECT doc_id, lower(trim(regexp_replace({_pick_sql(*QUESTIONS)}, '\\s+', ' ', 'g'))) AS q, trim(lower({_pick_sql(*ANSWERS)}), ' .!?') AS a FROM documents) SELECT doc_id, q <> '' AND a <> '' AND NOT (regexp_matches(q, '^(what|which|who|where|when|why|how) ') AND a IN ('yes', 'no')) AND NOT (regexp_matches(q, '^(how many|what number) ') AND NOT regexp_matches(a, '[0-9]') AND a <> 'three') AS fits FROM x",
     "assembly_reason": "SELECT doc_id, CASE WHEN 3 + doc_id % 4 <> 5 THEN 'not_five_views' WHEN doc_id % 3 <> 1 THEN 'bad_image_marker' WHEN doc_id % 4 > 1 THEN 'bad_split' END AS reason FROM documents",
@@ -162,7 +162,7 @@ SQL = {
     "verify_constraints": f"WITH {_CHECK} SELECT * FROM k",
     "pass_rate_by_constraint": f"WITH {_CHECK} SELECT name, round(avg(ok::INT), 9) AS rate, count(*) AS n FROM k GROUP BY 1",
     "block_provenance": f"WITH t AS (SELECT doc_id, {_COUNT} AS n FROM documents), s AS (SELECT doc_id, n, sum(n) OVER (ORDER BY doc_id) - n AS a FROM t), b AS (SELECT unnest(range(0, CAST((SELECT sum(n) FROM t) // 16 AS BIGINT))) AS block) SELECT block, max_by(doc_id, (a, doc_id)) AS source, CAST(block * 16 - max(a) AS BIGINT) AS offset FROM b JOIN s ON a <= block * 16 AND a % 16 = 0 GROUP BY block",
-    "route_mix": "WITH u AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS u FROM documents WHERE doc_id < 40) SELECT u, 'student' AS route, 10 AS n FROM u UNION ALL SELECT u, 'teacher', 3 FROM u UNION ALL SELECT u, 'chinese', 2 - u % 2 FROM u UNION ALL SELECT u, 'english', 1 + u % 2 FROM u",
+    "route_mix": "WITH u AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS u FROM documents) SELECT u, 'student' AS route, 10 AS n FROM u UNION ALL SELECT u, 'teacher', 3 FROM u UNION ALL SELECT u, 'chinese', 2 - u % 2 FROM u UNION ALL SELECT u, 'english', 1 + u % 2 FROM u",
     "replay_buffer": f"WITH {_CANDIDATES}, {_REWARD}, g AS (SELECT prompt, min(cand) AS cand FROM r WHERE correct AND reward >= 1.1 AND cand <= 2 GROUP BY prompt) SELECT prompt, cand FROM g ORDER BY prompt DESC LIMIT 256",
     "tile_to_thumb": "WITH x AS (SELECT doc_id, (((doc_id % 448) - 24) / 0.8::DOUBLE + 100) * 0.5::DOUBLE + 10 AS p FROM documents), y AS (SELECT doc_id, p / 28.0::DOUBLE AS p, greatest(0, least(15, floor(p / 28.0::DOUBLE))) AS c FROM x) SELECT doc_id, CAST(c AS INTEGER) AS cell, round(greatest(-0.5, least(0.5, p - c - 0.5)), 9) AS off FROM y",
     "train_first_order": f"SELECT doc_id, CASE WHEN {_h('tf', 'doc_id')} % 10 = 0 THEN 'eval' ELSE 'train' END AS split, {_h('ord', 'doc_id')} AS score FROM documents",

@@ -16,7 +16,7 @@ from weft.plans.common import on
 
 def candidates(d):
     """prompt, cand, truth, text: four candidate answers for each document, a few of them right."""
-    x = d.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("cand"), F.substring("text", 1, 300).alias("body"))
+    x = d.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("cand"), F.col("text").alias("body"))
     h = F.pmod(hash32("cand", F.concat_ws("-", "doc_id", "cand")), F.lit(5))
     truth = (F.col("doc_id") % 7).cast("string")
     thought = F.when(h >= 3, F.concat(F.lit("<|thought_start|>\n"), "body", F.lit("\n<|thought_end|>\n"))).otherwise("")
@@ -24,7 +24,7 @@ def candidates(d):
     return x.select(F.col("doc_id").alias("prompt"), "cand", F.concat(F.lit("#### "), truth).alias("truth"), F.concat(thought, F.lit("Answer follows: "), answer).alias("text"))
 
 
-_CANDIDATES = f"""x AS (SELECT doc_id, unnest([0, 1, 2, 3]) AS cand, substr(text, 1, 300) AS body FROM documents),
+_CANDIDATES = f"""x AS (SELECT doc_id, unnest([0, 1, 2, 3]) AS cand, text AS body FROM documents),
 y AS (SELECT *, CAST(concat('0x', substr(md5(concat('cand:', doc_id, '-', cand)), 1, 8)) AS BIGINT) % 5 AS h, doc_id % 7 AS truth FROM x),
 c AS (SELECT doc_id AS prompt, cand, h, truth, CASE WHEN h >= 3 THEN '<|thought_start|>' || chr(10) || body || chr(10) || '<|thought_end|>' || chr(10) ELSE '' END || 'Answer follows: ' ||
   CASE WHEN h % 2 = 0 THEN '\\boxed{{' || truth || '}}' WHEN h = 1 THEN 'so it is ' || truth ELSE '1,234.5 apples' END AS text,
@@ -76,7 +76,7 @@ def _replay(d):
 
 
 def _marker(d):
-    body = F.concat(F.substring("text", 1, 60), F.when(F.col("doc_id") % 4 == 0, "\nTherefore, it is 4").when(F.col("doc_id") % 4 == 1, " so, it is\n\n\n4").when(F.col("doc_id") % 4 == 2, "\nThe answer is: five\nok").otherwise(""))
+    body = F.concat("text", F.when(F.col("doc_id") % 4 == 0, "\nTherefore, it is 4").when(F.col("doc_id") % 4 == 1, " so, it is\n\n\n4").when(F.col("doc_id") % 4 == 2, "\nThe answer is: five\nok").otherwise(""))
     return d.select("doc_id", answers.split_by_marker(body).alias("s")).select("doc_id", "s.status", "s.thought", "s.answer")
 
 
@@ -109,10 +109,10 @@ QUERIES = {
     "temp_downweight": on("documents", _temper),
     "replay_best": on("documents", _replay),
     "marker_split": on("documents", _marker),
-    "norm_math": on("documents", lambda d: d.select("doc_id", answers.norm_math(F.concat(F.lit(r"$\boxed{\frac 1} \left( x+"), "lang", F.lit(r"\right) \text{ok}$"))).alias("norm"))),
-    "expected_in_solution": on("documents", lambda d: d.select("doc_id", answers.contains_expected(F.substring("text", 1, 200), F.array(F.lit("the"), F.lit(" "), F.lit("D E R"))).alias("hit"))),
-    "choice_prompt": on("benchmark", lambda b: b.select("item_id", answers.choice_prompt(F.substring("text", 1, 12), F.array(F.lit("B"), F.lit("A")), F.array(F.lit("two"), F.lit("one")), "Answer with a letter.").alias("prompt"))),
-    "box_complete": on("documents", lambda d: d.select("doc_id", answers.box_is_complete(F.concat(F.lit(r"\boxed{\frac{1}{2}"), F.when(F.col("doc_id") % 2 == 0, "}").otherwise(""))).alias("complete"))),
+    "norm_math": on("documents", lambda d: d.select("doc_id", answers.norm_math(F.concat(F.lit(r"$\boxed{\frac 1} \left( x+"), "text", F.lit(r"\right) \text{ok}$"))).alias("norm"))),
+    "expected_in_solution": on("documents", lambda d: d.select("doc_id", answers.contains_expected(F.col("text"), F.array(F.lit("the"), F.lit(" "), F.lit("D E R"))).alias("hit"))),
+    "choice_prompt": on("benchmark", lambda b: b.select("item_id", answers.choice_prompt(F.col("text"), F.array(F.lit("B"), F.lit("A")), F.array(F.lit("two"), F.lit("one")), "Answer with a letter.").alias("prompt"))),
+    "box_complete": on("documents", lambda d: d.select("doc_id", answers.box_is_complete(F.concat("text", F.lit(r" \boxed{\frac{1}{2}"), F.when(F.col("doc_id") % 2 == 0, "}").otherwise(""))).alias("complete"))),
     "length_scores": on("documents", lambda d: d.select("doc_id", F.round(rewards.thought_length_score(F.col("doc_id") % 500), 9).alias("a"), F.round(rewards.thought_bonus(F.col("doc_id") % 500), 9).alias("b"), rewards.total_length_score(F.col("doc_id") % 300).alias("c"))),
     "difficulty_weight": on("documents", lambda d: d.select("doc_id", F.round(rewards.difficulty_weight((F.col("doc_id") % 11) / 10.0), 9).alias("w"), F.round(rewards.kl_estimate((F.col("doc_id") % 9) / 10.0 - 0.4), 9).alias("kl"), F.round(rewards.objective_scale(F.lit(0.65), F.col("doc_id") % 5, F.lit(0.2)), 9).alias("scale"))),
     "accuracy_by_type": on("documents", lambda d: scored(d).groupBy((F.col("prompt") % 5).alias("kind")).agg(F.round(F.avg(F.col("correct").cast("int")), 9).alias("accuracy"), F.count("*").alias("n"))),
@@ -121,7 +121,8 @@ QUERIES = {
     "first_valid_attempt": on("documents", _first_valid),
 }
 _TAIL = r"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
-_BODY = "substr(text, 1, 60)"
+_MATH_TEXT = r"'$\boxed{{\frac 1}} \left( x+' || text || '\right) \text{{ok}}$'".replace("{{", "{").replace("}}", "}")
+_NORM = r"lower(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace({x}, '\\boxed\s*\{{([^{{}}]*)\}}', '\1', 'g'), '\\(left|right)[()\[\]{{}}|]', '', 'g'), '$', ''), '\\[a-zA-Z]+(\s*\{{[^{{}}]*\}})?', '', 'g'), '[^0-9A-Za-z\x{{4E00}}-\x{{9FFF}}]+', '', 'g'))"
 
 
 def _bonus(n: str) -> str:
@@ -138,10 +139,10 @@ SQL = {
     "signal_gate": f"WITH {_CANDIDATES}, {_REWARD} SELECT prompt, cand, round(max(reward) OVER w - min(reward) OVER w, 9) AS span, bool_or(correct) OVER w AS any_right FROM r WINDOW w AS (PARTITION BY prompt)",
     "temp_downweight": f"WITH {_CANDIDATES}, {_REWARD} SELECT prompt, cand, CASE WHEN NOT cold OR NOT correct THEN 1.0 WHEN cand = 3 THEN 0.3 WHEN cand = 2 THEN 0.6 ELSE 1.0 END AS weight FROM (SELECT *, bool_or(correct AND cand <= 1) OVER (PARTITION BY prompt) AS cold FROM r)",
     "replay_best": f"WITH {_CANDIDATES}, {_REWARD} SELECT prompt, min(cand) AS cand FROM r WHERE correct AND reward >= 1.1 GROUP BY prompt",
-    "norm_math": "SELECT doc_id, '1x' || lang AS norm FROM documents",
-    "expected_in_solution": "SELECT doc_id, contains(lower(regexp_replace(substr(text, 1, 200), '[^0-9A-Za-z]+', '', 'g')), 'the') OR contains(lower(regexp_replace(substr(text, 1, 200), '[^0-9A-Za-z]+', '', 'g')), 'der') AS hit FROM documents",
-    "choice_prompt": "SELECT item_id, substr(text, 1, 12) || chr(10) || 'A. one' || chr(10) || 'B. two' || chr(10) || 'Answer with a letter.' AS prompt FROM benchmark",
-    "box_complete": "SELECT doc_id, doc_id % 2 = 0 AS complete FROM documents",
+    "norm_math": f"SELECT doc_id, {_NORM.format(x=_MATH_TEXT)} AS norm FROM documents",
+    "expected_in_solution": f"SELECT doc_id, contains({_NORM.format(x='text')}, 'the') OR contains({_NORM.format(x='text')}, 'der') AS hit FROM documents",
+    "choice_prompt": "SELECT item_id, text || chr(10) || 'A. one' || chr(10) || 'B. two' || chr(10) || 'Answer with a letter.' AS prompt FROM benchmark",
+    "box_complete": "SELECT doc_id, doc_id % 2 = 0 AND len(text) - len(replace(text, '$', '')) - (len(text) - len(replace(text, '\\$', ''))) // 2 - ((len(text) - len(replace(text, '$', '')) - (len(text) - len(replace(text, '\\$', ''))) // 2) // 2) * 2 = 0 AS complete FROM documents",
     "length_scores": f"WITH d AS (SELECT doc_id, doc_id % 500 AS n, doc_id % 300 AS t FROM documents) SELECT doc_id, round(({_SCORE})::DOUBLE, 9) AS a, round(({_bonus('n')})::DOUBLE, 9) AS b, CASE WHEN t = 0 THEN 0.0 WHEN t <= 40 THEN -0.2 WHEN t <= 120 THEN 0.5 WHEN t <= 200 THEN -0.3 ELSE -1.0 END::DOUBLE AS c FROM d",
     "difficulty_weight": "SELECT doc_id, round(1 / (1 + exp(6 * ((doc_id % 11) / 10.0 - 0.5)))::DOUBLE, 9) AS w, round((exp((doc_id % 9) / 10.0::DOUBLE - 0.4) - 1 - ((doc_id % 9) / 10.0::DOUBLE - 0.4))::DOUBLE, 9) AS kl, round(greatest(0.1, least(10.0, 0.65 / greatest((doc_id % 5) * 0.2, 1e-8)))::DOUBLE, 9) AS scale FROM documents",
     "accuracy_by_type": f"WITH {_CANDIDATES}, {_REWARD} SELECT prompt % 5 AS kind, round(avg(correct::INT), 9) AS accuracy, count(*) AS n FROM r GROUP BY 1",

@@ -29,14 +29,14 @@ def _history(d, b):
 
 def _leak(keep):
     def body(d, b):
-        both = b.select(F.col("item_id").alias("doc_id"), "text").filter("doc_id % 2 = 0").unionByName(d.select("doc_id", "text"))
+        both = b.select(F.col("item_id").alias("doc_id"), "text").unionByName(d.select("doc_id", "text"))
         key = text.canonical_prompt(_t())
         return dedup.leaked(both, key, b, text.canonical_prompt(F.col("text")), keep).groupBy().agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
     return body
 
 
-_LEAK_SQL = """WITH x AS (SELECT item_id AS doc_id, text FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT doc_id, text FROM documents),
+_LEAK_SQL = """WITH x AS (SELECT item_id AS doc_id, text FROM benchmark UNION ALL SELECT doc_id, text FROM documents),
 k AS (SELECT doc_id, lower(regexp_replace(regexp_replace(text, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g')) AS k FROM x),
 b AS (SELECT DISTINCT lower(regexp_replace(regexp_replace(text, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g')) AS k FROM benchmark)
 SELECT count(*) AS n, sum(doc_id) AS ids FROM k WHERE k {}IN (SELECT k FROM b)"""
@@ -93,8 +93,8 @@ def _shards(d):
 
 
 QUERIES = {
-    "dedup_first": on("documents", lambda d: dedup.keep_first(d, text.signature(_t()), ["doc_id"]).select("doc_id")),
-    "dedup_exact_hash": on("documents", lambda d: dedup.keep_first(d, F.md5(text.clean_text(_t()).cast("binary")), ["doc_id"]).select("doc_id")),
+    "dedup_first": on("documents", lambda d: dedup.keep_first(d.select("doc_id", text.signature(_t()).alias("sig")), F.col("sig"), ["doc_id"]).select("doc_id")),
+    "dedup_exact_hash": on("documents", lambda d: dedup.keep_first(d.select("doc_id", F.md5(text.clean_text(_t()).cast("binary")).alias("sig")), F.col("sig"), ["doc_id"]).select("doc_id")),
     "dedup_history": on("documents", "benchmark", _history),
     "leak_report": on("documents", "benchmark", _leak("left_semi")),
     "leak_clean": on("documents", "benchmark", _leak("left_anti")),

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Up to this many word runs (about 100 bytes each) are broadcast.
+BROADCAST_RUNS = 200_000
+
 
 def keep_first(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
     """The first row of each key by `order` (a unique one).
@@ -28,11 +31,26 @@ def leaked(df: DataFrame, key: Column, held: DataFrame, held_key: Column, keep:
 
 
 def contains_any(df: DataFrame, text: Column, phrases: DataFrame, phrase: str, words: int) -> DataFrame:
-    """Ids of df whose text shares a run of `words` words with any phrase: a join on hashed word runs, then on the words themselves."""
-    runs = lambda c: F.expr(f"transform(sequence(0, greatest(size({c}) - {words}, -1)), i -> array_join(slice({c}, i + 1, {words}), ' '))")
-    left = df.withColumn("__w", F.split(text, r"[\s]+")).filter(F.size("__w") >= words).withColumn("__run", F.explode(F.array_distinct(runs("__w")))).drop("__w")
-    right = phrases.withColumn("__w", F.split(F.col(phrase), r"[\s]+")).filter(F.size("__w") >= words).select(F.explode(F.array_distinct(runs("__w"))).alias("__run")).distinct()
-    return left.join(right, "__run", "left_semi")
+    """Rows of df whose text shares a run of `words` words with any phrase.
+
+    Runs are joined by 64-bit hashes, and only those that meet carry their words, which decide.
+    The phrases' runs are broadcast up to BROADCAST_RUNS of them.
+    """
+    runs = F.expr(f"transform(sequence(0, size(__w) - {words}), i -> array_join(slice(__w, i + 1, {words}), ' '))")
+    split = lambda d, c: d.withColumn("__w", F.split(c, r"[\s]+")).filter(F.size("__w") >= words).withColumn("__run", F.explode(F.array_distinct(runs))).drop("__w").withColumn("__h", F.xxhash64("__run"))
+    right = split(phrases.select(phrase), F.col(phrase)).select(F.col("__h").alias("__rh"), F.col("__run").alias("__rr")).distinct()
+    few = F.broadcast(right) if right.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS else right
+    return split(df, text).join(few, (F.col("__h") == F.col("__rh")) & (F.col("__run") == F.col("__rr")), "left_semi").drop("__run", "__h")
+
+
+def distinct_by_components(parts: list[DataFrame], key: str, order: str) -> list[DataFrame]:
+    """Each part without keys that an earlier part (or an earlier row of its own) holds; rows with an empty key go too."""
+    whole = None
+    for i, p in enumerate(parts):
+        rows = p.filter(F.coalesce(F.col(key), F.lit("")) != "").withColumn("__part", F.lit(i))
+        whole = rows if whole is None else whole.unionByName(rows)
+    first = whole.groupBy(key).agg(F.min_by(F.struct(*whole.columns), F.struct("__part", order)).alias("__row")).select("__row.*")
+    return [first.filter(F.col("__part") == i).drop("__part") for i in range(len(parts))]
 
 
 def priority_pick(df: DataFrame, key: str, rank: Column) -> DataFrame:

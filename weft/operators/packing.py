@@ -51,11 +51,10 @@ def block_provenance(df: DataFrame, key: str, count: str, length: int) -> DataFr
     """
     n = F.col(count).cast("long")
     placed = running_total(df.select(key, count), [key], n, "__end").withColumn("__start", F.col("__end") - n)
-    whole = placed.agg(F.floor(F.coalesce(F.max("__end"), F.lit(0)) / length).alias("b"))
+    whole = placed.agg(F.floor(F.coalesce(F.max("__end"), F.lit(0)) / length).alias("b")).first()["b"]
     starts = placed.filter(F.col("__start") % length == 0).groupBy("__start").agg(F.max(key).alias("source"))
     marks = starts.select(F.col("__start").alias("at"), F.lit(0).alias("kind"), F.col("__start").alias("from"))
-    blocks = whole.filter("b > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).alias("block"))
-    wanted = blocks.select((F.col("block") * length).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("from"))
+    wanted = df.sparkSession.range(whole).select((F.col("id") * length).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("from"))
     carried = running_max(marks.unionByName(wanted), ["at", "kind"], F.col("from"), "begin").filter("kind = 1")
     found = carried.join(starts, F.col("begin") == F.col("__start"))
     return found.select((F.col("at") / length).cast("long").alias("block"), "source", (F.col("at") - F.col("begin")).alias("offset"))

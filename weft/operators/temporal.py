@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +35,46 @@ def sessions(events: DataFrame, key: str, time: Column, gap_seconds: int) -> Dat
     return marked.withColumn("session", F.sum("__new").over(w)).drop("__new", "__t")
 
 
+#: Query vectors in a block, and vectors multiplied with it at a time.
+QUERY_BLOCK, VECTOR_CHUNK = 1024, 4096
+#: Up to this many query vectors the blocks are broadcast (a vector of 1000 numbers is 8 kB); beyond it, both sides are shuffled in blocks.
+BROADCAST_QUERIES = 20_000
+
+
 def top_k_cosine(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest vectors by cosine for each query row; queries are a small stated set, sent to all tasks in blocks."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = lambda a: F.sqrt(dot(a, a))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("__q"), norm(F.col("embedding")).alias("__qn"))
-    block = q.groupBy(F.floor(F.col("query_id") / 64).alias("__b")).agg(F.collect_list(F.struct("query_id", "__q", "__qn")).alias("__qs"))
-    pairs = vectors.join(F.broadcast(block)).select("vec_id", "embedding", F.explode("__qs").alias("__x"))
-    scored = pairs.select(F.col("__x.query_id").alias("query_id"), "vec_id", F.round(dot(F.col("embedding"), F.col("__x.__q")) / (norm(F.col("embedding")) * F.col("__x.__qn")), 6).alias("score")).filter("query_id <> vec_id")
+    """The k nearest vectors by cosine for each query row, but for itself: query_id, vec_id, score, rank.
+
+    Queries go out in blocks; each task multiplies a chunk of vectors with a block and
+    keeps k rows for each query, so that only those reach the merge. Vectors of another
+    length than a query's, null ones and those of length zero have no score.
+    """
+    packed = lambda df, name, size: df.filter("embedding IS NOT NULL AND size(embedding) > 0").select(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-df.count() // size)))).alias("__b"), "vec_id", F.col("embedding").cast("array<double>").alias("e")).groupBy("__b").agg(F.collect_list(F.struct("vec_id", "e")).alias(name)).drop("__b")
+    blocks, chunks = packed(queries, "q", QUERY_BLOCK), packed(vectors, "v", VECTOR_CHUNK)
+    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+
+    def nearest(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, v = batch.column("q")[i].as_py(), batch.column("v")[i].as_py()
+                found = [[], [], []]
+                for dim in sorted({len(x["e"]) for x in q}):
+                    a, b = [x for x in q if len(x["e"]) == dim], [x for x in v if len(x["e"]) == dim]
+                    if not b:
+                        continue
+                    x, y = (np.array([r["e"] for r in side]) for side in (a, b))
+                    xn, yn = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        score = np.round((x @ y.T) / (xn[:, None] * yn[None, :]), 6)
+                    ids, own = np.array([r["vec_id"] for r in b]), np.array([r["vec_id"] for r in a])
+                    score[(own[:, None] == ids[None, :]) | ~np.isfinite(score)] = -np.inf
+                    order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+                    best = np.take_along_axis(score, order, axis=1)
+                    rows, cols = np.nonzero(np.isfinite(best))
+                    found[0].append(own[rows]), found[1].append(ids[order[rows, cols]]), found[2].append(best[rows, cols])
+                if found[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], ["query_id", "vec_id", "score"])
+
+    pairs = chunks.crossJoin(F.broadcast(blocks) if few else blocks)
+    near = pairs.mapInArrow(nearest, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft.functions import degeneration as deg
@@ -42,11 +41,8 @@ def _ok_bad(d, l):
 
 
 def _ema(d):
-    """Exponential mean of lengths over the first documents of each source, in order."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    first = d.select("source", "doc_id", F.length("text").cast("double").alias("x"), F.row_number().over(w).alias("r")).filter("r <= 20")
-    xs = first.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "x"))), lambda s: s["x"]).alias("xs"))
-    return xs.select("source", F.round(F.aggregate("xs", F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(a * 0.9 + x * 0.1)), 6).alias("ema"))
+    """Exponential mean of lengths over all documents of each source, in order."""
+    return profile.ema(d.select("source", "doc_id", F.length("text").alias("n")), "source", "doc_id", F.col("n"), 0.9).select("source", F.round("ema", 6).alias("ema"))
 
 
 def _ratio_mix(d):
@@ -132,7 +128,7 @@ SQL = {
     "weighted_mean": "SELECT lang, round(sum(quality * len(text)) / sum(len(text)), 9) AS weighted, round(avg(quality), 9) AS plain FROM documents JOIN labels USING (doc_id) GROUP BY lang",
     "hit_rates": "WITH g AS (SELECT source, sum(quality) AS hit, count(*) AS tot FROM documents JOIN labels USING (doc_id) GROUP BY source) SELECT round(sum(hit) / sum(tot), 9) AS micro, round(avg(hit / tot), 9) AS macro FROM g",
     "islands": "WITH x AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS run FROM documents) SELECT lang, min(doc_id) AS first, count(*) AS n FROM x GROUP BY lang, run",
-    "ema": "WITH x AS (SELECT source, doc_id, len(text)::DOUBLE AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents), m AS (SELECT source, max(r) AS k FROM x WHERE r <= 20 GROUP BY source) SELECT source, round(sum(x * CASE WHEN r = 1 THEN pow(0.9, k - 1) ELSE 0.1 * pow(0.9, k - r) END), 6) AS ema FROM x JOIN m USING (source) WHERE r <= 20 GROUP BY source",
+    "ema": "WITH x AS (SELECT source, doc_id, len(text)::DOUBLE AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents), m AS (SELECT source, max(r) AS k FROM x GROUP BY source) SELECT source, round(sum(x * CASE WHEN r = 1 THEN pow(0.9, k - 1) ELSE 0.1 * pow(0.9, k - r) END), 6) AS ema FROM x JOIN m USING (source) GROUP BY source",
     "dup_lines": f"WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP}), lambda x: len(x) >= 12) AS l FROM documents) SELECT doc_id, len(l) <> len(list_distinct(l)) AS dup FROM l",
     "sentence_repeat": f"WITH l AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[。！？!?；;\\n]+'), lambda x: {_STRIP}), lambda x: len(x) >= 6)) AS u FROM documents), c AS (SELECT doc_id, u, count(*) AS n FROM l GROUP BY 1, 2) SELECT d.doc_id, coalesce(max(n) >= 3, false) AS rep FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id GROUP BY d.doc_id",
     "ratio_mix": "WITH x AS (SELECT count(*) AS n FROM documents WHERE lang = 'en'), y AS (SELECT n, CAST(round_even(n * 0.2 / 0.8, 0) AS BIGINT) AS n_text FROM x) SELECT n, n_text, CAST(round_even(n_text * 2 / 3.0::DOUBLE, 0) AS BIGINT) AS n_zh FROM y",

@@ -64,7 +64,7 @@ def _eval_clamp(d):
 
 
 def _quota(d):
-    return d.filter("lang <> 'en'").withColumn("score", hash32("quota", F.col("doc_id"))).orderBy("score", "doc_id").limit(40).select("doc_id", "score")
+    return sampling.quota(d.filter("lang <> 'en'").select("doc_id"), "doc_id", "quota", 40, "other languages").select("doc_id", "score")
 
 
 def _resume(d):
@@ -121,7 +121,7 @@ QUERIES = {
     "parity_partition": on("documents", lambda d: d.select("doc_id", sampling.hash_parity("par", F.col("source")).alias("side"))),
     "pick_by_hash": on("documents", lambda d: d.select("doc_id", sampling.pick_one(F.split("text", "\n"), "pick", F.col("doc_id")).alias("line"))),
     "stride_preview": on("documents", _stride),
-    "reservoir_equiv": on("documents", lambda d: sampling.top_k_by_hash(d, "doc_id", "res", 64).select("doc_id")),
+    "reservoir_equiv": on("documents", lambda d: sampling.reservoir(d.select("doc_id"), ["doc_id"], "res", 64).select("slot", "doc_id")),
     "bucket_shuffle": on("documents", lambda d: sampling.shuffle_in_buckets(d.select("doc_id"), "doc_id", "shuf", 16)),
     "quota_fill": on("documents", _quota),
     "fraction_split": on("documents", lambda d: d.select("doc_id", F.when(uniform("frac", F.col("doc_id")) < 0.01, "test").otherwise("train").alias("split"))),
@@ -162,7 +162,7 @@ SELECT doc_id FROM f WHERE kept""",
     "parity_partition": f"SELECT doc_id, {_h('par', 'source')} % 2 AS side FROM documents",
     "pick_by_hash": f"SELECT doc_id, string_split(text, chr(10))[CAST({_h('pick', 'doc_id')} % len(string_split(text, chr(10))) + 1 AS INTEGER)] AS line FROM documents",
     "stride_preview": "SELECT doc_id, n FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents) WHERE n % 7 = 0 ORDER BY doc_id LIMIT 50",
-    "reservoir_equiv": f"SELECT doc_id FROM documents ORDER BY {_h('res', 'doc_id')}, doc_id LIMIT 64",
+    "reservoir_equiv": f"WITH x AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents), s AS (SELECT doc_id, i, CASE WHEN i < 64 THEN i ELSE {_h('res', 'doc_id')} % (i + 1) END AS slot FROM x) SELECT slot, max_by(doc_id, i) AS doc_id FROM s WHERE slot < 64 GROUP BY slot",
     "bucket_shuffle": "SELECT doc_id FROM documents",
     "quota_fill": f"SELECT doc_id, {_h('quota', 'doc_id')} AS score FROM documents WHERE lang <> 'en' ORDER BY 2, 1 LIMIT 40",
     "fraction_split": f"SELECT doc_id, CASE WHEN {_h('frac', 'doc_id')} / 4294967296.0 < 0.01 THEN 'test' ELSE 'train' END AS split FROM documents",

@@ -80,6 +80,12 @@ def assembly_reason(views: Column, text: Column, split: Column) -> Column:
     )
 
 
+def valid_views(index: Column, images: Column, meta: Column, views: int) -> Column:
+    """A visual row as a validating scan wants it: an index from 0, so many images of known kinds, meta that is a JSON object."""
+    known = F.forall(images, lambda f: F.lower(F.regexp_extract(F.coalesce(f, F.lit("")), r"(\.[A-Za-z0-9]+)$", 1)).isin(*IMAGE_EXTENSIONS))
+    return F.coalesce((index >= 0) & (F.size(images) == views) & known & F.from_json(meta, "map<string,string>").isNotNull(), F.lit(False))
+
+
 def verify(name: Column, text: Column, value: Column) -> Column:
     """A constraint by name with one argument; unknown names and failing arguments are false."""
     n = value.try_cast("int")

@@ -20,12 +20,12 @@ CASTS = {
         "replay_best": ("cand",), "replay_buffer": ("cand",), "first_valid_attempt": ("accepted",), "source_bytes": ("n_bytes",), "token_totals": ("total",), "cycle_repeat": ("round",), "token_budget_batches": ("batch",),
     },
     "INTEGER": {
-        "topk_per_lang": ("rank",), "chat_quality": ("turns", "assistant_chars", "image_markers"), "window_frames": ("rn", "rk", "dr"), "date_parts": ("y", "m"), "top_per_group": ("r",), "vector_topk": ("rank",), "view_lookup": ("x",),
+        "topk_per_lang": ("rank",), "chat_quality": ("turns", "assistant_chars", "image_markers"), "window_frames": ("rn", "rk", "dr"), "date_parts": ("y", "m"), "distinct_prompt_topk": ("rank",), "top_per_group": ("r",), "vector_topk": ("rank",), "view_lookup": ("x",),
     },
     "DOUBLE": {"quality_tag": ("unik",), "temp_downweight": ("weight",)},
 }
 
-MODULES = ("clean", "select", "chat", "scoring", "report", "relational", "records")
+MODULES = ("clean", "select", "chat", "scoring", "report", "relational", "records", "packs")
 
 
 def _modules():

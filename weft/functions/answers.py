@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +12,7 @@ THOUGHT_START, THOUGHT_END = "<|thought_start|>", "<|thought_end|>"
 # Phrases before a final answer, in the order of their builders.
 MARKERS = ("the final answer is", "the answer is", "therefore,", "in conclusion,", "conclusion,", "in summary,", "thus,", "so,")
 TAIL_TOKENS = 15
+# Numbers, boxes and letters as the readers of answers know them.
 NUMBER = r"-?\d+\.?\d*"
 BOX_NUMBER = r"\\boxed\s*\{\s*(-?\d+(?:\.\d+)?)\s*\}"
 BOX = r"\\boxed\s*\{\s*([^{}]+?)\s*\}"
@@ -97,11 +95,13 @@ def parse_prediction(text: Column) -> Column:
     boxed = F.regexp_extract(raw, BOX_NUMBER, 1).try_cast("double")
     last = F.try_element_at(F.regexp_extract_all(F.replace(raw, F.lit(","), F.lit("")), F.lit(NUMBER), F.lit(0)), F.lit(-1)).try_cast("double")
     return F.struct(
+        raw.alias("raw"),
         has_box.alias("has_box"),
         boxed.alias("boxed_value"),
         last.alias("fallback_value"),
         F.coalesce(boxed, last).alias("final_answer"),
         boxed.isNotNull().alias("from_box"),
+        (has_box & boxed.isNotNull()).alias("has_box_and_valid"),
         tags.alias("has_cot_tags"),
         F.when(tags, inner).alias("cot_text"),
         F.when(tags, token_count(inner)).otherwise(0).cast("long").alias("cot_tokens"),
@@ -129,33 +129,27 @@ def choice_prompt(question: Column, labels: Column, texts: Column, suffix: str)
     return F.concat(question, F.lit("\n"), F.array_join(F.transform(options, lambda o: F.concat(o["l"], F.lit(". "), o["t"])), "\n"), F.lit("\n" + suffix))
 
 
-def completed_box(text: str) -> bool:
-    """Whether the last box is closed, outside an open thought, and its math delimiters are paired."""
-    at = text.rfind(r"\boxed")
-    if at < 0 or (THOUGHT_START in text and THOUGHT_END not in text):
-        return False
-    rest = text[at + 6 :]
-    body = rest.lstrip()
-    if not body.startswith("{"):
-        return False
-    depth = 0
-    for i, c in enumerate(body):
-        if c in "{}" and (i == 0 or body[i - 1] != "\\"):
-            depth += 1 if c == "{" else -1
-            if not depth:
-                break
-    if depth:
-        return False
-    plain = re.sub(r"(?<!\\)\\\\([()\[\]])", r"\\\1", text)
-    paired = all(plain.count(a) <= plain.count(b) for a, b in ((r"\(", r"\)"), (r"\[", r"\]")))
-    return paired and len(re.findall(r"(?<!\\)\$", plain)) % 2 == 0
-
-
-def box_is_complete(column: Column) -> Column:
-    """completed_box over a column; brace matching is not regular, so this is an Arrow function."""
-
-    @F.pandas_udf("boolean")
-    def check(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(completed_box)
-
-    return check(column)
+def box_is_complete(text: Column) -> Column:
+    """Whether the last box is closed, outside an open thought, and math delimiters are paired.
+
+    Braces are matched by their running depth over the marks behind the box: it is
+    closed where the depth first returns to zero. A doubled backslash before a
+    delimiter counts as one.
+    """
+    text = F.coalesce(text, F.lit(""))
+
+    def judge(b: Column) -> Column:
+        marks = F.regexp_extract_all(b["body"], F.lit(r"(?<!\\)[{}]"), F.lit(0))
+        depth = F.aggregate(
+            marks,
+            F.struct(F.lit(0).alias("d"), F.lit(False).alias("done")),
+            lambda a, m: F.when(a["done"], a).otherwise(F.struct((a["d"] + F.when(m == "{", 1).otherwise(-1)).alias("d"), (a["d"] + F.when(m == "{", 1).otherwise(-1) == 0).alias("done"))),
+        )
+        plain = F.regexp_replace(b["x"], r"(?<!\\)\\\\([()\[\]])", r"\\$1")
+        times = lambda p: F.regexp_count(plain, F.lit(p))
+        paired = (times(r"\\\(") <= times(r"\\\)")) & (times(r"\\\[") <= times(r"\\\]")) & (times(r"(?<!\\)\$") % 2 == 0)
+        thinking = F.contains(b["x"], F.lit(THOUGHT_START)) & ~F.contains(b["x"], F.lit(THOUGHT_END))
+        return F.contains(b["x"], F.lit("\\boxed")) & F.startswith(b["body"], F.lit("{")) & depth["done"] & ~thinking & paired
+
+    body = F.ltrim(F.substring_index(text, "\\boxed", -1))
+    return bind(F.struct(text.alias("x"), F.regexp_replace(body, r"^\s+", "").alias("body")), judge)

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.text import strip
+from weft.functions.text import bind, strip, strip_markup
 from weft.functions.tokens import token_count
 
 # Names of roles in the sources, chat tags, repeated-unit loop.
 ROLES = {"human": "user", "user": "user", "question": "user", "instruction": "user", "gpt": "assistant", "assistant": "assistant", "answer": "assistant", "response": "assistant"}
 FORBIDDEN = ("<|im_start|>", "<|im_end|>", "<|thought_start|>", "<|thought_end|>")
 LOOP = r"(?s)(.{12,80})(?:\1){3,}"
+# Guesses, documents and failures in answers.
+SPECULATIVE = r"可能|也许|似乎|或许|大概|推测|看起来像"
+OCR = r"表格|图表|文字|字幕|标志|品牌|广告|海报|菜单|屏幕|网页|界面|文档|二维码|公式|坐标轴|矩阵"
+BAD_GENERATION = r"根据你的描述|设计了一个新的问题|作为(?:一个|一名)?AI|无法看到图片"
 THOUGHT_START, THOUGHT_END = "<|thought_start|>", "<|thought_end|>"
 
 
@@ -110,18 +114,32 @@ def first_user_last_assistant(msgs: Column) -> tuple[Column, Column]:
     return pick("user", 1), pick("assistant", -1)
 
 
-def reject_reason(msgs: Column) -> Column:
-    """Why a conversation is rejected, the first check that fails; null if none."""
-    has = lambda test: F.exists(msgs, test)
-    first, last = F.get(msgs, 0)["role"], F.get(msgs, F.size(msgs) - 1)["role"]
-    return (
-        F.when(has(lambda m: map_role(m["role"]).isNull()), "unknown_role")
-        .when(has(lambda m: (map_role(m["role"]) == "assistant") & (strip(m["content"]) == "")), "empty_assistant")
-        .when(F.size(msgs) < 2, "too_few_turns")
-        .when((first != "user") | (last != "assistant"), "bad_end_roles")
-        .when(~alternates(msgs), "non_alternating")
-        .when(has(lambda m: (m["role"] == "assistant") & m["content"].rlike(LOOP)), "loop")
-    )
+def normalise(msgs: Column, default_prompt: str, marker: str = "<img>") -> Column:
+    """struct<msgs, reason>: turns with mapped roles and cleaned contents and one image mark at the head, or why there are none.
+
+    Ten reasons, the first that holds in this order wins. An empty user turn becomes the default prompt.
+    """
+    known = F.transform(msgs, lambda m: F.struct(map_role(m["role"]).alias("role"), strip_markup(m["content"]).alias("content"), m.isNull().alias("missing")))
+    filled = F.transform(known, lambda m: F.struct(m["role"].alias("role"), F.when((m["role"] == "user") & (m["content"] == ""), F.lit(default_prompt)).otherwise(m["content"]).alias("content"), m["missing"].alias("missing")))
+
+    def judge(x: Column) -> Column:
+        has = lambda test: F.exists(x, test)
+        first_bad = F.get(F.filter(F.transform(x, lambda m: F.when(m["missing"], "turn_not_object").when(m["role"].isNull(), "unknown_role").when(m["content"] == "", "empty_assistant")), lambda r: r.isNotNull()), 0)
+        marks = F.aggregate(x, F.lit(1), lambda a, m: a + F.regexp_count(m["content"], F.lit(marker)))
+        reason = F.coalesce(
+            first_bad,
+            F.when(F.size(x) < 2, "too_few_turns")
+            .when((F.get(x, 0)["role"] != "user") | (F.get(x, F.size(x) - 1)["role"] != "assistant"), "bad_end_roles")
+            .when(~alternates(x), "non_alternating")
+            .when(~has(lambda m: m["role"] == "assistant"), "no_assistant")
+            .when(has(lambda m: (m["role"] == "assistant") & m["content"].rlike(LOOP)), "loop")
+            .when(marks != 1, "image_marker_count")
+            .when(has(lambda m: (m["role"] == "assistant") & F.contains(m["content"], F.lit(marker))), "assistant_image_marker"),
+        )
+        marked = F.transform(x, lambda m, i: F.struct(m["role"].alias("role"), F.when(i == 0, F.concat(F.lit(marker + "\n"), m["content"])).otherwise(m["content"]).alias("content")))
+        return bind(reason, lambda r: F.struct(F.when(r.isNull(), marked).alias("msgs"), r.alias("reason")))
+
+    return bind(filled, judge)
 
 
 def replay_ok(msgs: Column) -> Column:
@@ -144,6 +162,19 @@ def with_image_marker(msgs: Column, marker: str = "<img>") -> Column:
     return F.transform(bare, lambda m, i: F.struct(m["role"].alias("role"), F.when(i == at, F.concat(F.lit(marker + "\n"), m["content"])).otherwise(m["content"]).alias("content")))
 
 
+def ensure_image_marker(msgs: Column, marker: str = "<img>") -> Column:
+    """A marker at the head of the first user turn if no user turn has one; those that are there stay."""
+    present = F.exists(msgs, lambda m: (m["role"] == "user") & F.contains(m["content"], F.lit(marker)))
+    at = F.array_position(_roles(msgs), "user") - 1
+    return F.when(present, msgs).otherwise(F.transform(msgs, lambda m, i: F.struct(m["role"].alias("role"), F.when(i == at, strip(F.concat(F.lit(marker + "\n"), m["content"]))).otherwise(m["content"]).alias("content"))))
+
+
+def platform_messages(user: Column, answer: Column, system: str) -> Column:
+    """System turn, question, and an answer behind an empty thought."""
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.array(turn("system", F.lit(system)), turn("user", user), turn("assistant", F.concat(F.lit(f"{THOUGHT_START}\n{THOUGHT_END}\n"), answer)))
+
+
 def assistant_mask(msgs: Column) -> Column:
     """1 for the tokens of assistant contents and their end marks, 0 elsewhere, over the rendered tokens."""
     head = lambda m: token_count(F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n")))
@@ -153,10 +184,14 @@ def assistant_mask(msgs: Column) -> Column:
 
 
 def quality(msgs: Column) -> Column:
-    """struct of turns, assistant_chars, alternating and image_markers."""
+    """struct of turns, assistant_chars, alternating, image_markers and flags of what the answers say."""
     answers = F.transform(F.filter(msgs, lambda m: m["role"] == "assistant"), lambda m: m["content"])
     marks = F.aggregate(msgs, F.lit(0), lambda a, m: a + F.regexp_count(m["content"], F.lit("<image>|<img>")))
-    return F.struct(F.size(answers).alias("turns"), F.length(F.array_join(answers, "\n")).alias("assistant_chars"), alternates(msgs).alias("alternating"), marks.alias("image_markers"))
+    flags = lambda x: F.struct(F.length(x).alias("assistant_chars"), x.rlike(SPECULATIVE).alias("speculative"), x.rlike(OCR).alias("ocr_doc"), x.rlike(BAD_GENERATION).alias("bad_generation"))
+    return bind(
+        bind(F.array_join(answers, "\n"), flags),
+        lambda f: F.struct(F.size(answers).alias("turns"), f["assistant_chars"].alias("assistant_chars"), alternates(msgs).alias("alternating"), marks.alias("image_markers"), f["speculative"].alias("speculative"), f["ocr_doc"].alias("ocr_doc"), f["bad_generation"].alias("bad_generation")),
+    )
 
 
 def qa_messages(pairs: Column, most: int = 4) -> Column:

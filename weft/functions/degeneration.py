@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weft.functions.text import bind, strip
+from weft.functions.text import SANITIZE, bind, strip
 
 # Loops of repeated units, sentence ends, the low-information suffix.
 EXACT_LOOP = r"(?s)(?<u>.{16,160}?)\k<u>{2,}"
@@ -17,7 +17,12 @@ SPACED_LOOP = r"(?s)(.{20,140}?)(?:\s*\1){2,}"
 SHORT_LOOP = r"(?s)(.{12})\1\1"
 SENTENCE_ENDS = r"[。！？!?；;\n]+"
 LOW_INFO = r"[0-9０-９\s.,，。:;!?！？%％()\[\]{}+\-*/_=…·\"“”'<>]{64,}$"
-STOP_WORDS = frozenset("a an the is are was were be been being it this that in on at to of and or with has have having looks appears image picture shows 了 的 是 在 有 和 与 这 那 图 图片 显示".split())
+STOP_WORDS = (
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "it", "this", "that", "in", "on", "at", "to", "of", "and", "or", "with",
+    "has", "have", "having", "looks", "appears", "image", "picture", "shows", "了", "的", "是", "在", "有", "和", "与", "这", "那", "图", "图片", "显示",
+)
+CLAUSE_END = r"</(?:p|div|h[1-6]|li|ul|ol)>|<br\s*/?>|[.!?。！？；;]+|\n"
+SENTENCE_MARKS, TRIM_REACH = "。！？!?\n", 56
 
 
 def _recurs(text: Column, size: int, reach: int, times: int) -> Column:
@@ -83,7 +88,13 @@ def low_information_tail(text: Column) -> Column:
         marks = F.length(F.regexp_replace(compact, r"\p{Nd}", ""))
         kinds = F.size(F.array_distinct(F.filter(F.split(compact, ""), lambda c: c != "")))
         found = (F.length(compact) > 0) & (marks / F.greatest(F.length(compact), F.lit(1)) >= 0.30) & (kinds <= 24)
-        return F.struct(found.alias("found"), F.when(found, F.length(whole) - F.length(n)).alias("keep"))
+        return F.struct(found.alias("found"), F.when(found, whole_sentences(F.substring(whole, F.lit(1), F.length(whole) - F.length(n)))).alias("keep"))
+
+    def whole_sentences(kept: Column) -> Column:
+        """Length of what is kept, cut back to the last sentence mark if that is near."""
+        near = F.right(kept, F.lit(TRIM_REACH))
+        complete = F.length(F.regexp_extract(near, f"(?s)^(.*[{SENTENCE_MARKS}])", 1))
+        return F.length(kept) - F.when(complete > 0, F.length(near) - complete).otherwise(0)
 
     return bind(noisy, judge)
 
@@ -102,28 +113,68 @@ def prose_loop(text: str) -> int | None:
     return None
 
 
-def stutter(text: str) -> bool:
-    """The last eight clauses keep to one subject in few different words."""
-    clauses = []
-    for part in re.split(r"[.!?。！？；;\n]+", text[-2200:]):
-        terms = [w for w in re.findall(r"[a-zA-Z]{2,}|[一-鿿]{1,4}", part.lower()) if w not in STOP_WORDS]
+def _clauses(text: str, reach: int, least: int, most: int) -> list[tuple[frozenset, int]]:
+    """(terms, end) of the clauses in the last `reach` characters: `least` to `most` characters, two terms at least, closed."""
+    offset, start, out = max(0, len(text) - reach), max(0, len(text) - reach), []
+    for mark in re.finditer(CLAUSE_END, text[offset:], re.I):
+        at = offset + mark.start()
+        if at - start < least:
+            # Too short to stand alone: the mark belongs to the clause that goes on.
+            continue
+        # Of a stretch too long for one clause, its last part counts.
+        body = plain_text(text[max(start, at - most) : at])
+        terms = [w for w in re.findall(r"[a-zA-Z]{2,}|[\u4e00-\u9fff]{1,4}", body.lower()) if w not in STOP_WORDS]
+        start = offset + mark.end()
         if len(terms) >= 2:
-            clauses.append(set(terms))
-    recent = clauses[-8:]
-    if len(recent) < 8:
-        return False
-    seen = Counter(t for c in recent for t in c)
-    return seen.most_common(1)[0][1] >= 6 and len(seen) / sum(seen.values()) <= 0.58
+            out.append((frozenset(terms), start))
+    return out
+
+
+def plain_text(text: str) -> str:
+    """Generated prose without its markup, as sanitize_generated in one Python string."""
+    for pattern, by in SANITIZE:
+        text = re.sub(pattern, by, text)
+    return text.lstrip()
+
+
+def stutter(text: str) -> int | None:
+    """Characters to keep before a stutter: the last eight clauses keep to one term in few different words. None without one.
+
+    What is kept ends with the third clause that holds the term.
+    """
+    clauses = _clauses(text, 2200, 3, 260)
+    recent = [terms for terms, _ in clauses[-8:]]
+    seen = Counter(t for terms in recent for t in terms)
+    if len(recent) < 8 or len(seen) > 0.58 * sum(seen.values()):
+        return None
+    # Of terms equally frequent, the first in order of the alphabet.
+    term, n = min(seen.items(), key=lambda x: (-x[1], x[0]))
+    return [end for terms, end in clauses if term in terms][:3][-1] if n >= 6 else None
 
 
 def token_cycle(ids: list, least: int = 8, most: int = 96, repeats: int = 3) -> int:
-    """The shortest period with which a token list ends `repeats` times over; 0 if there is none."""
-    for p in range(least, most + 1):
-        if len(ids) >= p * repeats and all(ids[-i] == ids[-i - p] for i in range(1, p * (repeats - 1) + 1)):
-            return p
+    """The shortest period with which a token list ends `repeats` times over; 0 if there is none.
+
+    Units of symbols are exempt: one holds eight letters at least, three of them different.
+    """
+    for p in range(least, min(most, len(ids) // repeats) + 1):
+        if all(ids[-i] == ids[-i - p] for i in range(1, p * (repeats - 1) + 1)):
+            letters = re.findall(r"[a-zA-Z\u4e00-\u9fff]", "".join(map(str, ids[-p:])))
+            if len(letters) >= 8 and len(set(letters)) >= 3:
+                return p
     return 0
 
 
+def cycle_period(toks: Column) -> Column:
+    """token_cycle of arrays of tokens, whole batches of which cross by Arrow."""
+
+    @F.pandas_udf("long")
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: token_cycle([] if x is None else list(x[-96 * 3 :])))
+
+    return run(toks)
+
+
 def near_duplicate_clauses(text: str, ratio: float = 0.93) -> bool:
     """The last three clauses are nearly equal."""
     from difflib import SequenceMatcher

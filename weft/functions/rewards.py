@@ -34,6 +34,11 @@ def letter_reward(total: Column, correct: Column, boxed: Column, tags: Column, n
     return F.when(total >= ceiling - 10, -1.0).when(correct & boxed, 1.0 + extra).when(correct, 0.2).otherwise(-1.0)
 
 
+def accepted(passed: Column, text: Column, tokens: Column, cap: int, loop: Column) -> Column:
+    """A verified attempt counts if it is not empty, does not loop and stays below the token cap."""
+    return F.coalesce(passed & (F.coalesce(text, F.lit("")) != "") & (tokens < cap) & ~loop, F.lit(False))
+
+
 def total_length_score(n: Column) -> Column:
     return F.when(n == 0, 0.0).when(n <= 40, -0.2).when(n <= 120, 0.5).when(n <= 200, -0.3).otherwise(-1.0)
 

@@ -121,7 +121,7 @@ QUERIES = {
     "fanout_ctx": m(_fanout),
     "turn_counts": m(lambda g: g.select("conv_id", F.array_join(F.transform(F.filter("msgs", lambda t: t["role"] == "assistant"), lambda t: tokens.token_count(t["content"])), ",").alias("counts"))),
     "first_user_last_assistant": m(_first_last),
-    "normalize_reason": m(lambda g: g.select("conv_id", chat.reject_reason(F.col("msgs")).alias("reason"))),
+    "normalize_reason": m(lambda g: g.select("conv_id", chat.normalise(F.col("msgs"), "Please answer.").alias("n")).select("conv_id", "n.reason", chat.render(F.col("n.msgs")).alias("txt"))),
     "replay_strict": m(lambda g: g.select("conv_id", chat.replay_ok(F.col("msgs")).alias("ok"))),
     "history_trim": m(lambda g: g.select("conv_id", chat.trim_history(F.col("msgs"), F.lit(300)).alias("x")).select("conv_id", F.size("x").cast("long").alias("n_turns"), chat.render(F.col("x")).alias("txt"))),
     "prompt_key_dedup": m(_prompt_dedup),
@@ -159,9 +159,12 @@ SQL = {
     "fanout_ctx": f"WITH {_MSGS}, r AS (SELECT conv_id, role, row_number() OVER w AS i, sum(k) OVER w AS s FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), x AS (SELECT unnest([200, 400, 800]) AS ctx) SELECT conv_id, ctx, max(i) AS n_turns, max(s) AS n_tokens FROM r, x WHERE role = 'assistant' AND s <= ctx GROUP BY conv_id, ctx",
     "turn_counts": "SELECT conv_id, coalesce(string_agg(CAST(" + _n("coalesce(text, '')") + " AS VARCHAR), ',' ORDER BY turn) FILTER (role = 'assistant'), '') AS counts FROM conversations GROUP BY conv_id",
     "first_user_last_assistant": "SELECT conv_id, min_by(text, turn) FILTER (role = 'user' AND " + _STRIPPED.format(x="text") + " <> '') AS first_user, max_by(text, turn) FILTER (role = 'assistant' AND " + _STRIPPED.format(x="text") + " <> '') AS last_assistant FROM conversations GROUP BY conv_id",
+    "replay_strict": f"""WITH {_MSGS}, p AS (SELECT * FROM c WHERE role <> 'system'), w AS (SELECT conv_id, bool_or({_STRIPPED.format(x='text')} = '' OR contains(text, chr(65533)) OR contains(text, chr(0)) OR regexp_matches(text, '<.(im|thought)_(start|end).>')) AS bad, min(turn) FILTER (role = 'user') AS u, max(turn) FILTER (role = 'assistant') AS v FROM p GROUP BY conv_id),
+e AS (SELECT p.conv_id, p.turn, p.role, lag(p.role) OVER (PARTITION BY p.conv_id ORDER BY p.turn) AS q FROM p JOIN w ON p.conv_id = w.conv_id AND u < v AND p.turn BETWEEN u AND v), s AS (SELECT conv_id, count(*) AS n, bool_and(q IS NULL OR q <> role) AS alt FROM e GROUP BY conv_id)
+SELECT i.conv_id, coalesce(NOT bad AND n >= 2 AND n % 2 = 0 AND alt, false) AS ok FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN w ON i.conv_id = w.conv_id LEFT JOIN s ON i.conv_id = s.conv_id""",
     "history_trim": f"WITH {_MSGS}, r AS (SELECT conv_id, role, line, row_number() OVER w AS i, sum(k) OVER w AS s FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) SELECT conv_id, coalesce(max(i) FILTER (i <= e), 0) AS n_turns, coalesce(string_agg(line, '' ORDER BY i DESC) FILTER (i <= e), '') AS txt FROM (SELECT *, max(i) FILTER (role = 'user' AND s <= 300) OVER (PARTITION BY conv_id) AS e FROM r) GROUP BY conv_id",
     "prompt_key_dedup": "WITH k AS (SELECT conv_id, lower(" + _STRIPPED.format(x="regexp_replace(string_agg(coalesce(text, ''), chr(10) ORDER BY turn), '[\\s\\p{Z}]+', ' ', 'g')") + ") AS k FROM conversations WHERE role = 'user' GROUP BY conv_id) SELECT min(conv_id) AS conv_id FROM k WHERE k <> '' GROUP BY k",
-    "chat_quality": f"WITH {_MSGS}, {_ALT} SELECT a.conv_id, count(*) FILTER (role = 'assistant') AS turns, coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) + greatest(count(*) FILTER (role = 'assistant') - 1, 0) AS assistant_chars, any_value(alternating) AS alternating, sum(len(regexp_extract_all(text, '<image>|<img>'))) AS image_markers FROM a JOIN c ON a.conv_id = c.conv_id GROUP BY a.conv_id",
+    "chat_quality": f"WITH {_MSGS}, {_ALT} SELECT a.conv_id, count(*) FILTER (role = 'assistant') AS turns, coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) + greatest(count(*) FILTER (role = 'assistant') - 1, 0) AS assistant_chars, any_value(alternating) AS alternating, sum(len(regexp_extract_all(text, '<image>|<img>'))) AS image_markers, coalesce(bool_or(regexp_matches(text, '{chat.SPECULATIVE}')) FILTER (role = 'assistant'), false) AS speculative, coalesce(bool_or(regexp_matches(text, '{chat.OCR}')) FILTER (role = 'assistant'), false) AS ocr_doc, coalesce(bool_or(regexp_matches(text, '{chat.BAD_GENERATION}')) FILTER (role = 'assistant'), false) AS bad_generation FROM a JOIN c ON a.conv_id = c.conv_id GROUP BY a.conv_id",
     "drop_system": f"WITH {_MSGS} SELECT conv_id, coalesce(string_agg(line, '' ORDER BY turn) FILTER (role <> 'system'), '') AS txt FROM c GROUP BY conv_id",
     "image_marker": "WITH x AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), '<img>', '') AS t, min(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS u FROM conversations) SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || CASE WHEN turn = u THEN '<img>' || chr(10) ELSE '' END || t || '<|im_end|>' || chr(10), '' ORDER BY turn) AS txt FROM x GROUP BY conv_id",
     "turn_explode": f"WITH {_MSGS} SELECT conv_id, turn, line AS txt FROM c",

@@ -123,6 +123,7 @@ SQL = {
     "lenient_int": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 1000 + doc_id % 1000 WHEN doc_id % 4 = 1 THEN NULL WHEN doc_id % 4 = 2 THEN doc_id % 50 ELSE 12 END AS n FROM documents",
     "foreign_script": f"SELECT doc_id, regexp_matches(text, '{lang.FOREIGN}') AS is_foreign FROM documents",
     "allowlist_script": f"SELECT doc_id, regexp_matches(text, '{lang.NOT_ALLOWED}') OR regexp_matches(text, '[{lang.BANNED}]') AS is_foreign FROM documents",
+    "category_script": "SELECT doc_id, regexp_matches(regexp_replace(text, '[A-Za-z\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{370}-\\x{3FF}\\x{2100}-\\x{214F}\\x{1D400}-\\x{1D7FF}\\x{FF21}-\\x{FF3A}\\x{FF41}-\\x{FF5A}\\x{B5}]', '', 'g'), '\\p{L}') AS is_foreign FROM documents",
     "cjk_ratio": "SELECT doc_id, (len(regexp_extract_all(text, '[\\x{3400}-\\x{9FFF}]')) + 2) / (len(regexp_extract_all(text, '[A-Za-z\\x{3400}-\\x{9FFF}]')) + 2) AS ratio FROM documents",
     "keyword_flags": "SELECT doc_id, " + ", ".join(f"regexp_matches(text, '{p}') AS {n}" for n, p in FLAGS.items()) + f", regexp_matches(text, '{SPECULATIVE}') AS speculative FROM documents",
     "length_tristate": f"SELECT doc_id, CASE WHEN len(text) > 4000 THEN 'drop_long' WHEN len(text) > 2000 AND {_h('tri', 'doc_id')} / 4294967296.0 >= 0.02 THEN 'drop_sampled' WHEN len(text) > 2000 THEN 'keep_sampled' ELSE 'keep' END AS decision FROM documents",

@@ -95,11 +95,12 @@ QUERIES = {
     "spaced_repeat": on("documents", lambda d: d.select("doc_id", deg.repeated(F.col("text")).alias("loop"))),
     "dup_lines": on("documents", lambda d: d.select("doc_id", deg.duplicate_lines(F.col("text")).alias("dup"))),
     "sentence_repeat": on("documents", lambda d: d.select("doc_id", deg.sentence_repeat(F.col("text")).alias("rep"))),
+    "loop_flag": on("documents", lambda d: d.select("doc_id", deg.has_loop(F.col("text")).alias("loop"))),
     "low_info_tail": on("documents", lambda d: d.select("doc_id", deg.low_information_tail(F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.repeat(F.lit("12.-%"), F.lit(20))).otherwise(""))).alias("t")).select("doc_id", "t.found", "t.keep")),
     "prose_loop": on("documents", lambda d: d.select("doc_id", deg.over_texts(F.col("text"), deg.prose_loop, "long").alias("keep"))),
-    "stutter": on("documents", lambda d: d.select("doc_id", deg.over_texts(F.col("text"), deg.stutter, "boolean").alias("stutters"))),
+    "stutter": on("documents", lambda d: d.select("doc_id", deg.over_texts(F.col("text"), deg.stutter, "long").alias("keep"))),
     "near_clauses": on("documents", lambda d: d.select("doc_id", deg.over_texts(F.col("text"), deg.near_duplicate_clauses, "boolean").alias("near"))),
-    "token_cycle": on("documents", lambda d: d.select("doc_id", deg.over_texts(F.array_join(tokens(F.col("text")), "\x01"), lambda t: deg.token_cycle(t.split("\x01")), "long").alias("period"))),
+    "token_cycle": on("documents", lambda d: d.select("doc_id", deg.cycle_period(tokens(F.col("text"))).alias("period"))),
     "ratio_mix": on("documents", _ratio_mix),
     "cycle_repeat": on("documents", lambda d: mixing.cycle_to(d.filter("lang = 'de'").select("doc_id"), ["doc_id"], 300, 3).select("doc_id", "round")),
     "cadence_interleave": on("documents", _interleave),
@@ -131,6 +132,12 @@ SQL = {
     "ema": "WITH x AS (SELECT source, doc_id, len(text)::DOUBLE AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents), m AS (SELECT source, max(r) AS k FROM x GROUP BY source) SELECT source, round(sum(x * CASE WHEN r = 1 THEN pow(0.9, k - 1) ELSE 0.1 * pow(0.9, k - r) END), 6) AS ema FROM x JOIN m USING (source) GROUP BY source",
     "dup_lines": f"WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP}), lambda x: len(x) >= 12) AS l FROM documents) SELECT doc_id, len(l) <> len(list_distinct(l)) AS dup FROM l",
     "sentence_repeat": f"WITH l AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[。！？!?；;\\n]+'), lambda x: {_STRIP}), lambda x: len(x) >= 6)) AS u FROM documents), c AS (SELECT doc_id, u, count(*) AS n FROM l GROUP BY 1, 2) SELECT d.doc_id, coalesce(max(n) >= 3, false) AS rep FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id GROUP BY d.doc_id",
+    "low_info_tail": r"""WITH x AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN repeat('12.-%', 20) ELSE '' END AS t FROM documents),
+y AS (SELECT doc_id, t, regexp_extract(right(t, 640), '([0-9０-９\s.,，。:;!?！？%％()\[\]{}+\-*/_=…·"“”''<>]{64,})$', 1) AS n FROM x),
+z AS (SELECT *, regexp_replace(n, '\s+', '', 'g') AS c, left(t, len(t) - len(n)) AS k FROM y),
+f AS (SELECT *, len(c) > 0 AND len(regexp_replace(c, '\p{Nd}', '', 'g')) >= 0.30 * len(c) AND len(list_distinct(string_split(c, ''))) <= 24 AS found, len(regexp_extract(right(k, 56), '(?s)^(.*[。！？!?\n])', 1)) AS m FROM z)
+SELECT doc_id, found, CASE WHEN found THEN len(k) - CASE WHEN m > 0 THEN least(56, len(k)) - m ELSE 0 END END AS keep FROM f""",
+    "loop_flag": f"WITH l AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[。！？!?；;\\n]+'), lambda x: {_STRIP}), lambda x: len(x) >= 6)) AS u FROM documents), c AS (SELECT doc_id FROM (SELECT doc_id, u, count(*) AS n FROM l GROUP BY 1, 2) WHERE n >= 3), w AS (SELECT doc_id, i, ch FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents)), e AS (SELECT doc_id, i, ch = lead(ch, 12) OVER (PARTITION BY doc_id ORDER BY i) AS same FROM w), r AS (SELECT doc_id, sum((same IS NOT TRUE)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run, same FROM e), s AS (SELECT doc_id FROM r WHERE same GROUP BY doc_id, run HAVING count(*) >= 24) SELECT doc_id, doc_id IN (SELECT doc_id FROM c) OR doc_id IN (SELECT doc_id FROM s) AS loop FROM documents",
     "ratio_mix": "WITH x AS (SELECT count(*) AS n FROM documents WHERE lang = 'en'), y AS (SELECT n, CAST(round_even(n * 0.2 / 0.8, 0) AS BIGINT) AS n_text FROM x) SELECT n, n_text, CAST(round_even(n_text * 2 / 3.0::DOUBLE, 0) AS BIGINT) AS n_zh FROM y",
     "cycle_repeat": "WITH x AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents WHERE lang = 'de') SELECT doc_id, r AS round FROM x, (SELECT unnest([0, 1, 2]) AS r) WHERE r * n + i < 300",
     "cadence_interleave": "WITH x AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM documents WHERE lang IN ('en', 'de')) SELECT doc_id, CASE WHEN lang = 'en' THEN i // 5 * 6 + i % 5 ELSE i * 6 + 5 END AS slot FROM x",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weft.functions import answers, rewards
+from weft.functions import answers, degeneration, rewards
 from weft.functions.hashing import hash32
 from weft.functions.text import strip
 from weft.functions.tokens import token_count
@@ -82,7 +82,7 @@ def _marker(d):
 
 def _summary(d):
     s = scored(d)
-    return s.agg(F.round(F.avg(F.col("correct").cast("int")), 9).alias("accuracy"), F.round(F.avg(F.col("p.from_box").cast("int")), 9).alias("box_rate"), F.round(F.avg("p.cot_tokens"), 6).alias("mean_tokens"), F.count("*").alias("n"))
+    return s.agg(F.round(F.avg(F.col("correct").cast("int")), 9).alias("accuracy"), F.round(F.avg("reward"), 9).alias("mean_reward"), F.round(F.avg(F.col("p.from_box").cast("int")), 9).alias("box_rate"), F.round(F.avg("p.cot_tokens"), 6).alias("mean_tokens"), F.count("*").alias("n"))
 
 
 def _instructions(d, l):
@@ -93,7 +93,7 @@ def _instructions(d, l):
 
 def _first_valid(d):
     """The first attempt that passes its checks is accepted."""
-    tries = candidates(d).withColumn("ok", F.col("text").contains("\\boxed") & (token_count(F.col("text")) < 40))
+    tries = candidates(d).withColumn("ok", rewards.accepted(F.col("text").contains("\\boxed"), F.col("text"), token_count(F.col("text")), 40, degeneration.exact_loop(F.col("text"))))
     return tries.groupBy("prompt").agg(F.min(F.when(F.col("ok"), F.col("cand"))).alias("accepted"), F.count_if("ok").alias("n_ok"))
 
 
@@ -132,6 +132,10 @@ def _bonus(n: str) -> str:
 SQL = {
     "candidates": f"WITH {_CANDIDATES} SELECT prompt, cand, '#### ' || truth AS truth, text FROM c",
     "extract_number": f"WITH {_CANDIDATES} SELECT prompt, cand, truth::DOUBLE AS truth, CASE WHEN h % 2 = 0 OR h = 1 THEN truth ELSE 1234.5 END::DOUBLE AS pred FROM c",
+    "parse_prediction": f"""WITH {_CANDIDATES}, s AS (SELECT prompt, cand, {{STRIP_TEXT}} AS raw FROM c), p AS (SELECT *, try_cast(nullif(regexp_extract(raw, '{{BOX}}', 1), '') AS DOUBLE) AS boxed_value, try_cast(list_extract(regexp_extract_all(replace(raw, ',', ''), '-?[0-9]+\\.?[0-9]*'), -1) AS DOUBLE) AS fallback_value,
+  instr(raw, '<|thought_start|>') AS a, instr(raw, '<|thought_end|>') AS b FROM s), q AS (SELECT *, CASE WHEN a > 0 AND b > a THEN {{STRIP_COT}} END AS cot_text FROM p)
+SELECT prompt, cand, raw, regexp_matches(raw, '{{BOX}}') AS has_box, boxed_value, fallback_value, coalesce(boxed_value, fallback_value) AS final_answer, boxed_value IS NOT NULL AS from_box, boxed_value IS NOT NULL AS has_box_and_valid, a > 0 AND b > a AS has_cot_tags, cot_text,
+  CASE WHEN cot_text IS NULL THEN 0 ELSE len(regexp_extract_all(cot_text, '\\p{{{{L}}}}+|\\p{{{{N}}}}|[^\\s\\p{{{{L}}}}\\p{{{{N}}}}]')) END AS cot_tokens FROM q""".replace("{{", "{").replace("}}", "}").replace("{STRIP_TEXT}", _TAIL.replace("{{", "{").replace("}}", "}").replace("{x}", "text")).replace("{STRIP_COT}", _TAIL.replace("{{", "{").replace("}}", "}").replace("{x}", "substr(raw, a + 17, b - a - 17)")).replace("{BOX}", r"\\boxed\s*\{\s*(-?[0-9]+(?:\.[0-9]+)?)\s*\}"),
     "choice_letter": f"WITH {_LETTERS} SELECT doc_id, CASE WHEN k = 0 THEN got END AS boxed, CASE WHEN k IN (0, 1, 2) THEN got END AS fallback, CASE WHEN k < 3 THEN got END AS final_answer FROM l",
     "gsm_reward": f"WITH {_CANDIDATES}, {_REWARD} SELECT prompt, cand, correct, round(reward, 9) AS reward FROM r",
     "arc_reward": f"WITH {_LETTERS}, s AS (SELECT *, (doc_id * 3) % 400 AS total, (doc_id * 7) % 450 AS n, k < 3 AND got = want AS ok FROM l) SELECT doc_id, round(CASE WHEN total >= 340 THEN -1.0 WHEN ok AND k = 0 THEN 1.0 + CASE WHEN doc_id % 2 = 0 THEN greatest(-0.5, least(1.0, 1.2 * ({_bonus('n')}))) ELSE 0 END WHEN ok THEN 0.2 ELSE -1.0 END::DOUBLE, 9) AS reward FROM s",
@@ -146,7 +150,7 @@ SQL = {
     "length_scores": f"WITH d AS (SELECT doc_id, doc_id % 500 AS n, doc_id % 300 AS t FROM documents) SELECT doc_id, round(({_SCORE})::DOUBLE, 9) AS a, round(({_bonus('n')})::DOUBLE, 9) AS b, CASE WHEN t = 0 THEN 0.0 WHEN t <= 40 THEN -0.2 WHEN t <= 120 THEN 0.5 WHEN t <= 200 THEN -0.3 ELSE -1.0 END::DOUBLE AS c FROM d",
     "difficulty_weight": "SELECT doc_id, round(1 / (1 + exp(6 * ((doc_id % 11) / 10.0 - 0.5)))::DOUBLE, 9) AS w, round((exp((doc_id % 9) / 10.0::DOUBLE - 0.4) - 1 - ((doc_id % 9) / 10.0::DOUBLE - 0.4))::DOUBLE, 9) AS kl, round(greatest(0.1, least(10.0, 0.65 / greatest((doc_id % 5) * 0.2, 1e-8)))::DOUBLE, 9) AS scale FROM documents",
     "accuracy_by_type": f"WITH {_CANDIDATES}, {_REWARD} SELECT prompt % 5 AS kind, round(avg(correct::INT), 9) AS accuracy, count(*) AS n FROM r GROUP BY 1",
-    "eval_summary": f"WITH {_CANDIDATES}, {_REWARD} SELECT round(avg(correct::INT), 9) AS accuracy, round(avg(boxed::INT), 9) AS box_rate, round(avg(n), 6) AS mean_tokens, count(*) AS n FROM r",
+    "eval_summary": f"WITH {_CANDIDATES}, {_REWARD} SELECT round(avg(correct::INT), 9) AS accuracy, round(avg(reward), 9) AS mean_reward, round(avg(boxed::INT), 9) AS box_rate, round(avg(n), 6) AS mean_tokens, count(*) AS n FROM r",
     "instruction_accuracy": "SELECT round(avg((quality = 1 AND toxic = 1 AND doc_id % 2 = 1)::INT), 9) AS by_prompt, round(sum(quality + toxic + doc_id % 2) / (3 * count(*)), 9) AS by_instruction FROM documents JOIN labels USING (doc_id)",
     "first_valid_attempt": f"WITH {_CANDIDATES}, t AS (SELECT *, contains(text, '\\boxed') AND len(regexp_extract_all(text, '\\p{{L}}+|\\p{{N}}|[^\\s\\p{{L}}\\p{{N}}]')) < 40 AS ok FROM c) SELECT prompt, min(cand) FILTER (ok) AS accepted, count(*) FILTER (ok) AS n_ok FROM t GROUP BY prompt",
 }

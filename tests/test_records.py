@@ -11,7 +11,7 @@ from weft.functions import records
 
 def test_bit_exact_hashes(spark):
     d = spark.createDataFrame([("a",), ("é",), (None,)], "t string")
-    rows = d.select("t", records.blake2b_score(F.col("t")).alias("b"), records.xxh3_64(F.col("t")).alias("x")).collect()
+    rows = d.select("t", records.blake2b_score(F.col("t")).alias("b"), records.xxh3(F.col("t"), 64).alias("x")).collect()
     for r in rows:
         raw = (r["t"] or "").encode()
         assert r["b"] == str(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big")) and r["x"] == xxhash.xxh3_64_hexdigest(raw)

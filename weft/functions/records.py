@@ -119,16 +119,25 @@ def blake2b_score(column: Column, size: int = 8) -> Column:
     return score(column)
 
 
-def xxh3_64(column: Column) -> Column:
+def xxh3(column: Column, bits: int) -> Column:
+    """The XXH3 digest in hex, of 64 or 128 bits; another function than Spark's xxhash64. Null counts as empty."""
+
     @F.pandas_udf("string")
     def digest(values: pd.Series) -> pd.Series:
         import xxhash
 
-        return values.map(lambda v: xxhash.xxh3_64_hexdigest((v or "").encode()))
+        of = xxhash.xxh3_64_hexdigest if bits == 64 else xxhash.xxh3_128_hexdigest
+        return values.map(lambda v: of((v or "").encode()))
 
     return digest(column)
 
 
+def first_response(responses: Column, reference: Column) -> Column:
+    """The first filled response of a list (struct with `response`), or else the reference answer."""
+    filled = F.filter(F.transform(responses, lambda r: strip(F.coalesce(r["response"], F.lit("")))), lambda x: x != "")
+    return F.coalesce(F.get(filled, 0), reference)
+
+
 _TOKEN = None
 
 

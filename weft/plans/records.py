@@ -136,7 +136,7 @@ QUERIES = {
     "train_first_order": on("documents", lambda d: d.select(_ID, F.when(F.pmod(hash32("tf", F.col(_ID)), F.lit(10)) == 0, "eval").otherwise("train").alias("split"), hash32("ord", F.col(_ID)).alias("score")).orderBy(F.col("split") == "eval", "score", _ID)),
     "kept_ratio": on("documents", lambda d: d.agg(F.round(F.count_if(F.length("text") < 3000) / F.greatest(F.lit(1), F.count("*")), 9).alias("ratio"), F.round(F.sum(F.octet_length("text")) / float(1 << 20), 6).alias("mib"))),
     "blake2b_order": on("documents", lambda d: d.select(_ID, records.blake2b_score(F.concat_ws(":", F.lit("7"), _ID)).alias("score"))),
-    "xxh3_hash": on("documents", lambda d: d.select(_ID, records.xxh3_64(F.col("text")).alias("h"))),
+    "xxh3_hash": on("documents", lambda d: d.select(_ID, records.xxh3(F.col("text"), 64).alias("h"))),
     "tool_schema": on("documents", lambda d: d.select(_ID, degeneration.over_texts(F.concat(F.lit('{"name": "f", "required": ["a"], "parameters": {"type": "dict", "properties": {"a": {"type": "'), _pick("str, optional", "List"), F.lit('"}}}}')), records.normalise_tool, "string").alias("tool"))),
     "answer_token_mask": on("documents", _answer_mask(records.answer_spans)),
     "protocol_token_mask": on("documents", _answer_mask(records.protocol_spans)),

@@ -25,7 +25,7 @@ CASTS = {
     "DOUBLE": {"quality_tag": ("unik",), "temp_downweight": ("weight",)},
 }
 
-MODULES = ("clean", "select", "chat", "scoring", "report", "relational", "records", "packs")
+MODULES = ("clean", "select", "chat", "scoring", "report", "relational", "records", "packs", "gates", "files")
 
 
 def _modules():

@@ -58,7 +58,11 @@ def test_trim_and_fit(spark):
 
 
 def test_reject_reasons(spark):
-    reason = lambda *t: msgs(spark, *t).select(chat.reject_reason(F.col("m")).alias("x")).first()["x"]
+    reason = lambda *t: msgs(spark, *t).select(chat.normalise(F.col("m"), "Describe.")["reason"].alias("x")).first()["x"]
+    kept = msgs(spark, ("human", "<image>"), ("gpt", "b")).select(chat.render(chat.normalise(F.col("m"), "Describe.")["msgs"]).alias("x")).first()["x"]
+    assert kept.startswith("<|im_start|>user\n<img>\nDescribe.<|im_end|>")
+    assert spark.createDataFrame([([None],)], f"m {MSGS}").select(chat.normalise(F.col("m"), "x")["reason"].alias("x")).first()["x"] == "turn_not_object"
+    assert reason(("user", "a"), ("user", "c"), ("assistant", "b")) == "non_alternating"
     assert reason(("user", "a"), ("assistant", "b")) is None
     assert reason(("user", "a"), ("robot", "b")) == "unknown_role"
     assert reason(("user", "a"), ("assistant", " ")) == "empty_assistant"
@@ -91,9 +95,19 @@ def test_marker_split(spark):
     assert split("nothing")["status"] == "no_marker" and split(" ")["status"] == "empty"
 
 
-def test_boxes():
-    assert not answers.completed_box(r"$\boxed{7}") and answers.completed_box(r"$\boxed{7}$")
-    assert answers.completed_box(r"\boxed{\frac{1}{2}}") and not answers.completed_box(r"<|thought_start|>\boxed{7}")
+def test_boxes(spark):
+    good = [r"$\boxed{7}$", r"\boxed{\frac{1}{2}}", r"\boxed{1} then \boxed{2}", r"\( \boxed{7} \)", r"\boxed {x\}y} tail {", r"\\(\boxed{7}\\)", r"\$ \boxed{7}", r"<|thought_start|>a<|thought_end|>\boxed{7}"]
+    bad = [r"$\boxed{7}", r"<|thought_start|>\boxed{7}", r"\boxed{7", r"\boxed", r"\boxed{1} then \boxed{2", r"\[ \boxed{7}", r"\boxed x{7}", "", r"\\(\boxed{7}", None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "i long, t string")
+    assert [r["c"] for r in d.select("i", answers.box_is_complete(F.col("t")).alias("c")).orderBy("i").collect()] == [True] * len(good) + [False] * len(bad)
+
+
+def test_numeric_tails(spark):
+    tail = lambda t: tuple(one(spark, degeneration.low_information_tail(F.col("t")), t=t))
+    noise = "12.5%, 13..7-8 " * 8
+    assert tail("It grew. And then " + noise) == (True, len("It grew. And then"))
+    assert tail("It grew! And then " + noise) == (True, len("It grew!"))
+    assert tail("It grew!" + "x" * 60 + noise)[1] == 68 and tail("In 2024 it grew by 12 %.") == (False, None) and tail("1" * 80) == (False, None)
 
 
 def test_math_is_no_prose_loop():
@@ -120,6 +134,33 @@ def test_budgets(spark):
     assert ids(budget.stop_after(d, ["i"], F.col("n"), 12)) == [0, 1]
     assert ids(budget.break_before(d, ["i"], F.col("n"), 12)) == [0, 1]
     assert ids(budget.skip_what_does_not_fit(d, ["i"], F.col("n"), 9)) == [0, 2, 4]
+    assert ids(budget.cap_files(d.withColumn("f", F.lit(1)), ["f"], ["i"], F.col("n"), 12)) == [0, 1]
+
+
+def test_first_fit_by_runs_equals_one_pass(spark):
+    import random
+
+    rng = random.Random(5)
+    for target in (50, 400, 3000):
+        sizes = [rng.choice([1, 2, 5, 30, 90, 400]) for _ in range(120)]
+        d = spark.createDataFrame(list(enumerate(sizes)), "i long, n long")
+        want, total = [], 0
+        for i, n in enumerate(sizes):
+            if total + n <= target:
+                total += n
+                want.append(i)
+        assert sorted(r["i"] for r in budget.skip_what_does_not_fit(d, ["i"], F.col("n"), target, fold_rows=10).collect()) == want
+
+
+def test_too_few_rows_raise(spark):
+    import pytest
+
+    from weft.operators import sampling
+
+    with pytest.raises(ValueError, match="2 rows of 3"):
+        sampling.quota(spark.range(2), "id", "s", 3, "rows")
+    with pytest.raises(TypeError):
+        prefix.running_total(spark.createDataFrame([("a",)], "k string"), ["k"], F.lit(1), "t")
 
 
 def test_keep_first_of_hot_key(spark):

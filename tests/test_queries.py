@@ -18,7 +18,8 @@ def test_query(spark, name):
     if name in SQL:
         same(df, SQL[name], SF)
     else:
-        assert df.count() >= 0 and df.columns
+        # tests/test_brute.py has a plain version of these.
+        assert df.count() > 0
 
 
 def test_every_oracle_has_a_query():

@@ -42,12 +42,11 @@ def skip_what_does_not_fit(df: DataFrame, order: list[str], size: Column, target
     while left > 0 and open_.limit(fold_rows + 1).count() > fold_rows:
         run = running_total(open_, order, F.col("__size"), "__end")
         last = run.filter(F.col("__end") <= left).agg(F.max("__end").alias("sum"), F.max(F.struct(*order)).alias("at")).first()
-        fits = open_ if last["at"] is None else open_.filter(F.struct(*order) <= F.struct(*[F.lit(x) for x in last["at"]]))
-        if last["at"] is not None:
-            taken = fits if taken is None else taken.unionByName(fits)
-            left -= last["sum"]
-        # What comes behind the run: its first row did not fit.
-        behind = open_ if last["at"] is None else open_.filter(F.struct(*order) > F.struct(*[F.lit(x) for x in last["at"]]))
+        # Each candidate fits by itself, so the run has a row at least; what comes behind it did not fit.
+        at = F.struct(*[F.lit(x).cast(keys.schema[c].dataType).alias(c) for c, x in zip(order, last["at"], strict=True)])
+        fits, behind = open_.filter(F.struct(*order) <= at), open_.filter(F.struct(*order) > at)
+        taken = fits if taken is None else taken.unionByName(fits)
+        left -= last["sum"]
         open_ = behind.filter(F.col("__size") <= left)
     last_part = _fold(open_, order, left)
     kept = last_part if taken is None else taken.unionByName(last_part)

@@ -12,6 +12,7 @@ from weft.operators import budget, dedup, mixing, prefix, profile, sampling
 from weft.plans.chat import _LINE, _MSGS
 from weft.plans.clean import CLEAN_SQL, _h, _strip
 from weft.plans.common import on
+from weft.plans.scoring import _CANDIDATES, _REWARD
 
 D, C, B = "documents", "conversations", "benchmark"
 _N = r"len(regexp_extract_all(text, '\p{L}+|\p{N}|[^\s\p{L}\p{N}]'))"
@@ -206,7 +207,7 @@ QUERIES = {
     "accuracy_and_reward": on(D, _accuracy_reward),
     "loop_reward": on(D, _loop_reward),
     "loop_summary": on(D, _loops),
-    "first_exchange_eligible": on(C, _short_chats),
+    "short_chat_eligible": on(C, _short_chats),
     "fanout_with_minimum": on(C, _fanout),
     "image_marker_ensured": on(C, lambda t: chat.gather(t).select("conv_id", F.transform("msgs", lambda m: F.struct(m["role"].alias("role"), F.when((F.col("conv_id") % 2 == 0) & (m["role"] == "user"), F.concat(m["content"], F.lit(" <img>"))).otherwise(m["content"]).alias("content"))).alias("m")).select("conv_id", chat.render(chat.ensure_image_marker(F.col("m"))).alias("txt"))),
     "trajectory_filter": on(D, _replay_candidates),
@@ -256,6 +257,12 @@ SELECT doc_id, array_to_string(list_filter([CASE WHEN u = '' OR a = '' THEN 'emp
     "loop_summary": f"WITH l AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[。！？!?；;\\n]+'), lambda x: {_strip('x')}), lambda x: len(x) >= 6)) AS u FROM documents), c AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, u, count(*) AS n FROM l GROUP BY 1, 2) WHERE n >= 3) SELECT round(avg(doc_id % 2), 9) AS accuracy, round(avg((doc_id IN (SELECT doc_id FROM c))::INT), 9) AS loop_rate, round(avg({_N}), 6) AS mean_tokens FROM documents",
     "fanout_with_minimum": f"WITH {_MSGS}, r AS (SELECT conv_id, role, row_number() OVER w AS i, sum(k) OVER w AS s FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), x(ctx, least) AS (VALUES (200, 0), (400, 150), (800, 300)) SELECT conv_id, ctx, max(i) AS n_turns, CAST(max(s) AS BIGINT) AS n FROM r, x WHERE role = 'assistant' AND s <= ctx GROUP BY conv_id, ctx, least HAVING max(s) >= least",
     "image_marker_ensured": "WITH x AS (SELECT conv_id, turn, role, coalesce(text, '') || CASE WHEN conv_id % 2 = 0 AND role = 'user' THEN ' <img>' ELSE '' END AS t FROM conversations), y AS (SELECT *, min(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS u, bool_or(role = 'user' AND contains(t, '<img>')) OVER (PARTITION BY conv_id) AS has FROM x) SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || CASE WHEN NOT has AND turn = u THEN " + _strip("'<img>' || chr(10) || t") + " ELSE t END || '<|im_end|>' || chr(10), '' ORDER BY turn) AS txt FROM y GROUP BY conv_id",
+    "trajectory_filter": f"WITH {_CANDIDATES}, {_REWARD} SELECT prompt, CAST(cand AS BIGINT) AS cand FROM r WHERE cand <= 2 AND reward >= 1.1 AND correct AND boxed AND h >= 3 AND {_N} BETWEEN 180 AND 350",
+    "batch_ranks": f"""WITH RECURSIVE x AS (SELECT doc_id, doc_id // 256 AS shard, {_N} AS n, row_number() OVER (PARTITION BY doc_id // 256 ORDER BY {_N}, doc_id) AS r FROM documents),
+f AS (SELECT doc_id, shard, r, 0 AS batch, 1 AS k, n AS longest FROM x WHERE r = 1
+UNION ALL SELECT x.doc_id, x.shard, x.r, CASE WHEN (f.k + 1) * greatest(f.longest, x.n) > 8192 THEN f.batch + 1 ELSE f.batch END, CASE WHEN (f.k + 1) * greatest(f.longest, x.n) > 8192 THEN 1 ELSE f.k + 1 END,
+  CASE WHEN (f.k + 1) * greatest(f.longest, x.n) > 8192 THEN x.n ELSE greatest(f.longest, x.n) END FROM f JOIN x ON x.shard = f.shard AND x.r = f.r + 1)
+SELECT doc_id, CAST(batch % 4 AS BIGINT) AS rank FROM f""",
     "neighbour_groups": "WITH x AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS run FROM documents) SELECT lang, min(doc_id) AS first, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM x GROUP BY lang, run",
     "mix_rows": "WITH n AS (SELECT CAST(round_even(count(*) * 0.2 / 0.8, 0) AS BIGINT) AS t FROM documents WHERE lang = 'en'), m AS (SELECT CAST(round_even(t * 2 / 3.0::DOUBLE, 0) AS BIGINT) AS de, t - CAST(round_even(t * 2 / 3.0::DOUBLE, 0) AS BIGINT) AS fr FROM n), x AS (SELECT lang AS part, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IN ('de', 'fr')) SELECT part, doc_id, CAST(r AS BIGINT) AS round FROM x, m, (SELECT unnest([0, 1, 2]) AS r) WHERE r * n + i < CASE part WHEN 'de' THEN de ELSE fr END",
     "pool_draws": "WITH u AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS u FROM documents), p AS (SELECT lang AS pool, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IN ('de', 'fr')), w AS (SELECT u, 'de' AS pool, u // 2 * 3 + (u % 2) * 2 + k AS c FROM u, (SELECT unnest([0, 1]) AS k) WHERE k < 2 - u % 2 UNION ALL SELECT u, 'fr', u // 2 * 3 + u % 2 + k FROM u, (SELECT unnest([0, 1]) AS k) WHERE k < 1 + u % 2) SELECT u, pool, c AS cursor, doc_id FROM w JOIN p USING (pool) WHERE i = c % n",

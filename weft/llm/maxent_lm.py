@@ -4,13 +4,14 @@ P(word | history) = P(s | h) P(u | s, h) P(word | class), where a word's class i
 16 u + s. The OWN most frequent tokens have a class each, others share classes
 by their last two bytes. The first two factors are log-linear over hashed
 features of the history: the word before, the word two before (skip) and both;
-the last is the smoothed share of the word in its class, with a part for words
-never seen. So the probabilities of all words and of the unseen add up to one.
+the last is the smoothed share of the word in its class. A shared class keeps a
+share for words never seen, which count as one event for each such class; a class
+of one token has none. So the probabilities of all words and of those events add
+up to one for any history.
 
 Training: word counts and feature-class counts over all training documents set
-the weights to damped log ratios; then rounds of distributed gradient updates,
-each over its own part of the training documents, refine them (full-batch steps
-scaled by the counts). The weights have a fixed size, whatever the corpus.
+the weights to damped log ratios; then rounds of distributed gradient updates
+over all training documents refine them (full-batch steps scaled by the counts). The weights have a fixed size, whatever the corpus.
 Scoring: sparse numpy batches look up a few rows of weights for each token.
 
 Word counts follow the corpus: frequent words (HEAD at most) are broadcast, the
@@ -22,7 +23,7 @@ chance of about 3 %, and would merge their two counts.
 Defined cases: null and empty texts consist of the end token. A null id counts
 as empty text, which is held out. With no training tokens all words are unknown
 and the model is uniform over classes. Repeated rows are scored row by row, and
-counted as often. Other columns are ignored.
+counted as often. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import is_held_out, materialise
+from weft.llm.common import is_held_out, materialise, scratch_scope
 from weft.llm.kernels import Words, byte_lengths, chunks, mix
 
 FOLDS = 10
@@ -311,7 +312,9 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> Trained:
     head = np.array([r["word"] for r in frequent], dtype=np.int64).view(np.uint64)
     own = np.array([END, *[h for h in head[: 2 * OWN] if h != END][: OWN - 1]], dtype=np.uint64)
 
+    # A class of one token holds nothing else; the others keep a share for words never seen.
     mass, kinds = np.zeros(CLASSES), np.ones(CLASSES)
+    kinds[: len(own)] = 0
     for r in counts.groupBy("shared").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
         mass[r["shared"]] += r["n"]
         kinds[r["shared"]] += r["k"]
@@ -322,16 +325,14 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> Trained:
             mass[r["shared"]] -= r["n"]
             kinds[r["shared"]] -= 1
             mass[i] += r["n"]
-            kinds[i] += 1
+    kinds[: len(own)] = 1
     model = Model(own, np.zeros((ROWS, S), dtype=np.float32), np.zeros((ROWS * S, U), dtype=np.float32))
     seen = feature_counts(training, sc.broadcast(model))
     model = Model(own, *_ratios(seen))
-    for i in range(rounds):
-        part = training.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(rounds)) == i)
-        g = gradient(part, sc.broadcast(model))
+    for _ in range(rounds):
+        g = gradient(training, sc.broadcast(model))
         # A step is bounded: the change of a weight is STEP at most where nothing was expected.
-        size = seen / rounds
-        step = STEP * g / (size + np.abs(g) + PRIOR)
+        step = STEP * g / (seen + np.abs(g) + PRIOR)
         a, b = _unpacked(step)
         model = Model(own, (model.top + a).astype(np.float32), (model.sub + b).astype(np.float32))
     model.log_class = np.log10(mass + SMOOTH * kinds)
@@ -408,8 +409,9 @@ def score(docs: DataFrame, trained: Trained) -> DataFrame:
 
 
 def op2_frame(docs: DataFrame) -> DataFrame:
-    """Train on the rows that are not held out and score all."""
-    return score(docs, train(docs))
+    """Train on the rows that are not held out and score all. Only the result stays in the shared folder."""
+    with scratch_scope():
+        return materialise(score(docs, train(docs)), "lm-scores", outer=True)
 
 
 def op2_maxent_lm(spark, sf_dir):

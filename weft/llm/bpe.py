@@ -9,7 +9,8 @@ of the encoding's definition in the tiktoken library).
 
 Defined cases: null and empty texts have no tokens; their digests are those of
 the empty string. Ids and repeated rows are taken row by row. A very long
-pre-token costs n log n. Other columns are ignored.
+pre-token costs n log n. Other columns are ignored. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from weft.llm.kernels import _BASE, _BYTE, _power, byte_lengths, chunks, mix
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pre-tokens whose ids a worker remembers; the older half goes when it is full.
-CACHE = 250_000
+#: Pre-tokens whose ids a worker remembers; the older half goes when it is full. Longer ones are not kept beyond their texts.
+CACHE, LONGEST = 250_000, 64
 #: Mean number of keys in a bucket of the perfect hash.
 BUCKET = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -188,7 +189,11 @@ class Encoder:
         if new:
             self.learn(list(new))
         get = self.memory.__getitem__
-        return [" ".join(map(get, pieces)) for pieces in cut]
+        ids = [" ".join(map(get, pieces)) for pieces in cut]
+        for piece in new:
+            if len(piece) > LONGEST:
+                del self.memory[piece]
+        return ids
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.of_id.__getitem__, ids.split(" "))) if ids else b""

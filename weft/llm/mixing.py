@@ -16,6 +16,9 @@ table gives an empty result. Sources without words have target 0.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,12 +114,34 @@ def boundaries(sized: DataFrame, share_percent: int, weights: tuple) -> tuple[Da
     return seen, few
 
 
+def _numbered(near: DataFrame) -> DataFrame:
+    """near with `run`: the words before each row in key order, where very many rows share a key.
+
+    Rows that share key, id and size are counted for each task that holds them; the few
+    counts are ordered, and each task numbers its own rows. The rows are written first, so
+    that they stay where they are.
+    """
+    tie = ["source", "key", "doc_id", "size"]
+    placed = materialise(near.withColumn("__part", F.spark_partition_id()), "mix-ties")
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "size", "__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*tie, "__part").agg(F.count("*").alias("__n"))
+    starts = counts.withColumn("__start", F.coalesce(F.sum(F.col("__n") * F.col("size")).over(order), F.lit(0)))
+    starts = starts.select(*[F.col(c).alias(f"__{c}") for c in tie], F.col("__part").alias("__at"), "__start")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in tie]
+    joined = placed.join(starts, reduce(and_, same) & (F.col("__part") == F.col("__at")))
+    inside = Window.partitionBy(*tie, "__part").orderBy(F.lit(0))
+    run = F.col("before") + F.col("__start") + (F.row_number().over(inside) - 1) * F.col("size")
+    return joined.withColumn("run", run).drop("__part", "__at", "__start", *[f"__{c}" for c in tie])
+
+
 def _assign(rows: DataFrame, seen: DataFrame, few: bool) -> DataFrame:
     """The rows with `copies` of each; only those between the boundary keys are sorted."""
     joined = _join(rows, seen, few)
     undecided = (F.col("rest") > 0) & (F.col("key") >= F.col("lo")) & (F.col("key") < F.col("hi"))
     order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    near = joined.filter(undecided).withColumn("run", F.col("before") + F.sum("size").over(order) - F.col("size"))
+    tied = seen.filter((F.col("open") > SORT_ROWS) & (F.col("rest") > 0)).limit(1).count()
+    near = joined.filter(undecided)
+    near = _numbered(near) if tied else near.withColumn("run", F.col("before") + F.sum("size").over(order) - F.col("size"))
     near = near.withColumn("copies", F.col("epochs") + (F.col("run") + F.col("size") / 2.0 <= F.col("rest")).cast("long")).drop("run")
     far = joined.filter(~undecided).withColumn("copies", F.col("epochs") + ((F.col("rest") > 0) & (F.col("key") < F.col("lo"))).cast("long"))
     return far.unionByName(near)

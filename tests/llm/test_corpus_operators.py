@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -192,6 +193,16 @@ def test_mix_of_many_rows_is_near_and_repeatable(spark):
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 21
 
 
+def test_mix_of_very_many_equal_rows(spark):
+    """A boundary inside thousands of rows with one id and text: taken words stay within half a row of the target."""
+    rows = [(7, "a b c d", "en", "hot", 1)] * 3000 + [(i, "x y", "en", "cold", 1) for i in range(100, 1600)] + [(None, "p q r", None, None, 1)] * 900
+    d = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    out = mixing.mix(d).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("size"), F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in out) == len(rows) and all(abs(r["taken"] - r["target"]) <= r["size"] / 2 + 1e-6 for r in out)
+    whole = mixing.mixed_documents(d).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] * {"hot": 4, "cold": 2, None: 3}[r["source"]] for r in whole} == {r["source"]: r["taken"] for r in out}
+
+
 def test_heavier_documents_come_first(spark):
     d = spark.createDataFrame([(i, "a b c d", "en", "s", 1) for i in range(3000)] + [(10_000 + i, "x " * 40, "en", "t", 1) for i in range(3000)], SCHEMA)
     got = mixing.mix(d, weight=F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(0.1)).filter("source = 't'").groupBy(F.col("doc_id") % 2 == 0).agg(F.sum("taken")).collect()
@@ -272,6 +283,28 @@ def test_lm_probabilities_add_up(spark):
     assert np.allclose(total, 1, atol=1e-5)
 
 
+def test_lm_is_a_distribution(spark):
+    """For one history, the probabilities of all words and of the unseen in each shared class add up to one."""
+    rows = [(i, passage(random.Random(i), 50)) for i in range(60)]
+    trained = maxent_lm.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    m = trained.model
+    words = sorted({w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in t.split()})
+    total = 0.0
+    for word in [*words, None]:
+        # The word behind "thing", or the end there.
+        t = maxent_lm.Tokens([b"thing" if word is None else f"thing {word}".encode()])
+        c, f = m.classes(t), t.features()
+        a, b = m.logits(f, c % maxent_lm.S)
+        p = maxent_lm._softmax(a)[0][1, c[1] % maxent_lm.S] * maxent_lm._softmax(b)[0][1, c[1] // maxent_lm.S]
+        total += p * 10 ** (m.log_count[m.find_head(t.hash)[1]] - m.log_class[c[1]])
+    share = 10 ** (math.log10(maxent_lm.SMOOTH) - m.log_class[maxent_lm.OWN :])
+    t = maxent_lm.Tokens([b"thing x"])
+    for k, unseen in enumerate(share, maxent_lm.OWN):
+        a, b = m.logits(t.features(), np.full(len(t.hash), k % maxent_lm.S))
+        total += unseen * maxent_lm._softmax(a)[0][1, k % maxent_lm.S] * maxent_lm._softmax(b)[0][1, k // maxent_lm.S]
+    assert abs(total - 1) < 1e-4
+
+
 def test_lm_of_nothing(empty, spark):
     assert maxent_lm.op2_frame(empty).count() == 0
     only_held = spark.createDataFrame([(None, "a b")], "doc_id long, text string")
@@ -317,9 +350,71 @@ def test_toxicity_clauses():
     assert tags("that is not stupid")["negated"] and not tags("that is not stupid")["plain"]
     assert tags("she said he is a moron")["reported"]
     assert tags("they will kill you")["threat"] and not tags("kill the process")["threat"]
+    assert tags("idiot, you")["directed"] and tags("idiot you are")["directed"] and not tags("idiot of a plan for you")["directed"]
+    assert not tags("I kill not never no you")["threat"] and not tags("he will kill the process")["threat"] and not tags("all tests beat the baseline")["threat"]
+    assert tags("sie sind ein trottel")["directed"] and tags("quel crétin")["plain"]
     assert s.scores(["you idiot, you pathetic loser. you are scum."])[0] > 0.5 > s.scores(["not stupid"])[0]
 
 
+def plain_tags(s, text):
+    """Weights by tag of a text, the machines run one after the other over each clause."""
+    out = dict.fromkeys(toxicity.TAGS, 0.0)
+    for clause in re.split(r"[.!?;:\n]+", (text or "").lower()):
+        words = re.findall(r"[^\W\d_]+", clause)
+        kinds = [s.symbols.get(w, "o") for w in words]
+        for i, (w, k) in enumerate(zip(words, kinds, strict=True)):
+            back = kinds[:i]
+            # How many words ago the last negation or target stood, up to four.
+            near = lambda x: x in back[-toxicity.SCOPE :]  # noqa: E731,B023
+            said, weight = "R" in back, s.words.get(w, toxicity.SEED_WEIGHT)
+            if k == "I":
+                if said:
+                    out["reported"] += 0.5 * weight
+                elif near("N"):
+                    out["negated"] += 0.5 * weight
+                elif near("G"):
+                    out["directed"] += 1.3 * weight
+                else:
+                    out["plain"] += weight
+            elif k == "T" and said:
+                out["reported"] += 0.5 * weight
+            elif k == "T" and near("N"):
+                out["negated"] += 0.2 * weight
+            elif k == "G" and not said:
+                # An open insult or threat right before, or with one ordinary word between.
+                j = i - 1 if i and kinds[i - 1] in "IT" else i - 2 if i > 1 and kinds[i - 1] == "o" and kinds[i - 2] in "IT" else None
+                before = [] if j is None else kinds[max(0, j - toxicity.SCOPE) : j]
+                if j is not None and "N" not in before:
+                    if kinds[j] == "T":
+                        out["threat"] += weight
+                    elif "G" not in before:
+                        out["directed"] += 0.3 * weight
+    return out
+
+
+def test_toxicity_features_by_plain_rules():
+    """Random clauses of all kinds of words: the composed machine against rules on positions."""
+    s = toxicity.Scorer(dict.fromkeys(toxicity.INSULTS, toxicity.SEED_WEIGHT) | {"gronk": 1.5}, toxicity.PRIOR)
+    rng = random.Random(3)
+    pools = [sorted(toxicity.INSULTS) + ["gronk"], sorted(toxicity.THREATS), sorted(toxicity.TARGETS), ["not", "never"], ["said", "wrote"], WORDS, WORDS, WORDS]
+    for _ in range(3000):
+        text = " ".join(rng.choice(rng.choice(pools)) + rng.choice(["", "", "", "", ",", ".", "!"]) for _ in range(rng.randrange(1, 25)))
+        got = s.features(text)[1:6]
+        assert np.allclose(got, [math.log1p(plain_tags(s, text)[t]) for t in toxicity.TAGS]), text
+
+
+def test_toxicity_on_long_and_repeated_texts(spark, empty):
+    s = toxicity.Scorer(dict.fromkeys(toxicity.INSULTS, toxicity.SEED_WEIGHT), toxicity.PRIOR)
+    bad = "you pathetic idiot, you worthless scum. "
+    rows = [(1, bad * 3), (1, bad * 3), (2, passage(random.Random(1), 40_000)), (3, passage(random.Random(1), 2000) + bad * 2000), (4, None)]
+    out = toxicity.with_score(spark.createDataFrame(rows, "doc_id long, text string"), s).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r["doc_id"], set()).add(r["score"] >= 0.5)
+    assert by == {1: {True}, 2: {False}, 3: {True}, 4: {False}}
+    assert toxicity.with_score(empty, s).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs, labels = toxic_rows()
     copies = [(1000, docs[1][1], "en", "s", 1), (1001, docs[2][1].replace("thing", "changed", 1), "de", "t", 1)]

@@ -5,7 +5,8 @@ lines go, and a document that loses too much of its text is rejected.
 
 Defined cases: a null, empty or blank text has no words and no lines with
 words; it fails the base rules and is not kept. Repeated rows and ids are
-judged row by row. Other columns are ignored, whatever their names.
+judged row by row. Other columns are ignored, whatever their names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations

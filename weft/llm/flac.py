@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from weft.llm.common import materialise
 from weft.llm.kernels import byte_lengths, chunks
 
-BLOCK = 1024
+BLOCK = 2048
 PAD = 64
 RATE, BITS = 8000, 8
 LPC_ORDER, LPC_PRECISION = 6, 10
@@ -135,11 +135,14 @@ def _zigzag(r: np.ndarray) -> np.ndarray:
 
 
 def _rice_parameter(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Parameter of each row and the bits it takes."""
+    """Parameter of each row and the bits it takes: the best of three around what the mean suggests."""
     n = u.shape[1]
     mean = u.sum(axis=1) / max(n, 1)
-    k = np.clip(np.floor(np.log2(np.maximum(mean * 0.7, 1.0))).astype(np.int64), 0, 14)
-    return k, (u >> k[:, None]).sum(axis=1) + n * (k + 1)
+    guess = np.floor(np.log2(np.maximum(mean * 0.7, 1.0))).astype(np.int64)
+    tried = [np.clip(guess + d, 0, 14) for d in (0, 1, -1)]
+    bits = np.stack([(u >> k[:, None]).sum(axis=1) + n * (k + 1) for k in tried])
+    best = bits.argmin(axis=0)
+    return np.choose(best, tried), bits.min(axis=0)
 
 
 def _lpc(x: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:

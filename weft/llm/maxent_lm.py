@@ -10,8 +10,9 @@ of one token has none. So the probabilities of all words and of those events add
 up to one for any history.
 
 Training: word counts and feature-class counts over all training documents set
-the weights to damped log ratios; then rounds of distributed gradient updates
-over all training documents refine them (full-batch steps scaled by the counts). The weights have a fixed size, whatever the corpus.
+the weights to damped log ratios; then rounds of distributed gradient updates, each
+over its own part of the training documents and all of them together over every one,
+refine them (steps scaled by the counts). The weights have a fixed size, whatever the corpus.
 Scoring: sparse numpy batches look up a few rows of weights for each token.
 
 Word counts follow the corpus: frequent words (HEAD at most) are broadcast, the
@@ -329,10 +330,11 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> Trained:
     model = Model(own, np.zeros((ROWS, S), dtype=np.float32), np.zeros((ROWS * S, U), dtype=np.float32))
     seen = feature_counts(training, sc.broadcast(model))
     model = Model(own, *_ratios(seen))
-    for _ in range(rounds):
-        g = gradient(training, sc.broadcast(model))
+    for i in range(rounds):
+        part = training.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(rounds)) == i)
+        g = gradient(part, sc.broadcast(model))
         # A step is bounded: the change of a weight is STEP at most where nothing was expected.
-        step = STEP * g / (seen + np.abs(g) + PRIOR)
+        step = STEP * g / (seen / rounds + np.abs(g) + PRIOR)
         a, b = _unpacked(step)
         model = Model(own, (model.top + a).astype(np.float32), (model.sub + b).astype(np.float32))
     model.log_class = np.log10(mass + SMOOTH * kinds)

@@ -260,11 +260,12 @@ def eligible(msgs):
 def test_eligible_chats(spark):
     whole, short = set(), set()
     for i, msgs in chats().items():
-        turns, alternating, n, marks, loop = eligible(msgs)
-        if 2 <= turns <= 5 and alternating and n <= 900 and marks <= 1 and not loop:
-            whole.add(i)
         plain = [m for m in msgs if m[0] != "system"]
         users, answers = [k for k, (r, _) in enumerate(plain) if r == "user"], [k for k, (r, _) in enumerate(plain) if r == "assistant"]
+        talk = plain[users[0] : answers[-1] + 1] if users and answers and answers[-1] > users[0] else []
+        turns, alternating, n, marks, loop = eligible(talk)
+        if 2 <= turns <= 5 and alternating and n <= 2500 and marks <= 1 and not loop:
+            whole.add(i)
         head = marked(plain[users[0] : answers[-1] + 1][:2]) if users and answers and answers[-1] > users[0] else []
         turns, alternating, n, marks, loop = eligible([(r, c if r == "assistant" else c) for r, c in head])
         if len(head) == 2 and turns == 1 and alternating and n <= 400 and marks == 1 and not eligible([m for m in head if m[0] == "assistant"])[4]:

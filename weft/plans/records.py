@@ -38,7 +38,8 @@ def _chunks(d):
 
 def _eligible(most_turns, most_chars):
     def body(t):
-        q = chat.gather(t).select("conv_id", chat.quality(F.col("msgs")).alias("q"), F.exists("msgs", lambda m: degeneration.has_loop(m["content"])).alias("loop"))
+        talk = chat.gather(t).select("conv_id", chat.trim_ends(F.filter("msgs", lambda m: m["role"] != "system")).alias("msgs"))
+        q = talk.select("conv_id", chat.quality(F.col("msgs")).alias("q"), F.exists("msgs", lambda m: degeneration.has_loop(m["content"])).alias("loop"))
         ok = F.col("q.turns").between(2, most_turns) & ~F.col("q.ocr_doc") & ~F.col("q.bad_generation") & F.col("q.alternating") & (F.col("q.assistant_chars") <= most_chars) & (F.col("q.image_markers") <= 1) & ~F.col("loop")
         return q.filter(ok).select("conv_id")
 
@@ -119,7 +120,7 @@ QUERIES = {
     "human_answers": on("documents", lambda d: d.filter((F.col(_ID) % 4 == 0) & F.lower(_pick("human", "Expert", "model")).isin("human", "expert")).select(_ID)),
     "reference_contained": on("documents", lambda d: d.filter(F.contains("text", F.lit("the"))).select(_ID)),
     "source_whitelist": on("documents", lambda d: d.filter(F.lower(F.trim("source")).isin("src1", "src3", "src5")).select(_ID, "source")),
-    "chat_eligible": on("conversations", _eligible(5, 900)),
+    "chat_eligible": on("conversations", _eligible(5, 2500)),
     "qa_shape": on("documents", lambda d: d.select(_ID, records.answer_fits(_pick(*QUESTIONS), _pick(*ANSWERS)).alias("fits"))),
     "assembly_reason": on("documents", lambda d: d.select(_ID, records.assembly_reason(F.lit(3) + F.col(_ID) % 4, F.concat(F.lit("a"), F.repeat(F.lit("<img>"), (F.col(_ID) % 3).cast("int"))), _pick("train", "eval", "dev", None)).alias("reason"))),
     "valid_choice_index": on("documents", lambda d: d.filter((F.col(_ID) % 6 >= 0) & (F.col(_ID) % 6 < F.size(F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.lit("d"))))).select(_ID)),

@@ -55,13 +55,13 @@ def scratch_scope() -> Iterator[None]:
             discard(df)
 
 
-def materialise(df: DataFrame, label: str, outer: bool = False, compression: str = "snappy") -> DataFrame:
+def materialise(df: DataFrame, label: str, outer: bool = False, compression: str = "snappy", options: dict | None = None) -> DataFrame:
     """Write once as Parquet in the shared folder and read back, which cuts the lineage.
 
-    The innermost scratch_scope deletes it, or with `outer` the next one around.
+    The innermost scratch_scope deletes it, or with `outer` the next one around. `options` are those of the Parquet writer.
     """
     path = scratch(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).options(**(options or {})).parquet(path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     written._weft_path = path
     level = -2 if outer else -1

@@ -37,6 +37,8 @@ RATE, BITS = 8000, 8
 LPC_ORDER, LPC_PRECISION = 6, 10
 #: Bytes of payload that are coded or decoded together.
 CHUNK = 1 << 21
+#: How the media column is stored: equal files of a row group once (their dictionary holds 32 MB at most), the rest by zstd.
+STORAGE = {"parquet.dictionary.page.size": str(32 << 20), "parquet.compression.codec.zstd.level": "9"}
 _SYNC = b"\xff\xf8"
 
 
@@ -575,7 +577,7 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 def store_media(docs: DataFrame) -> DataFrame:
     """to_media() written to the shared folder and read back: nothing later sees the texts again."""
-    return materialise(to_media(docs), "flac-media", compression="zstd")
+    return materialise(to_media(docs), "flac-media", compression="zstd", options=STORAGE)
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
